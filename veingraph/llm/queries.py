@@ -11,13 +11,17 @@ from veingraph.llm.licenses import op10_diagonal_voting
 from veingraph.llm.lines import lines_sql, op9_log_templates
 from veingraph.llm.mixing import mixing_sql, op2_poisson_mixing
 from veingraph.llm.quality import op6_decision_list
+from veingraph.llm.substrings import op1_recompression, substrings_sql
+from veingraph.llm.tokens import op5_token_counts
 from veingraph.llm.url_filter import op8_url_language_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_recompression,
         op2_poisson_mixing,
         op3_positional_index,
+        op5_token_counts,
         op6_decision_list,
         op8_url_language_model,
         op9_log_templates,
@@ -26,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_recompression": substrings_sql(),
     "op2_poisson_mixing": mixing_sql(),
     "op3_positional_index": decontam_sql(),
     "op9_log_templates": lines_sql(),
