@@ -12,6 +12,7 @@ from veingraph.llm.lines import lines_sql, op9_log_templates
 from veingraph.llm.mixing import mixing_sql, op2_poisson_mixing
 from veingraph.llm.quality import op6_decision_list
 from veingraph.llm.substrings import op1_recompression, substrings_sql
+from veingraph.llm.suffixes import op7_suffix_arrays
 from veingraph.llm.tokens import op5_token_counts
 from veingraph.llm.url_filter import op8_url_language_model
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_positional_index,
         op5_token_counts,
         op6_decision_list,
+        op7_suffix_arrays,
         op8_url_language_model,
         op9_log_templates,
         op10_diagonal_voting,
