@@ -10,6 +10,7 @@ from veingraph.llm.decontam import decontam_sql, op3_positional_index
 from veingraph.llm.licenses import op10_diagonal_voting
 from veingraph.llm.lines import lines_sql, op9_log_templates
 from veingraph.llm.mixing import mixing_sql, op2_poisson_mixing
+from veingraph.llm.neardup import op4_dart_minhash
 from veingraph.llm.quality import op6_decision_list
 from veingraph.llm.substrings import op1_recompression, substrings_sql
 from veingraph.llm.suffixes import op7_suffix_arrays
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_recompression,
         op2_poisson_mixing,
         op3_positional_index,
+        op4_dart_minhash,
         op5_token_counts,
         op6_decision_list,
         op7_suffix_arrays,
