@@ -10,6 +10,24 @@ from veingraph.plans.iteration import cut, decode, dictionary, encode
 from veingraph.sources.triples import vertices, with_predicate
 
 
+#: Up to so many edges are one task's work: a round then needs no shuffle.
+ONE_TASK_EDGES = 200_000
+
+
+def _packed(edges: DataFrame) -> DataFrame:
+    """``edges`` written down, in one partition if they are few."""
+    written = cut(edges)
+    few = written.rdd.getNumPartitions() > 1 and written.count() <= ONE_TASK_EDGES
+    return cut(written.coalesce(1)) if few else written
+
+
+def _both(pairs: DataFrame, *ends: str) -> DataFrame:
+    """(a, b) twice for each row: of the first two columns and of the other two, without a union of two scans."""
+    c, d, e, f = (F.col(x) for x in ends)
+    twice = F.explode(F.array(F.struct(c.alias("a"), d.alias("b")), F.struct(e.alias("a"), f.alias("b"))))
+    return pairs.select(twice.alias("e")).select("e.a", "e.b")
+
+
 def least_neighbours(edges: DataFrame) -> DataFrame:
     """(a, b): every non-least id of ``edges`` (src, dst) with the least id of its component.
 
@@ -17,15 +35,15 @@ def least_neighbours(edges: DataFrame) -> DataFrame:
     of the component sizes rather than with their diameters. Hubs are no burden: a step takes minima, combined before
     the shuffle, and joins them back.
     """
-    now = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    now = _packed(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     state = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _both(now, "a", "b", "b", "a")
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(down, "a").select(F.col("b").alias("x"), "m").unionByName(down.select(F.col("a").alias("x"), "m"))
-        now = cut(star.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
+        star = _both(large.join(down, "a"), "b", "m", "a", "m")
+        now = _packed(star.filter("a <> b").distinct())
         fresh = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if fresh == state:
             return now
