@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veingraph.llm.common import cut, small, table
 from veingraph.llm.rolling import NULL_ID, Prefixes, chunks, mix64, run_starts
 from veingraph.llm.substrings import identified, word_hashes
+from veingraph.operators.components import least_neighbours
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -100,6 +102,7 @@ SMALL_BUCKET = 64
 #: Larger buckets than this are compared with their centre only.
 LARGE_BUCKET = 4_096
 CHECKED_BYTES = 2_000_000
+SIGNED = "id long, h long, c1 long, c2 long, bands array<long>, marks binary, sig binary"
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -123,6 +126,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "c1": np.where(empty, ids, whole.view(np.int64)),
                 "c2": np.where(empty, hashes, mix64(whole + counts.astype(np.uint64)).view(np.int64)),
                 "bands": [None if e else b for e, b in zip(empty, bands)],
+                "marks": [b.astype(np.uint32).tobytes() for b in bands],
                 "sig": [s.tobytes() for s in short],
             })
 
@@ -140,7 +144,7 @@ def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return shared / np.maximum(every, 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="float64")
@@ -172,7 +176,7 @@ def _compare_bucket(pdf: pd.DataFrame, threshold: float, band: int) -> pd.DataFr
     edges = np.searchsorted(doc, np.arange(len(texts) + 1))
     total = np.bincount(doc, weight, len(texts))
     signature = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, COORDINATES)
-    bands = np.array(pdf["bands"].tolist(), np.int64)[:, :band]
+    bands = np.frombuffer(b"".join(pdf["marks"]), np.uint32).reshape(-1, BANDS)[:, :band]
     names, group = np.unique(pdf["class"].to_numpy(), return_inverse=True)
     rest = np.flatnonzero(group != np.bincount(group).argmax())
     found = []
@@ -195,34 +199,8 @@ def _compare_bucket(pdf: pd.DataFrame, threshold: float, band: int) -> pd.DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, class): the least node that each node of ``edges`` (a, b) is connected with.
-
-    Alternates large-star and small-star steps, each an aggregation of minima and a join, until no edge changes.
-    """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(down, "a").select(F.col("b").alias("x"), "m").unionByName(down.select(F.col("a").alias("x"), "m"))
-        now = cut(star.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
-        fresh = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if fresh == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("class"))
-        state = fresh
-
-
-def _node(id_: str, h: str) -> Column:
-    """(id, h) as a string of the same order."""
-    shifted = F.col(id_).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
-    return F.concat(F.lpad(shifted.cast("string"), 20, "0"), F.lpad(F.hex(h), 16, "0"))
-
-
-def _id_of(node: str) -> Column:
-    id_ = (F.substring(node, 1, 20).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
-    return F.when(id_ < F.lit(NULL_ID), id_)
+    """(node, class): the least node that each node of ``edges`` (a, b) is connected with, if it is another."""
+    return least_neighbours(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).toDF("node", "class")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -243,27 +221,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     another centre, are what connects it.
     """
     texts = identified(docs).select("id", "h", "text")
-    signed = cut(texts.mapInPandas(_sign, "id long, h long, c1 long, c2 long, bands array<long>, sig binary").withColumn("node", _node("id", "h")))
-    least = signed.groupBy("c1", "c2").agg(F.min("node").alias("node"))
-    heads = cut(signed.join(least, ["c1", "c2", "node"]).filter("bands IS NOT NULL").dropDuplicates(["node"]).select("node", "id", "h", "bands", "sig"))
+    signed = cut(texts.mapInPandas(_sign, SIGNED))
+    least = signed.groupBy("c1", "c2").agg(F.min(F.struct("id", "h")).alias("first"))
+    # Nodes are the distinct word sequences, numbered; the numbers are written down before they are used.
+    own = least.select("c1", "c2", "first.id", "first.h")
+    heads = cut(
+        signed.join(own, ["c1", "c2", "id", "h"]).dropDuplicates(["c1", "c2"]).filter("bands IS NOT NULL")
+        .select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "id", "h", "bands", "marks", "sig")
+    )
     placed = heads.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).filter("n > 1")
     members = cut(placed.join(buckets, "key"))
-    candidates = heads.join(members.select("node").distinct(), "node")
-    bodies = cut(texts.join(small(candidates.select("id", "h", "node")), ["id", "h"]).select("node", "text").dropDuplicates(["node"]))
+    candidates = heads.select("node", "id", "h").join(members.select("node").distinct(), "node")
+    bodies = cut(texts.join(small(candidates), ["id", "h"]).select("node", "text").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_texts = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
             bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
         )
-        return with_texts.select("a", "b", "text_a", "text_b").mapInPandas(lambda it: _similar(it, threshold), "a string, b string")
+        return with_texts.select("a", "b", "text_a", "text_b").mapInPandas(lambda it: _similar(it, threshold), "a long, b long")
 
     stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = cut(verified(stars))
     classes = components(links)
-    placed = members.join(classes, "node", "left").select("key", "band", "node", "n", F.coalesce("class", "node").alias("class"))
-    split = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
-    open_ = cut(placed.join(split, "key"))
+    classed = members.join(classes, "node", "left").select("key", "band", "node", "n", F.coalesce("class", "node").alias("class"))
+    split = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
+    open_ = cut(classed.join(split, "key"))
     few = open_.filter(F.col("n") <= SMALL_BUCKET)
     left = few.select("key", F.col("node").alias("a"), F.col("class").alias("class_a"))
     right = few.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"))
@@ -277,21 +260,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     many = (
         open_.filter(F.col("n").between(SMALL_BUCKET + 1, LARGE_BUCKET))
-        .join(heads.select("node", "bands", "sig"), "node")
+        .join(heads.select("node", "marks", "sig"), "node")
         .join(bodies, "node")
-        .select("key", "band", "node", "class", "bands", "sig", "text")
+        .select("key", "band", "node", "class", "marks", "sig", "text")
     )
-    within = many.groupBy("key").applyInPandas(lambda pdf: _compare_bucket(pdf, threshold, int(pdf["band"].iat[0])), "a string, b string")
+    within = many.groupBy("key").applyInPandas(lambda pdf: _compare_bucket(pdf, threshold, int(pdf["band"].iat[0])), "a long, b long")
     links = cut(links.unionByName(verified(agreeing)).unionByName(within).distinct())
     classes = components(links)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n_links"))
-    known = (
-        least.select("c1", "c2", F.col("node").alias("head"))
-        .join(classes.select(F.col("node").alias("head"), "class"), "head", "left")
-        .join(degrees, "head", "left")
-        .select("c1", "c2", F.coalesce("class", "head").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    # A class's first document is the least of its heads.
+    in_class = heads.select("node", "c1", "c2", F.struct("id", "h").alias("own")).join(
+        classes.unionByName(classes.select(F.col("class").alias("node"), "class")).distinct(), "node"
     )
-    judged = signed.select("id", "h", "c1", "c2", "node").dropDuplicates(["id", "h"]).join(known, ["c1", "c2"]).select("id", "h", _id_of("class").alias("class_id"), "n_links", (F.col("node") == F.col("class")).alias("kept"))
+    firsts = in_class.groupBy("class").agg(F.min("own").alias("class_first"))
+    linked = in_class.join(firsts, "class").join(degrees, "node", "left").select("c1", "c2", "class_first", "n_links")
+    known = least.join(cut(linked), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("class_first", "first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    class_id = F.when(F.col("first.id") < F.lit(NULL_ID), F.col("first.id"))
+    is_first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    judged = signed.select("id", "h", "c1", "c2").dropDuplicates(["id", "h"]).join(known, ["c1", "c2"]).select("id", "h", class_id.alias("class_id"), "n_links", is_first.alias("kept"))
     first = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id")) == 1  # of equal rows
     keyed = docs.drop("class_id", "n_links", "kept").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64("doc_id", "text")})
     found = judged.withColumnsRenamed({"id": "_id", "h": "_h"})
