@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veingraph.functions.terms import DEFAULT_GRAPH, RDFS, TYPE, num_of, shorten, str_of
 
-_n = F.count(F.lit(1))
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def in_graph(quads: DataFrame, graph: str | None) -> DataFrame:
@@ -20,19 +21,19 @@ def graph_name() -> Column:
 
 
 def count_graph(quads: DataFrame, graph: str | None = None) -> DataFrame:
-    return in_graph(quads, graph).agg(_n.alias("count"))
+    return in_graph(quads, graph).agg(_n().alias("count"))
 
 
 def count_type(quads: DataFrame, rdf_type: str, graph: str | None = None) -> DataFrame:
-    return in_graph(quads, graph).filter((F.col("p") == TYPE) & (F.col("o") == rdf_type)).agg(_n.alias("count"))
+    return in_graph(quads, graph).filter((F.col("p") == TYPE) & (F.col("o") == rdf_type)).agg(_n().alias("count"))
 
 
 def count_preds(triples: DataFrame) -> DataFrame:
-    return triples.groupBy(F.col("p").alias("pred")).agg(_n.alias("count")).orderBy("count", "pred")
+    return triples.groupBy(F.col("p").alias("pred")).agg(_n().alias("count")).orderBy("count", "pred")
 
 
 def count_types(triples: DataFrame) -> DataFrame:
-    return triples.filter(F.col("p") == TYPE).groupBy(F.col("o").alias("type")).agg(_n.alias("count")).orderBy("count", "type")
+    return triples.filter(F.col("p") == TYPE).groupBy(F.col("o").alias("type")).agg(_n().alias("count")).orderBy("count", "type")
 
 
 def _stats() -> list[Column]:
@@ -41,9 +42,9 @@ def _stats() -> list[Column]:
     Extremes are of numbers if all objects are numbers, else null in ``min``/``max`` and by text in ``min_text``/``max_text``.
     """
     number = num_of(F.col("o"))
-    all_numbers = F.count(number) == _n
+    all_numbers = F.count(number) == _n()
     return [
-        _n.alias("count"),
+        _n().alias("count"),
         F.countDistinct("o").alias("distinct_objects"),
         F.when(all_numbers, F.min(number)).alias("min"),
         F.when(all_numbers, F.max(number)).alias("max"),
@@ -87,20 +88,20 @@ def ask(found: DataFrame) -> bool:
 def ask_nothing(triples: DataFrame) -> DataFrame:
     """(answer): whether any class is declared."""
     declared = triples.filter((F.col("p") == TYPE) & (F.col("o") == f"{RDFS}Class")).limit(1)
-    return declared.agg((_n > 0).alias("answer"))
+    return declared.agg((_n() > 0).alias("answer"))
 
 
 def profile_named_graphs(quads: DataFrame) -> DataFrame:
     """(ngraph, size): triples of the default graph and of each named one."""
-    return quads.groupBy(graph_name().alias("ngraph")).agg(_n.alias("size"))
+    return quads.groupBy(graph_name().alias("ngraph")).agg(_n().alias("size"))
 
 
 def profile_types(quads: DataFrame) -> DataFrame:
-    return quads.filter(F.col("p") == TYPE).groupBy(graph_name().alias("ngraph"), F.col("o").alias("type")).agg(_n.alias("typeCt"))
+    return quads.filter(F.col("p") == TYPE).groupBy(graph_name().alias("ngraph"), F.col("o").alias("type")).agg(_n().alias("typeCt"))
 
 
 def profile_predicates(quads: DataFrame) -> DataFrame:
-    return quads.groupBy(graph_name().alias("ngraph"), F.col("p").alias("predicate")).agg(_n.alias("size"))
+    return quads.groupBy(graph_name().alias("ngraph"), F.col("p").alias("predicate")).agg(_n().alias("size"))
 
 
 def profile(quads: DataFrame) -> dict[str, DataFrame]:
@@ -118,7 +119,7 @@ def network_stats(triples: DataFrame, predicate: str | None = None) -> DataFrame
         F.coalesce(F.sum("out"), F.lit(0)).cast("long").alias("edgeCt"),
         F.count_if(F.col("out") > 0).alias("subjectCt"),
         F.count_if(F.col("in") > 0).alias("objectCt"),
-        _n.alias("nodeCt"),
+        _n().alias("nodeCt"),
     )
 
 

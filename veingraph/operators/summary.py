@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veingraph.functions.terms import OWL, RDF, RDFS, SKOS, TYPE, is_blank, is_iri, namespace
 from veingraph.operators.degree import degree_all, degree_in, degree_max, degree_node_type, degree_out
 
 RESOURCE = f"{RDFS}Resource"
-_n = F.count(F.lit(1))
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def types(triples: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def types(triples: DataFrame) -> DataFrame:
 
 
 def num_triples(t: DataFrame) -> DataFrame:
-    return t.agg(_n.alias("numtriples"))
+    return t.agg(_n().alias("numtriples"))
 
 
 def distinct_edges(t: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def distinct_edges(t: DataFrame) -> DataFrame:
 
 
 def triples_per_edge(t: DataFrame) -> DataFrame:
-    return t.groupBy(F.col("p").alias("property")).agg(_n.alias("count")).orderBy("count", "property")
+    return t.groupBy(F.col("p").alias("property")).agg(_n().alias("count")).orderBy("count", "property")
 
 
 def edge_occurrence(t: DataFrame) -> DataFrame:
@@ -53,14 +54,14 @@ def typed_subj(t: DataFrame) -> DataFrame:
 
 def class_triples(t: DataFrame) -> DataFrame:
     """(class, numTriplesPerClass): triples whose subject is an instance, by class."""
-    per_subject = t.groupBy(F.col("s").alias("i")).agg(_n.alias("n"))
+    per_subject = t.groupBy(F.col("s").alias("i")).agg(_n().alias("n"))
     return types(t).join(per_subject, "i").groupBy("class").agg(F.sum("n").alias("numTriplesPerClass"))
 
 
 def class_prop_occurrence(t: DataFrame) -> DataFrame:
     """(class, property, numInstances): instances of a class that have a property other than their type."""
     used = t.filter(F.col("p") != TYPE).select(F.col("s").alias("i"), F.col("p").alias("property")).distinct()
-    return types(t).distinct().join(used, "i").groupBy("class", "property").agg(_n.alias("numInstances"))
+    return types(t).distinct().join(used, "i").groupBy("class", "property").agg(_n().alias("numInstances"))
 
 
 def common_class_prop(t: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def common_class_prop(t: DataFrame) -> DataFrame:
 
 def triples_edge_class(t: DataFrame) -> DataFrame:
     """(class, property, numUses): uses by the subject's class, null for untyped subjects; the type itself is left out."""
-    uses = t.filter(F.col("p") != TYPE).groupBy(F.col("s").alias("i"), F.col("p").alias("property")).agg(_n.alias("n"))
+    uses = t.filter(F.col("p") != TYPE).groupBy(F.col("s").alias("i"), F.col("p").alias("property")).agg(_n().alias("n"))
     joined = uses.join(types(t), "i", "left")
     return joined.groupBy("class", "property").agg(F.sum("n").alias("numUses")).orderBy("numUses", "class", "property")
 
@@ -82,7 +83,7 @@ def tensor_histo(t: DataFrame) -> DataFrame:
     links = t.select("s", "p", "o").distinct()
     first = links.join(ends.select(F.col("i").alias("s"), F.col("class").alias("type1")), "s")
     both = first.join(ends.select(F.col("i").alias("o"), F.col("class").alias("type2")), "o")
-    return both.groupBy("type1", "p", "type2").agg(_n.alias("count"))
+    return both.groupBy("type1", "p", "type2").agg(_n().alias("count"))
 
 
 def blank_subjects(t: DataFrame) -> DataFrame:
@@ -95,14 +96,14 @@ def isolated_blanks(t: DataFrame) -> DataFrame:
     pointed = t.filter(is_blank(F.col("o"))).select(F.col("o").alias("b"))
     keys = types(t).filter(F.col("class") == f"{OWL}InverseFunctionalProperty").select(F.col("i").alias("p"))
     identified = t.filter(is_blank(F.col("s"))).join(keys, "p", "left_semi").select(F.col("s").alias("b"))
-    return blanks.join(pointed, "b", "left_anti").join(identified, "b", "left_anti").agg(_n.alias("numIsolatedBlanks"))
+    return blanks.join(pointed, "b", "left_anti").join(identified, "b", "left_anti").agg(_n().alias("numIsolatedBlanks"))
 
 
 def num_typed_subj(t: DataFrame) -> DataFrame:
     """(numTypedSubjects, numSubjects), of subjects with a triple other than their type."""
     subjects = t.filter(F.col("p") != TYPE).select(F.col("s").alias("i")).distinct()
     typed = types(t).filter(F.col("class") != RESOURCE).select("i", F.lit(1).alias("typed")).distinct()
-    return subjects.join(typed, "i", "left").agg(F.count("typed").alias("numTypedSubjects"), _n.alias("numSubjects"))
+    return subjects.join(typed, "i", "left").agg(F.count("typed").alias("numTypedSubjects"), _n().alias("numSubjects"))
 
 
 def ontology_ratio(t: DataFrame) -> DataFrame:
@@ -135,10 +136,10 @@ def _contained(members: DataFrame) -> DataFrame:
     """
     keys = [c for c in members.columns if c != "set"]
     members = members.distinct()
-    sizes = members.groupBy("set").agg(_n.alias("n"))
+    sizes = members.groupBy("set").agg(_n().alias("n"))
     # A member's sets are one array: the pairs of sets are made within the row and combined before the shuffle.
     per_member = members.groupBy(*keys).agg(F.collect_list("set").alias("sets")).filter(F.size("sets") > 1)
-    patterns = per_member.groupBy(F.array_sort("sets").alias("sets")).agg(_n.alias("k"))
+    patterns = per_member.groupBy(F.array_sort("sets").alias("sets")).agg(_n().alias("k"))
     pairs = patterns.select(F.explode("sets").alias("a"), "sets", "k").select("a", F.explode("sets").alias("b"), "k").filter("a <> b")
     shared = pairs.groupBy("a", "b").agg(F.sum("k").alias("k"))
     return shared.join(sizes.withColumnRenamed("set", "a"), "a").filter("k = n").select("a", "b")
@@ -159,11 +160,11 @@ def implicit_prop_hierarchy(t: DataFrame) -> DataFrame:
 def namespace_links(t: DataFrame, mode: str = "intended") -> DataFrame:
     """(NS1, prop, NS2, numLinks): links between IRIs by their namespaces; ``faithful`` takes whole IRIs for namespaces."""
     links = t.filter(is_iri(F.col("s")) & is_iri(F.col("o")))
-    return links.groupBy(namespace(F.col("s"), mode).alias("NS1"), F.col("p").alias("prop"), namespace(F.col("o"), mode).alias("NS2")).agg(_n.alias("numLinks"))
+    return links.groupBy(namespace(F.col("s"), mode).alias("NS1"), F.col("p").alias("prop"), namespace(F.col("o"), mode).alias("NS2")).agg(_n().alias("numLinks"))
 
 
 def same_as(t: DataFrame) -> DataFrame:
-    return t.filter(F.col("p") == f"{OWL}sameAs").agg(_n.alias("numSameAs"))
+    return t.filter(F.col("p") == f"{OWL}sameAs").agg(_n().alias("numSameAs"))
 
 
 def count_pred_voc(t: DataFrame) -> DataFrame:

@@ -150,10 +150,10 @@ def rdfs_vocabulary(spark: SparkSession) -> DataFrame:
     rows = []
     for name, parent in classes:
         rows += [(rdfs + name, TYPE, rdfs + "Class"), (rdfs + name, rdfs + "label", f'"{name}"')]
-        rows += [(rdfs + name, rdfs + "subClassOf", rdfs + parent)] * (parent is not None)
+        rows += [(rdfs + name, rdfs + "subClassOf", rdfs + parent)] if parent else []
     for name, domain, range_ in properties:
         rows += [(rdfs + name, TYPE, rdf + "Property"), (rdfs + name, rdfs + "label", f'"{name}"')]
-        rows += [(rdfs + name, rdfs + "domain", rdfs + domain)] * (domain is not None)
-        rows += [(rdfs + name, rdfs + "range", rdfs + range_)] * (range_ is not None)
+        rows += [(rdfs + name, rdfs + "domain", rdfs + domain)] if domain else []
+        rows += [(rdfs + name, rdfs + "range", rdfs + range_)] if range_ else []
     rows.append((rdfs + "isDefinedBy", rdfs + "subPropertyOf", rdfs + "seeAlso"))
     return as_triples(spark.createDataFrame(rows, "s string, p string, o string"))
