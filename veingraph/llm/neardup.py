@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veingraph.llm.common import cut, small, table
-from veingraph.llm.rolling import NULL_ID, Prefixes, chunks, mix64, run_starts
+from veingraph.llm.rolling import NULL_ID, Prefixes, arrow, chunks, encoded, mix64, run_starts, slices
 from veingraph.llm.substrings import identified, word_hashes
 from veingraph.operators.components import least_neighbours
 
@@ -101,7 +102,6 @@ MIN_AGREEMENT = 0.65
 SMALL_BUCKET = 64
 #: Larger buckets than this are compared with their centre only.
 LARGE_BUCKET = 4_096
-CHECKED_BYTES = 2_000_000
 SIGNED = "id long, h long, c1 long, c2 long, bands array<long>, marks binary, sig binary"
 
 
@@ -112,23 +112,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix64(mix64(parts).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for ids, hashes, texts in chunks(pdf):
-            doc, element, weight, counts, whole = shingles(texts)
-            signature = signatures(doc, element, weight, len(texts))
-            bands = band_keys(signature).view(np.int64)
-            short = (signature >> np.uint64(8)).astype(np.uint8)
-            empty = counts == 0
-            yield pd.DataFrame({
-                "id": ids,
-                "h": hashes,
-                "c1": np.where(empty, ids, whole.view(np.int64)),
-                "c2": np.where(empty, hashes, mix64(whole + counts.astype(np.uint64)).view(np.int64)),
-                "bands": [None if e else b for e, b in zip(empty, bands)],
-                "marks": [b.astype(np.uint32).tobytes() for b in bands],
-                "sig": [s.tobytes() for s in short],
-            })
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, hashes, texts in chunks(batches):
+        doc, element, weight, counts, whole = shingles(texts)
+        signature = signatures(doc, element, weight, len(texts))
+        bands = band_keys(signature).view(np.int64)
+        short = (signature >> np.uint64(8)).astype(np.uint8)
+        empty = counts == 0
+        yield arrow(pd.DataFrame({
+            "id": ids,
+            "h": hashes,
+            "c1": np.where(empty, ids, whole.view(np.int64)),
+            "c2": np.where(empty, hashes, mix64(whole + counts.astype(np.uint64)).view(np.int64)),
+            "bands": [None if e else b for e, b in zip(empty, bands)],
+            "marks": [b.astype(np.uint32).tobytes() for b in bands],
+            "sig": [s.tobytes() for s in short],
+        }), SIGNED)
 
 
 def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -152,17 +151,11 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _similar(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+def _similar(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """The pairs that reach the threshold, by their whole texts."""
-    for pdf in batches:
-        begin = size = 0
-        left, right = ([t.encode("utf-8", "surrogatepass") for t in pdf[c]] for c in ("text_a", "text_b"))
-        for i, (x, y) in enumerate(zip(left, right)):
-            size += len(x) + len(y)
-            if size >= CHECKED_BYTES or i == len(left) - 1:
-                linked = similarities(left[begin : i + 1], right[begin : i + 1]) >= threshold - 1e-9
-                yield pdf[["a", "b"]].iloc[begin : i + 1][linked]
-                begin, size = i + 1, 0
+    for part in slices(batches):
+        linked = similarities(encoded(part.column("text_a")), encoded(part.column("text_b"))) >= threshold - 1e-9
+        yield part.select(["a", "b"]).filter(pa.array(linked))
 
 
 def _compare_bucket(pdf: pd.DataFrame, threshold: float, band: int) -> pd.DataFrame:
@@ -221,7 +214,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     another centre, are what connects it.
     """
     texts = identified(docs).select("id", "h", "text")
-    signed = cut(texts.mapInPandas(_sign, SIGNED))
+    signed = cut(texts.mapInArrow(_sign, SIGNED))
     least = signed.groupBy("c1", "c2").agg(F.min(F.struct("id", "h")).alias("first"))
     # Nodes are the distinct word sequences, numbered; the numbers are written down before they are used.
     own = least.select("c1", "c2", "first.id", "first.h")
@@ -239,7 +232,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         with_texts = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
             bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
         )
-        return with_texts.select("a", "b", "text_a", "text_b").mapInPandas(lambda it: _similar(it, threshold), "a long, b long")
+        return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _similar(it, threshold), "a long, b long")
 
     stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = cut(verified(stars))
@@ -278,10 +271,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class_id = F.when(F.col("first.id") < F.lit(NULL_ID), F.col("first.id"))
     is_first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
     judged = signed.select("id", "h", "c1", "c2").dropDuplicates(["id", "h"]).join(known, ["c1", "c2"]).select("id", "h", class_id.alias("class_id"), "n_links", is_first.alias("kept"))
-    first = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id")) == 1  # of equal rows
-    keyed = docs.drop("class_id", "n_links", "kept").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64("doc_id", "text")})
-    found = judged.withColumnsRenamed({"id": "_id", "h": "_h"})
-    return keyed.join(found, ["_id", "_h"]).withColumn("kept", F.col("kept") & first).drop("_id", "_h")
+    first = F.row_number().over(Window.partitionBy("_vg_id", "_vg_h").orderBy("_vg_id")) == 1  # of equal rows
+    keyed = docs.drop("class_id", "n_links", "kept").withColumns({"_vg_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_vg_h": F.xxhash64("doc_id", "text")})
+    found = judged.withColumnsRenamed({"id": "_vg_id", "h": "_vg_h"})
+    return keyed.join(found, ["_vg_id", "_vg_h"]).withColumn("kept", F.col("kept") & first).drop("_vg_id", "_vg_h")
 
 
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -15,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are taken in chunks of about so many bytes, which bounds a worker's arrays.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Stands for a null doc_id; such rows come after all others.
 NULL_ID = (1 << 63) - 1
 
@@ -81,19 +84,53 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def chunks(pdf: pd.DataFrame, size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(ids, hashes, texts) of a batch (``id``, ``h``, ``text``), in order of (id, h), a row for each pair, by size."""
-    pdf = pdf.drop_duplicates(["id", "h"]).sort_values(["id", "h"])
-    begin = total = 0
-    texts = [(t or "").encode("utf-8", "surrogatepass") if t is not None else b"" for t in pdf["text"]]
-    ids, hashes = pdf["id"].to_numpy(np.int64), pdf["h"].to_numpy(np.int64)
-    for i, text in enumerate(texts):
-        total += len(text) + 1
-        if total >= size:
-            yield ids[begin : i + 1], hashes[begin : i + 1], texts[begin : i + 1]
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield ids[begin:], hashes[begin:], texts[begin:]
+def slices(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes each, one row at least, so that only one part is ever unpacked."""
+    try:
+        for batch in batches:
+            weight = np.zeros(batch.num_rows, np.int64)
+            for column in batch.columns:
+                if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                    weight += np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64) + 1
+            part = np.cumsum(weight) // size
+            begin = 0
+            for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+                if end > begin:
+                    yield batch.slice(begin, end - begin)
+                begin = end
+    finally:
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: an idle worker should hold none."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def encoded(column: pa.Array) -> list[bytes]:
+    """Texts as UTF-8, nulls as empty ones."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def arrow(df: pd.DataFrame, schema: str) -> pa.RecordBatch:
+    """A record batch of the columns that ``schema`` (``name type, ...``) names."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(df[name], kinds[kind], from_pandas=True) for name, kind in fields], [name for name, _ in fields])
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, hashes, texts) of parts of the batches (``id``, ``h``, ``text``): a row for each pair (id, h), in their order."""
+    for part in slices(batches, size):
+        ids, hashes = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "h"))
+        texts = encoded(part.column("text"))
+        order = np.lexsort((hashes, ids))
+        order = order[run_starts(ids[order], hashes[order])]
+        yield ids[order], hashes[order], [texts[k] for k in order]
 
 
 def pack(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> pd.DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,15 @@ from veingraph.llm.common import cut, table
 from veingraph.llm.rolling import (
     NULL_ID,
     Prefixes,
+    arrow,
     by_document,
     chunks,
     covered_by,
+    encoded,
     mix64,
     pack,
     run_starts,
+    slices,
     sliding_argmin,
     unpack,
 )
@@ -32,7 +36,7 @@ WINDOW = 20
 #: context: a run round loses up to 2, a pair round of symbols of up to 2 words 2 more.
 MARGIN = 4
 #: One bucket of the shuffle stands for about so much text.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 #: A group of interior symbols with more occurrences than this is dealt out by window instead ...
 HOT_ROWS = 2_000
 #: ... but at most so many groups are, so that their list stays small at any size.
@@ -40,6 +44,10 @@ HOT_GROUPS = 1_000_000
 #: A chunk reports a group to the search for hot ones from so many occurrences.
 REPORTED = 8
 
+#: Schemas of what workers hand over.
+FREQUENT = "g long, n long, total long"
+DEALT = "bucket int, blob binary, blobs binary"
+
 RUN, PAIR, SIDE, ORDER, MATCH = (np.uint64(x) for x in (0x51ED270B4D2C9A35, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD6E8FEB86659FD93))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -107,62 +115,72 @@ def parsed_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
     return doc, pos, anchor, prefixes.runs(anchor - MARGIN, anchor + MARGIN), prefixes.runs(at, at + window)
 
 
-def _frequent_groups(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for _, _, texts in chunks(pdf):
-            _, _, anchor, group, _ = parsed_windows(texts, window)
-            groups, n = np.unique(group[run_starts(anchor)], return_counts=True)
-            often = n >= REPORTED
-            yield pd.DataFrame({"g": groups[often].view(np.int64), "n": n[often], "total": 0})
-            yield pd.DataFrame({"g": [0], "n": [0], "total": [len(group)]})
+def _frequent_groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    for _, _, texts in chunks(batches):
+        _, _, anchor, group, _ = parsed_windows(texts, window)
+        yield frequent(group[run_starts(anchor)])
 
 
-def hot_groups(docs: DataFrame, window: int) -> np.ndarray:
-    """The groups that are common in the whole corpus, found among those that are common in some chunk."""
-    found = cut(docs.mapInPandas(lambda it: _frequent_groups(it, window), "g long, n long, total long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+def frequent(group: np.ndarray) -> pa.RecordBatch:
+    """The groups that a chunk holds REPORTED times or more, with one row of the number of all."""
+    groups, n = np.unique(group, return_counts=True)
+    often = n >= REPORTED
+    found = pd.DataFrame({"g": np.append(groups[often].view(np.int64), 0), "n": np.append(n[often], 0), "total": 0})
+    found.loc[len(found) - 1, "total"] = len(group)
+    return arrow(found, FREQUENT)
+
+
+def common_groups(found: DataFrame) -> np.ndarray:
+    """The groups of more than HOT_ROWS occurrences in all chunks together, HOT_GROUPS at most."""
+    found = cut(found.groupBy("g").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     total = found.agg(F.sum("total")).first()[0] or 0
     rows = found.filter(F.col("n") > max(HOT_ROWS, total // HOT_GROUPS)).select("g").collect()
     return np.sort(np.array([r["g"] for r in rows], np.int64).view(np.uint64))
 
 
-def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the sorted array ``known`` holds."""
     at = np.searchsorted(known, values)
     return known[np.minimum(at, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def _deal(batches: Iterator[pd.DataFrame], window: int, n_buckets: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+def hot_groups(docs: DataFrame, window: int) -> np.ndarray:
+    """The groups that are common in the whole corpus, found among those that are common in some chunk."""
+    return common_groups(docs.mapInArrow(lambda it: _frequent_groups(it, window), FREQUENT))
+
+
+def _deal(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Buckets of windows by group (hot ones by themselves); windows that a chunk repeats are settled here.
 
     Records are runs of windows of one anchor: (id, h, pos, n, group) beside the windows' hashes.
     Settled ones go along as records with n < 0, dealt by document.
     """
-    for pdf in batches:
-        for ids, hashes, texts in chunks(pdf):
-            doc, pos, anchor, group, match = parsed_windows(texts, window)
-            if not len(doc):
-                continue
-            order = np.argsort(mix64(match * MATCH + group), kind="stable")
-            heads = run_starts(match[order], group[order])
-            again = np.ones(len(doc), bool)
-            again[order[heads]] = False
-            single = _is_in(group, hot)
-            place = np.arange(len(doc)) * (single & ~again)
-            runs = run_starts(doc, anchor * ~again, again, place)
-            n = np.diff(np.append(runs, len(doc)))
-            d, settled, alone = doc[runs], again[runs], single[runs]
-            key = np.where(alone, mix64(match[runs] ^ group[runs]), group[runs])
-            key = np.where(settled, mix64(hashes[d].view(np.uint64)), key)
-            bucket = (key % np.uint64(n_buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            sizes = np.where(settled, -n, n)
-            kept = np.where(settled, 0, n)
-            records = pack(bucket, n_buckets, ids[d], hashes[d], pos[runs].astype(np.int32), sizes.astype(np.int32), group[runs])
-            # The windows' hashes stand in the order of their records.
-            taken = np.repeat(runs[by] - np.concatenate(([0], np.cumsum(kept[by])[:-1])), kept[by]) + np.arange(kept.sum())
-            inner = pack(np.repeat(bucket[by], kept[by]), n_buckets, match[taken].view(np.uint8).reshape(-1, 8)[:, 3:])
-            merged = records.merge(inner, "left", "bucket", suffixes=("", "s"))
-            merged["blobs"] = [b if isinstance(b, bytes) else None for b in merged["blobs"]]
-            yield merged[["bucket", "blob", "blobs"]]
+    for ids, hashes, texts in chunks(batches):
+        doc, pos, anchor, group, match = parsed_windows(texts, window)
+        if not len(doc):
+            continue
+        order = np.argsort(mix64(match * MATCH + group), kind="stable")
+        heads = run_starts(match[order], group[order])
+        again = np.ones(len(doc), bool)
+        again[order[heads]] = False
+        single = is_in(group, hot)
+        place = np.arange(len(doc)) * (single & ~again)
+        runs = run_starts(doc, anchor * ~again, again, place)
+        n = np.diff(np.append(runs, len(doc)))
+        d, settled, alone = doc[runs], again[runs], single[runs]
+        key = np.where(alone, mix64(match[runs] ^ group[runs]), group[runs])
+        key = np.where(settled, mix64(hashes[d].view(np.uint64)), key)
+        bucket = (key % np.uint64(n_buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        sizes = np.where(settled, -n, n)
+        kept = np.where(settled, 0, n)
+        records = pack(bucket, n_buckets, ids[d], hashes[d], pos[runs].astype(np.int32), sizes.astype(np.int32), group[runs])
+        # The windows' hashes stand in the order of their records.
+        taken = np.repeat(runs[by] - np.concatenate(([0], np.cumsum(kept[by])[:-1])), kept[by]) + np.arange(kept.sum())
+        inner = pack(np.repeat(bucket[by], kept[by]), n_buckets, match[taken].view(np.uint8).reshape(-1, 8)[:, 3:])
+        merged = records.merge(inner, "left", "bucket", suffixes=("", "s"))
+        merged["blobs"] = [b if isinstance(b, bytes) else None for b in merged["blobs"]]
+        yield arrow(merged, DEALT)
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,22 +216,23 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     return by_document(both[0], both[1], both[2].astype(np.int32), both[3].astype(np.int32))
 
 
-def _without(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+def _without(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The texts' words that no marked window covers."""
-    for pdf in batches:
+    for part in slices(batches):
         n_words, n_removed, kept = [], [], []
-        for text, blobs in zip(pdf["text"], pdf["blobs"]):
-            words = ("" if text is None else text).encode("utf-8", "surrogatepass").split()
+        for text, blobs in zip(encoded(part.column("text")), part.column("blobs").to_pylist()):
+            words = text.split()
             gone = 0
             n_words.append(len(words))
-            if blobs is not None and len(blobs):
+            if blobs:
                 start, n = unpack(blobs)
                 covered = covered_by(len(words), start, start + n + (window - 1))
                 gone = int(covered.sum())
                 words = [w for w, c in zip(words, covered.tolist()) if not c]
             n_removed.append(gone)
-            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "doc_id": pdf["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept": kept})
+            kept.append(b" ".join(words))
+        columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -250,10 +269,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
     hot = docs.sparkSession.sparkContext.broadcast(hot_groups(texts, window))
-    dealt = texts.mapInPandas(lambda it: _deal(it, window, buckets, hot.value), "bucket int, blob binary, blobs binary")
+    dealt = texts.mapInArrow(lambda it: _deal(it, window, buckets, hot.value), DEALT)
     marks = dealt.groupBy("bucket").applyInPandas(lambda pdf: _settle(pdf), "id long, h long, blob binary")
     joined = with_marks(rows, marks)
-    return joined.mapInPandas(lambda it: _without(it, window), "id long, h long, doc_id long, n_words long, n_removed long, kept string").drop("id", "h")
+    kind = dict(docs.dtypes)["doc_id"]
+    return joined.mapInArrow(lambda it: _without(it, window), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,19 @@ from pyspark.sql import functions as F
 from veingraph.llm.common import cut, table
 from veingraph.llm.rolling import (
     Prefixes,
+    arrow,
     by_document,
     chunks,
     covered_by,
+    encoded,
     mix64,
     pack,
     run_starts,
+    slices,
     sliding_argmin,
     unpack,
 )
-from veingraph.llm.substrings import HOT_GROUPS, HOT_ROWS, REPORTED, identified, n_buckets, with_marks
+from veingraph.llm.substrings import DEALT, FREQUENT, common_groups, frequent, identified, is_in, n_buckets, with_marks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,7 +37,7 @@ CONTEXT = 100
 #: Anchors are ordered by the hashes of so many bytes.
 GRAM = 16
 #: One suffix array covers about so many bytes.
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 #: A reduced string of more distinct names than this is sorted by doubling.
 NAMES = 5_000
 
@@ -214,63 +218,45 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)])
 
 
-def _frequent(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for _, _, texts in chunks(pdf):
-            group = super_strings(*_joined(texts), length)[3]
-            groups, n = np.unique(group, return_counts=True)
-            often = n >= REPORTED
-            yield pd.DataFrame({"g": groups[often].view(np.int64), "n": n[often], "total": 0})
-            yield pd.DataFrame({"g": [0], "n": [0], "total": [len(group)]})
-
-
-def _hot(docs: DataFrame, length: int) -> np.ndarray:
-    """Groups too common for one task: they are dealt out by window."""
-    found = cut(docs.mapInPandas(lambda it: _frequent(it, length), "g long, n long, total long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-    total = found.agg(F.sum("total")).first()[0] or 0
-    rows = found.filter(F.col("n") > max(HOT_ROWS, total // HOT_GROUPS)).select("g").collect()
-    return np.sort(np.array([r["g"] for r in rows], np.int64).view(np.uint64))
-
-
-def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(known, values)
-    return known[np.minimum(at, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+def _frequent(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for _, _, texts in chunks(batches):
+        yield frequent(super_strings(*_joined(texts), length)[3])
 
 
+BLOBS = "bucket int, blob binary"
 #: Kinds of records: a run of windows by its hash, one that a chunk repeats and has marked already, a mark, a window of a hot group.
 RUN, REPEATED, MARK, SINGLE = range(4)
 
 
-def _deal(batches: Iterator[pd.DataFrame], length: int, buckets: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+def _deal(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Records (kind, id, h, start, n, group, whole) in buckets by group; marks by document, hot windows by themselves."""
-    for pdf in batches:
-        for ids, hashes, texts in chunks(pdf):
-            doc, start, n, group, whole, w_doc, w_at, w_group, prefixes = super_strings(*_joined(texts), length)
-            if not len(doc):
-                continue
-            common = _is_in(group, hot)
-            order = np.argsort(mix64(group * MATCH + whole), kind="stable")
-            heads = run_starts(group[order], whole[order])
-            sizes = np.diff(np.append(heads, len(order)))
-            times = np.empty(len(doc), np.int64)
-            times[order] = np.repeat(sizes, sizes)
-            is_head = np.zeros(len(doc), bool)
-            is_head[order[heads]] = True
-            twice = times > 1
-            sent = is_head & ~common
-            parts = [
-                (np.where(twice[sent], REPEATED, RUN), *(c[sent] for c in (doc, start, n, group, whole))),
-                (np.full(twice.sum(), MARK), *(c[twice] for c in (doc, start, n, group, whole))),
-            ]
-            if common.any():
-                chosen = np.flatnonzero(np.repeat(common & is_head, n))
-                edges = np.cumsum([0, *map(len, texts)])
-                match = prefixes.runs(w_at[chosen], w_at[chosen] + length)
-                parts.append((np.full(len(chosen), SINGLE), w_doc[chosen], w_at[chosen] - edges[w_doc[chosen]], np.where(np.repeat(twice, n)[chosen], 2, 1), w_group[chosen], match))
-            kind, d, s, m, g, v = (np.concatenate(c) for c in zip(*parts))
-            key = np.select([kind == MARK, kind == SINGLE], [mix64(hashes[d].view(np.uint64)), mix64(v ^ g)], g)
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            yield pack(bucket, buckets, kind.astype(np.int8), ids[d], hashes[d], s.astype(np.int32), m.astype(np.int32), g, v)
+    for ids, hashes, texts in chunks(batches):
+        doc, start, n, group, whole, w_doc, w_at, w_group, prefixes = super_strings(*_joined(texts), length)
+        if not len(doc):
+            continue
+        common = is_in(group, hot)
+        order = np.argsort(mix64(group * MATCH + whole), kind="stable")
+        heads = run_starts(group[order], whole[order])
+        sizes = np.diff(np.append(heads, len(order)))
+        times = np.empty(len(doc), np.int64)
+        times[order] = np.repeat(sizes, sizes)
+        is_head = np.zeros(len(doc), bool)
+        is_head[order[heads]] = True
+        twice = times > 1
+        sent = is_head & ~common
+        parts = [
+            (np.where(twice[sent], REPEATED, RUN), *(c[sent] for c in (doc, start, n, group, whole))),
+            (np.full(twice.sum(), MARK), *(c[twice] for c in (doc, start, n, group, whole))),
+        ]
+        if common.any():
+            chosen = np.flatnonzero(np.repeat(common & is_head, n))
+            edges = np.cumsum([0, *map(len, texts)])
+            match = prefixes.runs(w_at[chosen], w_at[chosen] + length)
+            parts.append((np.full(len(chosen), SINGLE), w_doc[chosen], w_at[chosen] - edges[w_doc[chosen]], np.where(np.repeat(twice, n)[chosen], 2, 1), w_group[chosen], match))
+        kind, d, s, m, g, v = (np.concatenate(c) for c in zip(*parts))
+        key = np.select([kind == MARK, kind == SINGLE], [mix64(hashes[d].view(np.uint64)), mix64(v ^ g)], g)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        yield arrow(pack(bucket, buckets, kind.astype(np.int8), ids[d], hashes[d], s.astype(np.int32), m.astype(np.int32), g, v), BLOBS)
 
 
 def _sift(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -307,35 +293,22 @@ def _sift(pdf: pd.DataFrame) -> pd.DataFrame:
     return marks.merge(wanted.rename(columns={"blob": "needed"}), "outer", ["id", "h"]).replace({np.nan: None})[["id", "h", "blob", "needed"]]
 
 
-def _extract(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Iterator[pd.DataFrame]:
+def _extract(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """The needed runs' bytes, in buckets by group."""
-    for pdf in batches:
-        pending: list[tuple] = []
-        size = 0
-
-        def flush() -> pd.DataFrame:
-            ids, hashes, starts, n, group, repeated = (np.concatenate(c) for c in zip(*[p[:6] for p in pending]))
-            pieces = [piece for p in pending for piece in p[6]]
-            bucket = (group % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            records = pack(bucket, buckets, ids, hashes, starts, n, group, repeated)
-            lengths = np.array([len(p) for p in pieces])
-            data = np.frombuffer(b"".join(pieces[k] for k in order), np.uint8)
-            inner = pack(np.repeat(bucket[order], lengths[order]), buckets, data)
-            return records.merge(inner, "left", "bucket", suffixes=("", "s"))
-
-        for id_, h, text, blobs in zip(pdf["id"], pdf["h"], pdf["text"], pdf["blobs"]):
-            starts, n, group, repeated = unpack(pd.Series(list(blobs)))
-            data = text.encode("utf-8", "surrogatepass")
-            pieces = [data[a : a + m + length - 1] for a, m in zip(starts.tolist(), n.tolist())]
-            k = len(starts)
-            pending.append((np.full(k, id_), np.full(k, h), starts, n, group, repeated, pieces))
-            size += sum(map(len, pieces))
-            if size > 4_000_000:
-                yield flush()
-                pending, size = [], 0
-        if pending:
-            yield flush()
+    for part in slices(batches):
+        records, pieces = [], []
+        rows = zip(part.column("id").to_pylist(), part.column("h").to_pylist(), encoded(part.column("text")), part.column("blobs").to_pylist())
+        for id_, h, text, blobs in rows:
+            starts, n, group, repeated = unpack(blobs)
+            pieces += [text[a : a + m + length - 1] for a, m in zip(starts.tolist(), n.tolist())]
+            records.append((np.full(len(starts), id_), np.full(len(starts), h), starts, n, group, repeated))
+        ids, hashes, starts, n, group, repeated = (np.concatenate(c) for c in zip(*records))
+        bucket = (group % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        lengths = np.array([len(p) for p in pieces])
+        data = np.frombuffer(b"".join(pieces[k] for k in order), np.uint8)
+        inner = pack(np.repeat(bucket[order], lengths[order]), buckets, data)
+        yield arrow(pack(bucket, buckets, ids, hashes, starts, n, group, repeated).merge(inner, "left", "bucket", suffixes=("", "s")), DEALT)
 
 
 def shard_matches(pieces: np.ndarray, sizes: np.ndarray, repeated: np.ndarray, length: int) -> np.ndarray:
@@ -384,23 +357,20 @@ def _match(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return by_document(*(np.concatenate(c) for c in zip(*found)))
 
 
-def _cut_out(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for text, blobs in zip(pdf["text"], pdf["blobs"]):
-            data = ("" if text is None else text).encode("utf-8", "surrogatepass")
-            gone = spans = 0
-            n_bytes.append(len(data))
-            if blobs is not None and len(blobs):
-                start, n = unpack(pd.Series(list(blobs)))
-                covered = covered_by(len(data), start, start + n + (length - 1))
-                gone = int(covered.sum())
-                spans = int((covered & ~np.append(False, covered[:-1])).sum())
-                data = np.frombuffer(data, np.uint8)[~covered].tobytes()
-            n_removed.append(gone)
-            n_spans.append(spans)
-            kept.append(data)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": n_bytes, "n_removed": n_removed, "n_spans": n_spans, "kept": kept})
+def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        counts, kept = [], []
+        for text, blobs in zip(encoded(part.column("text")), part.column("blobs").to_pylist()):
+            size, gone, spans = len(text), 0, 0
+            if blobs:
+                start, n = unpack(blobs)
+                covered = covered_by(size, start, start + n + (length - 1))
+                gone, spans = int(covered.sum()), int((covered & ~np.append(False, covered[:-1])).sum())
+                text = np.frombuffer(text, np.uint8)[~covered].tobytes()
+            counts.append((size, gone, spans))
+            kept.append(text)
+        numbers = [pa.array(c, pa.int64()) for c in zip(*counts)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *numbers, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -419,15 +389,16 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = identified(docs)
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
-    hot = docs.sparkSession.sparkContext.broadcast(_hot(texts, length))
-    dealt = texts.mapInPandas(lambda it: _deal(it, length, buckets, hot.value), "bucket int, blob binary")
+    hot = docs.sparkSession.sparkContext.broadcast(common_groups(texts.mapInArrow(lambda it: _frequent(it, length), FREQUENT)))
+    dealt = texts.mapInArrow(lambda it: _deal(it, length, buckets, hot.value), BLOBS)
     sifted = cut(dealt.groupBy("bucket").applyInPandas(lambda pdf: _sift(pdf), "id long, h long, blob binary, needed binary"))
     needed = sifted.filter("needed IS NOT NULL").select("id", "h", F.col("needed").alias("blob"))
     wanted = with_marks(texts.withColumn("doc_id", F.lit(None)), needed).filter("blobs IS NOT NULL").dropDuplicates(["id", "h"])
-    pieces = wanted.mapInPandas(lambda it: _extract(it, length, buckets), "bucket int, blob binary, blobs binary")
+    pieces = wanted.drop("doc_id").mapInArrow(lambda it: _extract(it, length, buckets), DEALT)
     matched = pieces.groupBy("bucket").applyInPandas(lambda pdf: _match(pdf, length), "id long, h long, blob binary")
     marks = sifted.filter("blob IS NOT NULL").select("id", "h", "blob").unionByName(matched)
-    return with_marks(rows, marks).mapInPandas(lambda it: _cut_out(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = dict(docs.dtypes)["doc_id"]
+    return with_marks(rows, marks).mapInArrow(lambda it: _cut_out(it, length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
