@@ -32,8 +32,8 @@ def document_frequencies(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def postings(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional inverted index of ``terms``: (term, _key, pos), written to the checkpoint folder."""
-    return cut(words.select("_key", F.posexplode("w").alias("pos", "term")).join(small(terms), "term").select("term", "_key", "pos"))
+    """The positional inverted index of ``terms``: (term, _vg_key, pos), written to the checkpoint folder."""
+    return cut(words.select("_vg_key", F.posexplode("w").alias("pos", "term")).join(small(terms), "term").select("term", "_vg_key", "pos"))
 
 
 def rarest_terms(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -67,29 +67,29 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     4. What is left is verified word by word in the document.
     Rows that repeat a document are matched each; a null or empty text has no words; without items nothing matches.
     """
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    words = keyed.select("_key", plain_words(F.col("text")).alias("w"))
+    keyed = docs.withColumn("_vg_key", row_key(F.col("doc_id"), F.col("text")))
+    words = keyed.select("_vg_key", plain_words(F.col("text")).alias("w"))
     windows = cut(benchmark_windows(benchmark, window))
     vocabulary = cut(windows.select(F.explode("terms").alias("term")).distinct())
     pivots = cut(rarest_terms(windows, cut(document_frequencies(words, vocabulary))))
     terms = pivots.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
     index = postings(words, cut(terms))
-    starts = index.join(small(pivots), F.col("term") == F.col("t1")).select("win", "_key", (F.col("pos") - F.col("o1")).alias("at"), "t2", "o2").filter("at >= 0")
-    seconds = index.select(F.col("term").alias("t2"), "_key", "pos")
-    both = starts.withColumn("pos", F.col("at") + F.col("o2")).join(seconds, ["t2", "_key", "pos"]).select("win", "_key", "at").distinct()
-    found = both.join(small(windows), "win").groupBy("_key").agg(F.collect_list(F.struct("at", "terms", "items")).alias("_found"))
+    starts = index.join(small(pivots), F.col("term") == F.col("t1")).select("win", "_vg_key", (F.col("pos") - F.col("o1")).alias("at"), "t2", "o2").filter("at >= 0")
+    seconds = index.select(F.col("term").alias("t2"), "_vg_key", "pos")
+    both = starts.withColumn("pos", F.col("at") + F.col("o2")).join(seconds, ["t2", "_vg_key", "pos"]).select("win", "_vg_key", "at").distinct()
+    found = both.join(small(windows), "win").groupBy("_vg_key").agg(F.collect_list(F.struct("at", "terms", "items")).alias("_vg_found"))
 
     def verified(w: Column) -> Column:
-        true = F.filter(F.col("_found"), lambda c: F.slice(w, c["at"] + 1, F.size(c["terms"])) == c["terms"])
+        true = F.filter(F.col("_vg_found"), lambda c: F.slice(w, c["at"] + 1, F.size(c["terms"])) == c["terms"])
         spans = F.transform(true, lambda c: F.struct(c["at"].alias("at"), F.size(c["terms"]).alias("len"), c["items"].alias("items")))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.array_sort(spans).alias("hits"))
 
-    matched = keyed.join(cut(found), "_key", "left").withColumn("_found", F.coalesce("_found", F.array()))
+    matched = keyed.join(cut(found), "_vg_key", "left").withColumn("_vg_found", F.coalesce("_vg_found", F.array()))
     return (
-        matched.withColumn("_match", let(plain_words(F.col("text")), verified))
-        .withColumns({"n_words": F.col("_match.n_words"), "hits": F.col("_match.hits")})
+        matched.withColumn("_vg_match", let(plain_words(F.col("text")), verified))
+        .withColumns({"n_words": F.col("_vg_match.n_words"), "hits": F.col("_vg_match.hits")})
         .withColumn("n_hit", covered(F.col("hits")).cast("long"))
-        .drop("_key", "_found", "_match")
+        .drop("_vg_key", "_vg_found", "_vg_match")
     )
 
 
@@ -98,20 +98,20 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 3, win
 
     Their distance may differ from that in the item by up to ``slack`` words; ``at`` is the rarest term's place.
     """
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    words = keyed.select("_key", plain_words(F.col("text")).alias("w"))
+    keyed = docs.withColumn("_vg_key", row_key(F.col("doc_id"), F.col("text")))
+    words = keyed.select("_vg_key", plain_words(F.col("text")).alias("w"))
     windows = cut(benchmark_windows(benchmark, window))
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
     pivots = cut(rarest_terms(windows, document_frequencies(words, vocabulary)))
     index = postings(words, pivots.select(F.explode(F.array("t1", "t2")).alias("term")).distinct())
-    first = index.join(pivots, F.col("term") == F.col("t1")).select("win", "_key", F.col("pos").alias("at"), "t2", (F.col("o2") - F.col("o1")).alias("gap"))
+    first = index.join(pivots, F.col("term") == F.col("t1")).select("win", "_vg_key", F.col("pos").alias("at"), "t2", (F.col("o2") - F.col("o1")).alias("gap"))
     # Positions meet in blocks of the tolerated width, so that the join stays an equi-join.
     width = 2 * slack + 1
     block = lambda c: F.floor(c / width).cast("int")
     near = first.withColumn("lo", F.col("at") + F.col("gap") - slack).withColumn("block", F.explode(F.array(block(F.col("lo")), block(F.col("lo")) + 1)))
-    seconds = index.select(F.col("term").alias("t2"), "_key", F.col("pos").alias("at2"), block(F.col("pos")).alias("block"))
-    hit = near.join(seconds, ["t2", "_key", "block"]).filter(F.col("at2").between(F.col("lo"), F.col("lo") + 2 * slack))
-    return hit.join(windows, "win").select(F.col("_key.id").alias("doc_id"), F.explode("items").alias("item_id"), "at").distinct()
+    seconds = index.select(F.col("term").alias("t2"), "_vg_key", F.col("pos").alias("at2"), block(F.col("pos")).alias("block"))
+    hit = near.join(seconds, ["t2", "_vg_key", "block"]).filter(F.col("at2").between(F.col("lo"), F.col("lo") + 2 * slack))
+    return hit.join(windows, "win").select(F.col("_vg_key.id").alias("doc_id"), F.explode("items").alias("item_id"), "at").distinct()
 
 
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,12 +92,12 @@ def scan_licenses(
     to a span, which is verified against the template's words. Only matches are shuffled, and a document's matches
     of one place are combined before. Null and empty texts have no words; repeated rows have the same result each.
     """
-    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_key"), plain_words(F.col("text")).alias("w"))
+    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_vg_key"), plain_words(F.col("text")).alias("w"))
     known = template_grams(docs.sparkSession, templates, gram)
     votes = (
-        keyed.select("_key", F.posexplode(_grams(F.col("w"), gram)).alias("pos", "gram"))
+        keyed.select("_vg_key", F.posexplode(_grams(F.col("w"), gram)).alias("pos", "gram"))
         .join(F.broadcast(known), "gram")
-        .groupBy("_key", "tpl", "label", "tpl_words", (F.col("pos") - F.col("tpl_pos")).alias("at"))
+        .groupBy("_vg_key", "tpl", "label", "tpl_words", (F.col("pos") - F.col("tpl_pos")).alias("at"))
         .agg(F.count(F.lit(1)).alias("votes"))
     )
 
@@ -110,14 +110,14 @@ def scan_licenses(
 
     empty = F.array().cast("array<struct<first:int,last:int,votes:bigint>>")
     diagonals = (
-        votes.groupBy("_key", "tpl", "label", "tpl_words")
+        votes.groupBy("_vg_key", "tpl", "label", "tpl_words")
         .agg(F.array_sort(F.collect_list(F.struct("at", "votes"))).alias("by"))
         .withColumn("run", F.explode(F.aggregate("by", empty, merged)))
         # A gram that goes wrong takes up to GRAM votes, so a template of min_share has at least this many left.
         .filter(F.col("run.votes") >= F.greatest(F.lit(1), F.size("tpl_words") * (1 - gram * (1 - min_share)) - gram + 1))
     )
     candidates = cut(
-        diagonals.groupBy("_key").agg(F.collect_list(F.struct("label", "tpl_words", "run.first", "run.last")).alias("_candidates"))
+        diagonals.groupBy("_vg_key").agg(F.collect_list(F.struct("label", "tpl_words", "run.first", "run.last")).alias("_vg_candidates"))
     )
 
     def verified(w: Column) -> Column:
@@ -127,7 +127,7 @@ def scan_licenses(
             share = in_order(w, start, end, c["tpl_words"]) / F.size(c["tpl_words"])
             return F.struct(c["label"].alias("label"), start.alias("start"), end.alias("end"), share.alias("share"))
 
-        spans = F.filter(F.transform(F.col("_candidates"), span), lambda s: s["share"] >= min_share)
+        spans = F.filter(F.transform(F.col("_vg_candidates"), span), lambda s: s["share"] >= min_share)
         places = [labelled_places(phrase_starts(w, phrase), label) for phrase, label in phrases]
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
@@ -135,12 +135,12 @@ def scan_licenses(
             F.coalesce(spans, F.array().cast("array<struct<label:string,start:int,end:int,share:double>>")).alias("spans"),
         )
 
-    base = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
+    base = docs.withColumn("_vg_key", row_key(F.col("doc_id"), F.col("text")))
     return (
-        base.join(small(candidates, CANDIDATE_ROWS), "_key", "left")
-        .withColumn("_found", let(plain_words(F.col("text")), verified))
-        .withColumns({k: F.col(f"_found.{k}") for k in ("n_words", "places", "spans")})
-        .drop("_key", "_candidates", "_found")
+        base.join(small(candidates, CANDIDATE_ROWS), "_vg_key", "left")
+        .withColumn("_vg_found", let(plain_words(F.col("text")), verified))
+        .withColumns({k: F.col(f"_vg_found.{k}") for k in ("n_words", "places", "spans")})
+        .drop("_vg_key", "_vg_candidates", "_vg_found")
     )
 
 

@@ -57,9 +57,9 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKEN
     with ties in doc_id all of them keep theirs. A null text stays null (0 lines); an empty text has one line.
     Rows of null doc_id are never first unless all are. Columns of the added names are replaced.
     """
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
+    keyed = docs.withColumn("_vg_key", row_key(F.col("doc_id"), F.col("text")))
     held = keyed.select(
-        "_key",
+        "_vg_key",
         F.explode(
             F.array_distinct(
                 F.array_compact(F.transform(F.split("text", "\n"), lambda x: template(x, depth, min_tokens)))
@@ -69,24 +69,24 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKEN
     recurring = cut(recurring_templates(docs, depth, min_tokens, min_docs))
     drop = (
         held.join(recurring, "template")
-        .filter(~F.col("_key.id").eqNullSafe(F.col("first_doc")))
-        .groupBy("_key")
-        .agg(F.collect_set("template").alias("_drop"))
+        .filter(~F.col("_vg_key.id").eqNullSafe(F.col("first_doc")))
+        .groupBy("_vg_key")
+        .agg(F.collect_set("template").alias("_vg_drop"))
     )
     lines = F.split("text", "\n")
-    keep = lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), template(x, depth, min_tokens)), F.lit(False))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, keep))
+    keep = lambda x: ~F.coalesce(F.array_contains(F.col("_vg_drop"), template(x, depth, min_tokens)), F.lit(False))
+    kept = F.when(F.col("_vg_drop").isNull(), lines).otherwise(F.filter(lines, keep))
     return (
-        keyed.join(drop, "_key", "left")
-        .withColumn("_kept", kept)
+        keyed.join(drop, "_vg_key", "left")
+        .withColumn("_vg_kept", kept)
         .withColumns(
             {
                 "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-                "n_dropped": F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long"),
-                "text": F.array_join("_kept", "\n"),
+                "n_dropped": F.coalesce(F.size(lines) - F.size("_vg_kept"), F.lit(0)).cast("long"),
+                "text": F.array_join("_vg_kept", "\n"),
             }
         )
-        .drop("_key", "_drop", "_kept")
+        .drop("_vg_key", "_vg_drop", "_vg_kept")
     )
 
 

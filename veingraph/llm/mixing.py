@@ -70,16 +70,16 @@ def mix(
     All input columns stay (columns named ``copy`` or ``mix_key`` are replaced).
     A null source is a source of its own; rows that repeat a doc_id get the same count; an empty table gives none.
     """
-    means = small(source_means(docs, weights, temperature).select(F.col("source").alias("_source"), F.col("mean").alias("_mean")))
-    repeats = poisson_count(F.col("_mean"), uniform(seed, F.col("doc_id")))
+    means = small(source_means(docs, weights, temperature).select(F.col("source").alias("_vg_source"), F.col("mean").alias("_vg_mean")))
+    repeats = poisson_count(F.col("_vg_mean"), uniform(seed, F.col("doc_id")))
     copies = (
         docs.drop("copy", "mix_key")
-        .join(means, docs["source"].eqNullSafe(F.col("_source")))
-        .withColumn("_n", repeats)
-        .filter("_n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        .join(means, docs["source"].eqNullSafe(F.col("_vg_source")))
+        .withColumn("_vg_n", repeats)
+        .filter("_vg_n > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_vg_n") - 1)))
         .withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
-        .drop("_source", "_mean", "_n")
+        .drop("_vg_source", "_vg_mean", "_vg_n")
     )
     return copies.repartition("mix_key").sortWithinPartitions("mix_key", "doc_id")
 
