@@ -136,8 +136,10 @@ def test_chain_of_near_copies(docs_of):
     assert {r["class_id"] for r in found} == {0} and sum(r["kept"] for r in found) == 1
 
 
-def test_large_buckets_within_a_task(docs_of, monkeypatch):
+@pytest.mark.parametrize("large", [4096, 12])
+def test_large_buckets_within_a_task(docs_of, monkeypatch, large):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(neardup, "LARGE_BUCKET", large)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     docs = []
