@@ -10,6 +10,10 @@ from veingraph.plans.iteration import cut
 from veingraph.sources.triples import undirected, with_predicate
 
 
+#: What was seen is written down as one table after so many levels.
+COMPACT = 8
+
+
 def levels(triples: DataFrame, sources: DataFrame, predicate: str | None = CONNECTED) -> DataFrame:
     """(source, v, level): every vertex's distance from each source of ``sources`` (source), edges taken both ways.
 
@@ -26,6 +30,8 @@ def levels(triples: DataFrame, sources: DataFrame, predicate: str | None = CONNE
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if level % COMPACT == 0:  # else the plan grows with the diameter
+            seen = cut(seen)
 
 
 def eccentricities(triples: DataFrame, sources: DataFrame, predicate: str | None = CONNECTED) -> DataFrame:

@@ -10,22 +10,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veingraph.functions.terms import is_blank, str_of
-from veingraph.plans.iteration import cut
+from veingraph.functions.terms import is_blank, is_iri, str_of
+from veingraph.plans.iteration import cut, decode, dictionary, small
+
+
+def _oriented(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(u, v, out, in, *by): each pair (a, b, ab, ba, *by) from its end of the lower degree, ties by the smaller end."""
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("x"), *by).groupBy("x", *by).agg(F.count(F.lit(1)).alias("d"))
+    of = lambda end: degrees.select(F.col("x").alias(end), F.col("d").alias(f"d_{end}"), *by)
+    ranked = pairs.join(of("a"), ["a", *by]).join(of("b"), ["b", *by])
+    forward = F.col("d_a") <= F.col("d_b")
+    pick = lambda x, y, name: F.when(forward, F.col(x)).otherwise(F.col(y)).alias(name)
+    return cut(ranked.select(pick("a", "b", "u"), pick("b", "a", "v"), pick("ab", "ba", "out"), pick("ba", "ab", "in"), *by).repartition("u"))
 
 
 def _closed_wedges(pairs: DataFrame, *by: str) -> DataFrame:
-    """(a, b, c, *by) with a < b < c for every triangle of distinct pairs (a, b, *by), a < b."""
-    degrees = pairs.select(F.explode(F.array("a", "b")).alias("v"), *by).groupBy("v", *by).agg(F.count(F.lit(1)).alias("d"))
-    ranked = pairs.join(degrees.select(F.col("v").alias("a"), F.col("d").alias("d_a"), *by), ["a", *by]).join(
-        degrees.select(F.col("v").alias("b"), F.col("d").alias("d_b"), *by), ["b", *by]
-    )
-    forward = F.struct("d_a", "a") < F.struct(F.col("d_b").alias("d_a"), F.col("b").alias("a"))
-    out = ranked.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("v"), *by)
-    wedges = out.join(out.withColumnRenamed("v", "w"), ["u", *by]).filter("v < w")
-    closed = wedges.join(pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), *by), ["v", "w", *by])
+    """(u, v, w, uv, vu, uw, wu, vw, wv, *by), v < w: every triangle of distinct pairs (a, b, ab, ba, *by), a < b, once.
+
+    ``u`` is its vertex of the lowest degree; the other columns are the pairs' edge counts each way.
+    """
+    keys = list(by)
+    out = _oriented(pairs, keys)
+    first = out.select("u", "v", F.col("out").alias("uv"), F.col("in").alias("vu"), *keys)
+    second = out.select("u", F.col("v").alias("w"), F.col("out").alias("uw"), F.col("in").alias("wu"), *keys)
+    third = pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("ab").alias("vw"), F.col("ba").alias("wv"), *keys)
+    return first.join(second, ["u", *keys]).filter("v < w").join(third, ["v", "w", *keys])
+
+
+def _ids(triples: DataFrame) -> tuple[DataFrame, bool]:
+    """The vertices' dictionary, and whether all are IRIs, so that ids are in STR order."""
+    ids = dictionary(triples.select(F.explode(F.array("s", "o")).alias("v")))
+    return ids, ids.filter(~is_iri(F.col("term"))).isEmpty()
+
+
+def _undirected(triples: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(x, y, z, p) of :func:`undirected_triangles`, as ids of the returned dictionary if all vertices are IRIs."""
+    one = {"ab": F.lit(1), "ba": F.lit(1)}
+    ids, plain = _ids(triples)
+    if plain:
+        known = small(ids)
+        coded = triples.join(known.select(F.col("term").alias("s"), F.col("id").alias("a")), "s").join(known.select(F.col("term").alias("o"), F.col("id").alias("b")), "o")
+        pairs = coded.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "p").distinct()
+    else:
+        term = lambda c: F.struct(str_of(F.col(c)).alias("text"), F.col(c).alias("term"))
+        ends = triples.filter(~is_blank(F.col("s")) & ~is_blank(F.col("o"))).select(term("s").alias("s"), term("o").alias("o"), "p")
+        pairs = ends.filter(F.col("s.text") != F.col("o.text")).select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), "p").distinct()
     corners = F.array_sort(F.array("u", "v", "w"))
-    return closed.select(corners[0].alias("a"), corners[1].alias("b"), corners[2].alias("c"), *by)
+    found = _closed_wedges(cut(pairs).withColumns(one), "p").select(corners.alias("c"), "p")
+    if plain:
+        return found.select(*[F.col("c")[k].alias(n) for k, n in enumerate("xyz")], "p"), ids
+    return found.select(*[F.col("c")[k]["term"].alias(n) for k, n in enumerate("xyz")], "p"), None
 
 
 def undirected_triangles(triples: DataFrame) -> DataFrame:
@@ -33,39 +67,33 @@ def undirected_triangles(triples: DataFrame) -> DataFrame:
 
     Blank nodes have no STR and take no part; literals do.
     """
-    term = lambda c: F.struct(str_of(F.col(c)).alias("text"), F.col(c).alias("term"))
-    ends = triples.filter(~is_blank(F.col("s")) & ~is_blank(F.col("o"))).select(term("s").alias("s"), term("o").alias("o"), "p")
-    pairs = ends.filter(F.col("s.text") != F.col("o.text")).select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), "p").distinct()
-    found = _closed_wedges(pairs, "p")
-    return found.select(F.col("a.term").alias("x"), F.col("b.term").alias("y"), F.col("c.term").alias("z"), "p")
+    found, ids = _undirected(triples)
+    if ids is not None:
+        for corner in "xyz":
+            found = decode(found, ids, corner)
+    return found.select("x", "y", "z", "p")
 
 
 def triangle_count_undirected(triples: DataFrame) -> DataFrame:
-    return undirected_triangles(triples).agg(F.count(F.lit(1)).alias("count"))
+    return _undirected(triples)[0].agg(F.count(F.lit(1)).alias("count"))
 
 
 def triangle_count_undirected_per_node(triples: DataFrame) -> DataFrame:
     """(x, count): triangles by their smallest vertex; vertices that are smallest in none are absent."""
-    return undirected_triangles(triples).groupBy("x").agg(F.count(F.lit(1)).alias("count"))
+    found, ids = _undirected(triples)
+    counted = found.groupBy("x").agg(F.count(F.lit(1)).alias("count"))
+    return counted if ids is None else decode(counted, ids, "x").select("x", "count")
 
 
-def _multiplicities(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, ab, ba) with a < b: how many edges join two vertices each way; and (v, loops)."""
+def _multiplicities(triples: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, ab, ba) of ids a < b: how many edges join two vertices each way; and (v, loops)."""
+    known = small(ids)
     counted = triples.groupBy("s", "o").agg(F.count(F.lit(1)).alias("n"))
-    up = F.col("s") < F.col("o")
-    pairs = (
-        counted.filter("s <> o")
-        .groupBy(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))
-        .agg(F.coalesce(F.sum(F.when(up, F.col("n"))), F.lit(0)).alias("ab"), F.coalesce(F.sum(F.when(~up, F.col("n"))), F.lit(0)).alias("ba"))
-    )
-    return cut(pairs), counted.filter("s = o").select(F.col("s").alias("v"), F.col("n").alias("loops"))
-
-
-def _weighted_triangles(pairs: DataFrame) -> DataFrame:
-    """Triangles a < b < c with the six multiplicities ab, ba, ac, ca, bc, cb."""
-    found = _closed_wedges(pairs.select("a", "b"))
-    side = lambda x, y: pairs.select(F.col("a").alias(x), F.col("b").alias(y), F.col("ab").alias(x + y), F.col("ba").alias(y + x))
-    return found.join(side("a", "b"), ["a", "b"]).join(side("a", "c"), ["a", "c"]).join(side("b", "c"), ["b", "c"])
+    coded = counted.join(known.select(F.col("term").alias("s"), F.col("id").alias("src")), "s").join(known.select(F.col("term").alias("o"), F.col("id").alias("dst")), "o")
+    up = F.col("src") < F.col("dst")
+    sides = coded.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when(up, F.col("n")).otherwise(0).alias("ab"), F.when(up, 0).otherwise(F.col("n")).alias("ba"))
+    every = cut(sides.groupBy("a", "b").agg(F.sum("ab").alias("ab"), F.sum("ba").alias("ba")))
+    return every.filter("a <> b"), every.filter("a = b").select(F.col("a").alias("v"), F.col("ba").alias("loops"))
 
 
 def _pair_loops(pairs: DataFrame, loops: DataFrame) -> DataFrame:
@@ -87,20 +115,24 @@ def triangle_count_directed_parts(triples: DataFrame) -> DataFrame:
     none, and no two vertices may share their STR. A transitive triad is x -> y -> z with x -> z, for any vertices:
     loops make degenerate ones.
     """
-    pairs, loops = _multiplicities(triples)
+    ids, plain = _ids(triples)
+    pairs, loops = _multiplicities(triples, ids)
     c = F.col
-    triangles = _weighted_triangles(pairs)
-    text = {v: str_of(c(v)) for v in "abc"}
-    named = text["a"].isNotNull() & text["b"].isNotNull() & text["c"].isNotNull()
-    apart = named & (text["a"] != text["b"]) & (text["a"] != text["c"]) & (text["b"] != text["c"])
-    forward, backward = c("ab") * c("bc") * c("ca"), c("ac") * c("cb") * c("ba")
-    # Terms sort otherwise than their STR if literals take part: the cycle's direction follows the STR order.
-    t = F.array(text["a"], text["b"], text["c"])
+    found = _closed_wedges(pairs)
+    if plain:
+        t, apart = [c(x) for x in "uvw"], F.lit(True)
+    else:  # ids are in order of terms: cycles follow the order of their STR
+        terms = found
+        for corner in "uvw":
+            terms = terms.join(ids.select(c("id").alias(corner), str_of(c("term")).alias(f"text_{corner}")), corner)
+        found, t = terms, [c(f"text_{x}") for x in "uvw"]
+        apart = t[0].isNotNull() & t[1].isNotNull() & t[2].isNotNull() & (t[0] != t[1]) & (t[0] != t[2]) & (t[1] != t[2])
+    one, other = c("uv") * c("vw") * c("wu"), c("uw") * c("wv") * c("vu")
     even = ((t[0] < t[1]).cast("int") + (t[1] < t[2]).cast("int") + (t[2] < t[0]).cast("int")) == 2
-    up, down = F.when(even, forward).otherwise(backward), F.when(even, backward).otherwise(forward)
-    orders = [("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"), ("b", "c", "a"), ("c", "a", "b"), ("c", "b", "a")]
-    triads = sum((c(x + y) * c(y + z) * c(x + z) for x, y, z in orders[1:]), c("ab") * c("bc") * c("ac"))
-    main = triangles.agg(_total(F.when(apart, up)).alias("cycles_up"), _total(F.when(apart, down)).alias("cycles_down"), _total(triads).alias("t"))
+    up, down = F.when(even, one).otherwise(other), F.when(even, other).otherwise(one)
+    orders = [("u", "w", "v"), ("v", "u", "w"), ("v", "w", "u"), ("w", "u", "v"), ("w", "v", "u")]
+    triads = sum((c(x + y) * c(y + z) * c(x + z) for x, y, z in orders), c("uv") * c("vw") * c("uw"))
+    main = found.agg(_total(F.when(apart, up)).alias("cycles_up"), _total(F.when(apart, down)).alias("cycles_down"), _total(triads).alias("t"))
     at_loops = _pair_loops(pairs, loops).agg(_total(c("loops") * (c("out") * c("out") + c("in") * c("in") + c("out") * c("in"))).alias("t"))
     alone = loops.agg(_total(c("loops") * c("loops") * c("loops")).alias("t"))
     degenerate = at_loops.unionByName(alone).agg(F.sum("t").alias("extra"))
@@ -117,10 +149,11 @@ def vertex_triangles(triples: DataFrame) -> DataFrame:
 
     For three vertices that is the product of the pairs' edge counts; loops add degenerate matches.
     """
-    pairs, loops = _multiplicities(triples)
+    ids, _ = _ids(triples)
+    pairs, loops = _multiplicities(triples, ids)
     c = F.col
-    every = (c("ab") + c("ba")) * (c("ac") + c("ca")) * (c("bc") + c("cb"))
-    proper = _weighted_triangles(pairs).select(F.explode(F.array("a", "b", "c")).alias("v"), every.alias("n"))
+    every = (c("uv") + c("vu")) * (c("uw") + c("wu")) * (c("vw") + c("wv"))
+    proper = _closed_wedges(pairs).select(F.explode(F.array("u", "v", "w")).alias("v"), every.alias("n"))
     near = _pair_loops(pairs, loops)
     out, in_, n = c("out"), c("in"), c("loops")
     # The loop is at the anchor (paired with either other corner), or at both other corners.
@@ -128,7 +161,7 @@ def vertex_triangles(triples: DataFrame) -> DataFrame:
     opposite = near.select(c("w").alias("v"), (n * (2 * out * in_ + out * out + in_ * in_)).alias("n"))
     alone = loops.select("v", (4 * n * n * n).alias("n"))
     parts = proper.unionByName(anchored).unionByName(opposite).unionByName(alone)
-    return parts.groupBy("v").agg(F.sum("n").alias("count"))
+    return decode(parts.groupBy("v").agg(F.sum("n").alias("count")), ids).select("v", "count")
 
 
 def triangle_dist(triples: DataFrame, limit: int | None = None) -> DataFrame:
