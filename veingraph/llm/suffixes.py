@@ -162,10 +162,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return induce(text, smaller, leftmost[ranks])
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int, least: int = 0) -> np.ndarray:
     """Permuted common prefixes: for each place its longest match with another suffix, up to ``limit``.
 
-    A suffix's longest match is with a neighbour in the order. Lengths are found by halving over prefix hashes.
+    A suffix's longest match is with a neighbour in the order. Lengths are found by halving over prefix hashes; those
+    that cannot reach ``least`` any more are left at what is known of them.
     """
     prefixes = Prefixes(mix64(text.astype(np.uint64) + np.uint64(1)))
     n = len(text)
@@ -174,7 +175,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     low = np.zeros(n - 1, np.int64)
     step = 1 << (limit.bit_length() - 1)
     while step:
-        fits = np.flatnonzero(low + step <= room)
+        fits = np.flatnonzero((low + step <= room) & (low + (2 * step - 1) >= least))
         i, j = a[fits] + low[fits], b[fits] + low[fits]
         same = fits[prefixes.runs(i, i + step) == prefixes.runs(j, j + step)]
         low[same] += step
@@ -323,7 +324,7 @@ def shard_matches(pieces: np.ndarray, sizes: np.ndarray, repeated: np.ndarray, l
     at = np.arange(len(pieces)) + gap
     text[at] = pieces.astype(np.int64) + 2
     text[ends + np.arange(n)] = 1
-    longest = common_prefixes(text, suffix_array(text), length)[at]
+    longest = common_prefixes(text, suffix_array(text), length, length)[at]
     inside = np.arange(len(pieces)) + length <= ends[gap]
     return inside & ((longest >= length) | repeated[gap])
 
