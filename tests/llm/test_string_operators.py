@@ -95,15 +95,18 @@ def test_deep_recursion_of_names(monkeypatch):
     assert suffixes.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
-def test_parse_depends_on_the_window_alone():
+@pytest.mark.parametrize("size, rounds", [(13, 1), (20, 1), (40, 2), (70, 3), (100, 4)])
+def test_parse_depends_on_the_window_alone(size, rounds):
     """A window's anchor and group are the same in any context, runs at its ends included."""
+    margin, found = sub.rounds_of(size)
+    assert found == rounds and margin == 2 ** (rounds + 1) and size > 3 * margin
     rng = random.Random(2)
-    for _ in range(300):
-        inner = [rng.choice("abcd") for _ in range(20)]
+    for _ in range(200):
+        inner = [rng.choice("abcd") for _ in range(size)]
         seen = set()
         for _ in range(4):
-            left, right = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
-            _, pos, anchor, group, match = sub.parsed_windows([" ".join(left + inner + right).encode()], 20)
+            left, right = ([rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in range(2))
+            _, pos, anchor, group, match = sub.parsed_windows([" ".join(left + inner + right).encode()], size)
             k = int(np.flatnonzero(pos == len(left))[0])
             seen.add((int(anchor[k]) - len(left), int(group[k]), int(match[k])))
         assert len(seen) == 1

@@ -7,15 +7,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veingraph.llm.common import cut, small, table
-from veingraph.llm.rolling import NULL_ID, Prefixes, arrow, chunks, encoded, mix64, run_starts, slices
+from veingraph.llm.rolling import NULL_ID, Prefixes, arrow, chunks, encoded, in_table, mix64, run_starts, slices
 from veingraph.llm.substrings import identified, word_hashes
 from veingraph.operators.components import least_neighbours
 
@@ -122,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = band_keys(signature).view(np.int64)
         short = (signature >> np.uint64(8)).astype(np.uint8)
         empty = counts == 0
-        yield arrow(pd.DataFrame({
+        yield arrow({
             "id": ids,
             "h": hashes,
             "c1": np.where(empty, ids, whole.view(np.int64)),
@@ -130,7 +128,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "bands": [None if e else b for e, b in zip(empty, bands)],
             "marks": [b.astype(np.uint32).tobytes() for b in bands],
             "sig": [s.tobytes() for s in short],
-        }), SIGNED)
+        }, SIGNED)
 
 
 def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -146,12 +144,11 @@ def similarities(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return shared / np.maximum(every, 1)
 
 
-@F.pandas_udf(T.DoubleType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="float64")
-    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, COORDINATES) for c in (a, b))
-    return pd.Series((x == y).mean(axis=1))
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures agree enough to be worth a check."""
+    for part in slices(batches):
+        x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
+        yield part.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= MIN_AGREEMENT))
 
 
 def _similar(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -161,19 +158,21 @@ def _similar(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         yield part.select(["a", "b"]).filter(pa.array(linked))
 
 
-def _compare_bucket(pdf: pd.DataFrame, threshold: float, path: list[int]) -> pd.DataFrame:
+def _compare_bucket(table: pa.Table, threshold: float) -> pa.Table:
     """Links between different classes of one large bucket, whose members share the bands of ``path``.
 
     Members outside the largest class are compared with all others, where the signatures agree enough and the
     two share no band before the path's last one but those of the path: else an earlier bucket has the pair.
     """
-    texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
+    path = table.column("path")[0].as_py()
+    texts = encoded(table.column("text").combine_chunks())
     doc, element, weight, _, _ = shingles(texts)
     edges = np.searchsorted(doc, np.arange(len(texts) + 1))
     total = np.bincount(doc, weight, len(texts))
-    signature = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, COORDINATES)
-    bands = np.frombuffer(b"".join(pdf["marks"]), np.uint32).reshape(-1, BANDS)[:, [b for b in range(path[-1]) if b not in path]]
-    names, group = np.unique(pdf["class"].to_numpy(), return_inverse=True)
+    signature = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    bands = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, BANDS)[:, [b for b in range(path[-1]) if b not in path]]
+    node = table.column("node").to_numpy()
+    _, group = np.unique(table.column("class").to_numpy(), return_inverse=True)
     rest = np.flatnonzero(group != np.bincount(group).argmax())
     found = []
     for x in rest:
@@ -190,8 +189,9 @@ def _compare_bucket(pdf: pd.DataFrame, threshold: float, path: list[int]) -> pd.
         shared = np.bincount(np.repeat(np.arange(len(other)), n), both, len(other))
         linked = other[shared / (total[other] + total[x] - shared) >= threshold - 1e-9]
         linked = linked[np.unique(group[linked], return_index=True)[1]]
-        found += [(pdf["node"].iat[x], pdf["node"].iat[y]) for y in linked]
-    return pd.DataFrame(found, columns=["a", "b"])
+        found += [(node[x], node[y]) for y in linked]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return in_table(arrow({"a": pairs[:, 0], "b": pairs[:, 1]}, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,16 +252,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     agreeing = (
         pairs.join(signs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(signs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .filter(_agreement("sig_a", "sig_b") >= MIN_AGREEMENT)
-        .select("a", "b")
+        .select("a", "b", "sig_a", "sig_b")
+        .mapInArrow(_agreeing, "a long, b long")
     )
     marked = heads.select("node", "marks", "sig")
     large, found = open_.filter(F.col("n") > SMALL_BUCKET).select("key", "node", "class", "n", F.array("band").alias("path")), []
     for _ in range(MAX_SPLITS):
         fitting = large.filter(F.col("n") <= LARGE_BUCKET).join(marked, "node").join(bodies, "node")
         found.append(
-            fitting.select("key", "path", "node", "class", "marks", "sig", "text").groupBy("key").applyInPandas(
-                lambda pdf: _compare_bucket(pdf, threshold, [int(b) for b in pdf["path"].iat[0]]), "a long, b long"
+            fitting.select("key", "path", "node", "class", "marks", "sig", "text").groupBy("key").applyInArrow(
+                lambda table: _compare_bucket(table, threshold), "a long, b long"
             )
         )
         giant = cut(large.filter(F.col("n") > LARGE_BUCKET))

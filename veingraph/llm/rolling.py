@@ -5,10 +5,9 @@ from __future__ import annotations
 import ctypes
 import pickle
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -116,11 +115,13 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def arrow(df: pd.DataFrame, schema: str) -> pa.RecordBatch:
-    """A record batch of the columns that ``schema`` (``name type, ...``) names."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+def arrow(columns: dict, schema: str) -> pa.RecordBatch:
+    """A record batch of the columns that ``schema`` (``name type, ...``) names; what is missing is null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split(" ", 1) for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(df[name], kinds[kind], from_pandas=True) for name, kind in fields], [name for name, _ in fields])
+    n = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -133,32 +134,44 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
         yield ids[order], hashes[order], [texts[k] for k in order]
 
 
-def pack(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> pd.DataFrame:
-    """Rows of (bucket, blob): the columns' values of each bucket as one blob, so that a shuffle moves few large rows."""
+def pack(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> dict[int, bytes]:
+    """The columns' values of each bucket as one blob, so that a shuffle moves few large rows."""
     order = np.argsort(bucket.astype(np.int32), kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
     sorted_columns = [c[order] for c in columns]
-    rows = [
-        (b, pickle.dumps(tuple(np.ascontiguousarray(c[i:j]) for c in sorted_columns), protocol=5))
+    return {
+        b: pickle.dumps(tuple(np.ascontiguousarray(c[i:j]) for c in sorted_columns), protocol=5)
         for b, i, j in zip(range(n_buckets), edges[:-1], edges[1:]) if j > i
-    ]
-    return pd.DataFrame(rows, columns=["bucket", "blob"])
+    }
 
 
-def unpack(blobs: pd.Series) -> list[np.ndarray]:
-    parts = [pickle.loads(b) for b in blobs]
-    return [np.concatenate(c) for c in zip(*parts)]
+def dealt(schema: str, blob: dict[int, bytes], blobs: dict[int, bytes] | None = None) -> pa.RecordBatch:
+    """Rows of (bucket, blob, blobs), one for each bucket of ``blob``."""
+    columns = {"bucket": list(blob), "blob": list(blob.values())}
+    if blobs is not None:
+        columns["blobs"] = [blobs.get(b) for b in blob]
+    return arrow(columns, schema)
 
 
-def by_document(ids: np.ndarray, hashes: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
-    """Rows of (id, h, blob): the columns' values of each document as one blob."""
+def unpack(blobs: Iterable[bytes]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*map(pickle.loads, blobs))]
+
+
+def by_document(name: str, schema: str, ids: np.ndarray, hashes: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of (id, h, ...): the columns' values of each document as one blob in the column ``name``."""
     order = np.lexsort((hashes, ids))
     ids, hashes = ids[order], hashes[order]
     starts = run_starts(ids, hashes)
-    ends = np.append(starts[1:], len(ids))
+    ends = np.append(starts[1:], len(ids)) if len(starts) else starts
     sorted_columns = [c[order] for c in columns]
     blobs = [pickle.dumps(tuple(np.ascontiguousarray(c[i:j]) for c in sorted_columns), protocol=5) for i, j in zip(starts, ends)]
-    return pd.DataFrame({"id": ids[starts], "h": hashes[starts], "blob": blobs})
+    return arrow({"id": ids[starts], "h": hashes[starts], name: blobs}, schema)
+
+
+def in_table(*batches: pa.RecordBatch) -> pa.Table:
+    """The batches as a group's result; what the group took is given back to the system."""
+    release()
+    return pa.Table.from_batches(batches)
 
 
 def covered_by(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -6,10 +6,9 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veingraph.llm.common import cut, table
@@ -20,7 +19,9 @@ from veingraph.llm.rolling import (
     by_document,
     chunks,
     covered_by,
+    dealt,
     encoded,
+    in_table,
     mix64,
     pack,
     run_starts,
@@ -32,9 +33,8 @@ from veingraph.llm.rolling import (
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 20
-#: Rounds are so many that at most MARGIN words at either end of a window are parsed otherwise in another
-#: context: a run round loses up to 2, a pair round of symbols of up to 2 words 2 more.
-MARGIN = 4
+#: The least margin, and so the shortest window is three times as long and a word more.
+LEAST_MARGIN = 4
 #: One bucket of the shuffle stands for about so much text.
 BUCKET_BYTES = 4_000_000
 #: A group of interior symbols with more occurrences than this is dealt out by window instead ...
@@ -46,6 +46,7 @@ REPORTED = 8
 
 #: Schemas of what workers hand over.
 FREQUENT = "g long, n long, total long"
+MARKS = "id long, h long, blob binary"
 DEALT = "bucket int, blob binary, blobs binary"
 
 RUN, PAIR, SIDE, ORDER, MATCH = (np.uint64(x) for x in (0x51ED270B4D2C9A35, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD6E8FEB86659FD93))
@@ -63,12 +64,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return Prefixes(_BYTES[data]).runs(starts, ends), np.searchsorted(starts, places)
 
 
-def recompress(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, names) of the symbols after a round of runs and a round of pairs; ``first`` marks documents' first words.
+def rounds_of(window: int) -> tuple[int, int]:
+    """(margin, pair rounds): as many rounds as leave symbols in the middle of a window that no outer word can change.
+
+    A run round makes symbols of up to 2 words and leaves up to 2 words at either end in doubt; each pair round doubles
+    both. The margin's double and one symbol more must fit in a window, so longer windows get higher-level symbols.
+    """
+    margin, rounds = LEAST_MARGIN, 1
+    while 6 * margin < window:
+        margin, rounds = 2 * margin, rounds + 1
+    return margin, rounds
+
+
+def recompress(words: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, names) of the symbols after a round of runs and ``rounds`` of pairs; ``first`` marks documents' first words.
 
     A name is a hash of what the symbol stands for, so workers agree on all names without meeting. Runs of just
-    two equal symbols become one; then each symbol falls left or right by its name, and a left one followed by a
-    right one becomes one. Whether neighbours join depends on them (and for runs on theirs) alone.
+    two equal symbols become one; then each symbol falls left or right by its name and the round, and a left one
+    followed by a right one becomes one. Whether neighbours join depends on them (and for runs on theirs) alone.
     """
     names = words.copy()
     keep = np.ones(len(words), bool)
@@ -79,8 +92,8 @@ def recompress(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
         keep[two + 1] = False
     starts = np.flatnonzero(keep)
     names = names[starts]
-    if len(starts) > 1:
-        right = (mix64(names ^ SIDE) & np.uint64(1)).astype(bool)
+    for k in range(rounds):
+        right = (mix64(names ^ (SIDE + np.uint64(k))) & np.uint64(1)).astype(bool)
         joins = np.flatnonzero(~right[:-1] & right[1:] & ~first[starts[1:]])
         names[joins] = mix64(names[joins] * PAIR + names[joins + 1])
         stay = np.ones(len(starts), bool)
@@ -93,9 +106,10 @@ def parsed_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
     """(doc, pos, anchor, group, hash) of every window of the chunk, in order.
 
     The anchor is the symbol of the least name among those that start in the window's interior, which any other
-    occurrence of the window parses alike; the group names the MARGIN words on either side of its start, which lie
+    occurrence of the window parses alike; the group names the margin's words on either side of its start, which lie
     in the window too. So equal windows are of one group.
     """
+    margin, rounds = rounds_of(window)
     words, edges = word_hashes(texts)
     counts = np.diff(edges)
     first = np.zeros(len(words), bool)
@@ -108,11 +122,11 @@ def parsed_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
     pos = np.arange(len(doc)) - n_before[doc]
     at = edges[doc] + pos
     prefixes = Prefixes(words)
-    starts, names = recompress(words, first)
+    starts, names = recompress(words, first, rounds)
     order = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
     order[starts] = mix64(names ^ ORDER) >> np.uint64(1)
-    anchor = sliding_argmin(order, window - 2 * MARGIN)[at + MARGIN]
-    return doc, pos, anchor, prefixes.runs(anchor - MARGIN, anchor + MARGIN), prefixes.runs(at, at + window)
+    anchor = sliding_argmin(order, window - 2 * margin)[at + margin]
+    return doc, pos, anchor, prefixes.runs(anchor - margin, anchor + margin), prefixes.runs(at, at + window)
 
 
 def _frequent_groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -125,9 +139,9 @@ def frequent(group: np.ndarray) -> pa.RecordBatch:
     """The groups that a chunk holds REPORTED times or more, with one row of the number of all."""
     groups, n = np.unique(group, return_counts=True)
     often = n >= REPORTED
-    found = pd.DataFrame({"g": np.append(groups[often].view(np.int64), 0), "n": np.append(n[often], 0), "total": 0})
-    found.loc[len(found) - 1, "total"] = len(group)
-    return arrow(found, FREQUENT)
+    total = np.zeros(often.sum() + 1, np.int64)
+    total[-1] = len(group)
+    return arrow({"g": np.append(groups[often].view(np.int64), 0), "n": np.append(n[often], 0), "total": total}, FREQUENT)
 
 
 def common_groups(found: DataFrame) -> np.ndarray:
@@ -178,18 +192,16 @@ def _deal(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int, hot: n
         # The windows' hashes stand in the order of their records.
         taken = np.repeat(runs[by] - np.concatenate(([0], np.cumsum(kept[by])[:-1])), kept[by]) + np.arange(kept.sum())
         inner = pack(np.repeat(bucket[by], kept[by]), n_buckets, match[taken].view(np.uint8).reshape(-1, 8)[:, 3:])
-        merged = records.merge(inner, "left", "bucket", suffixes=("", "s"))
-        merged["blobs"] = [b if isinstance(b, bytes) else None for b in merged["blobs"]]
-        yield arrow(merged, DEALT)
+        yield dealt(DEALT, records, inner)
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+def _settle(table: pa.Table) -> pa.Table:
     """(id, h, blob of (start, n)) of the windows of a bucket that also start earlier."""
-    ids, hashes, pos, size, group = unpack(pdf["blob"])
-    inner = [b for b in pdf["blobs"] if b is not None]
+    ids, hashes, pos, size, group = unpack(table.column("blob").to_pylist())
+    inner = [b for b in table.column("blobs").to_pylist() if b is not None]
     match = np.zeros(0, np.uint64)
     if inner:
-        high = unpack(pd.Series(inner))[0]
+        high = unpack(inner)[0]
         wide = np.zeros((len(high), 8), np.uint8)
         wide[:, 3:] = high
         match = wide.reshape(-1).view(np.uint64)
@@ -213,7 +225,7 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     starts = run_starts(r, p - np.arange(len(p)))
     more = (ids[r[starts]], hashes[r[starts]], p[starts], np.diff(np.append(starts, len(p))))
     both = [np.concatenate(c) for c in zip(done, more)]
-    return by_document(both[0], both[1], both[2].astype(np.int32), both[3].astype(np.int32))
+    return in_table(by_document("blob", MARKS, both[0], both[1], both[2].astype(np.int32), both[3].astype(np.int32)))
 
 
 def _without(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -263,14 +275,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     one document and get equal results. Null and empty texts have no words. Windows are compared by their
     group (64 bits) and their own hash (40 bits) together.
     """
-    if window < 3 * MARGIN + 1:
-        raise ValueError(f"a window has {3 * MARGIN + 1} words at least")
+    if window <= 3 * LEAST_MARGIN:
+        raise ValueError(f"a window has {3 * LEAST_MARGIN + 1} words at least")
     rows = identified(docs)
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
     hot = docs.sparkSession.sparkContext.broadcast(hot_groups(texts, window))
-    dealt = texts.mapInArrow(lambda it: _deal(it, window, buckets, hot.value), DEALT)
-    marks = dealt.groupBy("bucket").applyInPandas(lambda pdf: _settle(pdf), "id long, h long, blob binary")
+    in_buckets = texts.mapInArrow(lambda it: _deal(it, window, buckets, hot.value), DEALT)
+    marks = in_buckets.groupBy("bucket").applyInArrow(lambda table: _settle(table), MARKS)
     joined = with_marks(rows, marks)
     kind = dict(docs.dtypes)["doc_id"]
     return joined.mapInArrow(lambda it: _without(it, window), f"doc_id {kind}, n_words long, n_removed long, kept string")

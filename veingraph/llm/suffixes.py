@@ -6,7 +6,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +14,12 @@ from pyspark.sql import functions as F
 from veingraph.llm.common import cut, table
 from veingraph.llm.rolling import (
     Prefixes,
-    arrow,
     by_document,
     chunks,
     covered_by,
+    dealt,
     encoded,
+    in_table,
     mix64,
     pack,
     run_starts,
@@ -27,7 +27,7 @@ from veingraph.llm.rolling import (
     sliding_argmin,
     unpack,
 )
-from veingraph.llm.substrings import DEALT, FREQUENT, common_groups, frequent, identified, is_in, n_buckets, with_marks
+from veingraph.llm.substrings import DEALT, FREQUENT, MARKS, common_groups, frequent, identified, is_in, n_buckets, with_marks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -225,6 +225,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
 
 BLOBS = "bucket int, blob binary"
+SIFTED = "id long, h long, blob binary, needed binary"
 #: Kinds of records: a run of windows by its hash, one that a chunk repeats and has marked already, a mark, a window of a hot group.
 RUN, REPEATED, MARK, SINGLE = range(4)
 
@@ -257,15 +258,15 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot: np.
         kind, d, s, m, g, v = (np.concatenate(c) for c in zip(*parts))
         key = np.select([kind == MARK, kind == SINGLE], [mix64(hashes[d].view(np.uint64)), mix64(v ^ g)], g)
         bucket = (key % np.uint64(buckets)).astype(np.int64)
-        yield arrow(pack(bucket, buckets, kind.astype(np.int8), ids[d], hashes[d], s.astype(np.int32), m.astype(np.int32), g, v), BLOBS)
+        yield dealt(BLOBS, pack(bucket, buckets, kind.astype(np.int8), ids[d], hashes[d], s.astype(np.int32), m.astype(np.int32), g, v))
 
 
-def _sift(pdf: pd.DataFrame) -> pd.DataFrame:
+def _sift(table: pa.Table) -> pa.Table:
     """(id, h, blob of (start, n), needed of (start, n, group, repeated)): settled runs, and runs that need a suffix array.
 
     Runs of the same bytes settle each other. Different ones of one group may share windows: one of each is needed.
     """
-    kind, ids, hashes, start, n, group, whole = unpack(pdf["blob"])
+    kind, ids, hashes, start, n, group, whole = unpack(table.column("blob").to_pylist())
     mark = kind == MARK
     settled = [(ids[mark], hashes[mark], start[mark], n[mark])]
     rank = np.lexsort((start, hashes, ids))
@@ -289,9 +290,8 @@ def _sift(pdf: pd.DataFrame) -> pd.DataFrame:
             per_group = run_starts(g[representative])
             members = np.diff(np.append(per_group, len(representative)))
             chosen = representative[np.repeat(members > 1, members)]
-            wanted = by_document(i[chosen], h[chosen], s[chosen], m[chosen], g[chosen], gone[chosen])
-    marks = by_document(*(np.concatenate(c) for c in zip(*settled)))
-    return marks.merge(wanted.rename(columns={"blob": "needed"}), "outer", ["id", "h"]).replace({np.nan: None})[["id", "h", "blob", "needed"]]
+            wanted = by_document("needed", SIFTED, i[chosen], h[chosen], s[chosen], m[chosen], g[chosen], gone[chosen])
+    return in_table(by_document("blob", SIFTED, *(np.concatenate(c) for c in zip(*settled))), wanted)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ def _extract(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
         lengths = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces[k] for k in order), np.uint8)
         inner = pack(np.repeat(bucket[order], lengths[order]), buckets, data)
-        yield arrow(pack(bucket, buckets, ids, hashes, starts, n, group, repeated).merge(inner, "left", "bucket", suffixes=("", "s")), DEALT)
+        yield dealt(DEALT, pack(bucket, buckets, ids, hashes, starts, n, group, repeated), inner)
 
 
 def shard_matches(pieces: np.ndarray, sizes: np.ndarray, repeated: np.ndarray, length: int) -> np.ndarray:
@@ -329,10 +329,10 @@ def shard_matches(pieces: np.ndarray, sizes: np.ndarray, repeated: np.ndarray, l
     return inside & ((longest >= length) | repeated[gap])
 
 
-def _match(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+def _match(table: pa.Table, length: int) -> pa.Table:
     """(id, h, blob of (start, n)) of a bucket's windows that occur elsewhere; whole groups share a suffix array."""
-    ids, hashes, starts, n, group, repeated = unpack(pdf["blob"])
-    (data,) = unpack(pdf["blobs"])
+    ids, hashes, starts, n, group, repeated = unpack(table.column("blob").to_pylist())
+    (data,) = unpack(table.column("blobs").to_pylist())
     sizes = n + (length - 1)
     offset = np.cumsum(sizes) - sizes
     order = np.argsort(group, kind="stable")
@@ -355,7 +355,7 @@ def _match(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         runs = run_starts(piece, place - np.arange(len(place)))
         p = chosen[piece[runs]]
         found.append((ids[p], hashes[p], (starts[p] + place[runs]).astype(np.int32), np.diff(np.append(runs, len(place))).astype(np.int32)))
-    return by_document(*(np.concatenate(c) for c in zip(*found)))
+    return in_table(by_document("blob", MARKS, *(np.concatenate(c) for c in zip(*found))))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -391,12 +391,12 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
     hot = docs.sparkSession.sparkContext.broadcast(common_groups(texts.mapInArrow(lambda it: _frequent(it, length), FREQUENT)))
-    dealt = texts.mapInArrow(lambda it: _deal(it, length, buckets, hot.value), BLOBS)
-    sifted = cut(dealt.groupBy("bucket").applyInPandas(lambda pdf: _sift(pdf), "id long, h long, blob binary, needed binary"))
+    in_buckets = texts.mapInArrow(lambda it: _deal(it, length, buckets, hot.value), BLOBS)
+    sifted = cut(in_buckets.groupBy("bucket").applyInArrow(lambda table: _sift(table), SIFTED))
     needed = sifted.filter("needed IS NOT NULL").select("id", "h", F.col("needed").alias("blob"))
     wanted = with_marks(texts.withColumn("doc_id", F.lit(None)), needed).filter("blobs IS NOT NULL").dropDuplicates(["id", "h"])
     pieces = wanted.drop("doc_id").mapInArrow(lambda it: _extract(it, length, buckets), DEALT)
-    matched = pieces.groupBy("bucket").applyInPandas(lambda pdf: _match(pdf, length), "id long, h long, blob binary")
+    matched = pieces.groupBy("bucket").applyInArrow(lambda table: _match(table, length), MARKS)
     marks = sifted.filter("blob IS NOT NULL").select("id", "h", "blob").unionByName(matched)
     kind = dict(docs.dtypes)["doc_id"]
     return with_marks(rows, marks).mapInArrow(lambda it: _cut_out(it, length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
