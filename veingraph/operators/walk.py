@@ -39,13 +39,15 @@ def random_walk(triples: DataFrame, length: int = 10, n_paths: int = 1000, max_i
     while True:
         number = F.lit(f"{seed}/{rounds}")
         starts = subjects.orderBy(F.xxhash64(number, "s"), "s").limit(n_paths)
-        walker = cut(starts.select(F.sha1(F.concat_ws("/", number, F.col("s"))).alias("path"), F.lit(0).alias("step"), F.col("s").alias("v")))
-        trail = walker
+        here = lambda step, v: F.array(F.struct(F.lit(step).alias("step"), v.alias("v")))
+        walker = starts.select(F.sha1(F.concat_ws("/", number, F.col("s"))).alias("path"), F.col("s").alias("v"), here(0, F.col("s")).alias("trail"))
         for step in range(1, length + 1):
             draw = F.struct(F.xxhash64(number, F.lit(step), "path", "p", "o").alias("r"), F.col("o").alias("o"))
-            moved = walker.join(edges, walker["v"] == edges["s"]).groupBy("path").agg(F.min(draw).alias("d"))
-            walker = cut(moved.select("path", F.lit(step).alias("step"), F.col("d.o").alias("v")))
-            trail = trail.unionByName(walker)
+            joined = walker.withColumnRenamed("v", "s").join(edges, "s", "left")
+            drawn = joined.groupBy("path").agg(F.min(F.when(F.col("o").isNotNull(), draw)).alias("d"), F.first("trail").alias("trail"))
+            longer = F.when(F.col("d").isNull(), F.col("trail")).otherwise(F.concat("trail", here(step, F.col("d.o"))))
+            walker = drawn.select("path", F.col("d.o").alias("v"), longer.alias("trail"))
+        trail = walker.select("path", F.explode("trail").alias("t")).select("path", "t.step", "t.v")
         visits = cut(trail if visits is None else visits.unionByName(trail))
         total = visits.count()
         new = visits.groupBy("v").agg((F.count(F.lit(1)) / float(max(total, 1))).alias("percentage"))
