@@ -155,6 +155,19 @@ def test_large_buckets_within_a_task(docs_of, monkeypatch, large):
     assert sorted((r["doc_id"], r["class_id"]) for r in found) == sorted(zip(range(60), classes(docs)))
 
 
+def test_oversized_buckets_in_blocks(docs_of, monkeypatch):
+    """Pairs that are similar to each other alone, in buckets that no split makes fit and whose centres link none of them."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(neardup, "LARGE_BUCKET", 6)
+    base, docs = [f"w{i}" for i in range(400)], []
+    for i in range(40):
+        docs.append((i, " ".join(base + [f"p{i // 2}q{k}" for k in range(8)] + [f"x{i}y{k}" for k in range(46)])))
+    bags = [shingles(t) for _, t in docs]
+    assert similarity(bags[0], bags[1]) >= 0.8 > similarity(bags[1], bags[2])
+    found = neardup.near_duplicates(docs_of(docs)).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in found) == sorted(zip(range(40), classes(docs)))
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     a = {int(e): int(w) for e, w in zip(rng.integers(1, 1 << 62, 400), rng.integers(1, 5, 400))}

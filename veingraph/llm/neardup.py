@@ -99,9 +99,9 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
 MIN_AGREEMENT = 0.65
 #: In buckets up to this size all pairs of different classes are compared as rows; in larger ones within a task.
 SMALL_BUCKET = 64
-#: Larger buckets than this are split by a further band, and so on ...
+#: Larger buckets than this are split by a further band, and so on up to MAX_SPLITS bands, which connects most of
+#: their texts; what is still of different classes is then compared in blocks, two of which are as large as this.
 LARGE_BUCKET = 4_096
-#: ... up to so many bands.
 MAX_SPLITS = 4
 SIGNED = "id long, h long, c1 long, c2 long, bands array<long>, marks binary, sig binary"
 
@@ -159,10 +159,24 @@ def _similar(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
 
 def _compare_bucket(table: pa.Table, threshold: float) -> pa.Table:
-    """Links between different classes of one large bucket, whose members share the bands of ``path``.
+    """Links between different classes of one large bucket: members outside the largest class are compared with all others."""
+    _, group = np.unique(table.column("class").to_numpy(), return_inverse=True)
+    rest = np.flatnonzero(group != np.bincount(group).argmax())
+    return _links(table, threshold, group, rest, np.ones(len(group), bool))
+
+
+def _compare_blocks(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between different classes of two blocks of an oversized bucket, or within one block."""
+    _, group = np.unique(table.column("class").to_numpy(), return_inverse=True)
+    block, first, second = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+    return _links(table, threshold, group, np.flatnonzero(block == first), block == second)
+
 
-    Members outside the largest class are compared with all others, where the signatures agree enough and the
-    two share no band before the path's last one but those of the path: else an earlier bucket has the pair.
+def _links(table: pa.Table, threshold: float, group: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Table:
+    """Links of the members ``left`` to members of the mask ``right`` in other classes (``group``); all share the bands of ``path``.
+
+    Compared are those whose signatures agree enough and that share no band before the path's last one but those of
+    the path: else an earlier bucket has the pair.
     """
     path = table.column("path")[0].as_py()
     texts = encoded(table.column("text").combine_chunks())
@@ -172,11 +186,9 @@ def _compare_bucket(table: pa.Table, threshold: float) -> pa.Table:
     signature = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
     bands = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, BANDS)[:, [b for b in range(path[-1]) if b not in path]]
     node = table.column("node").to_numpy()
-    _, group = np.unique(table.column("class").to_numpy(), return_inverse=True)
-    rest = np.flatnonzero(group != np.bincount(group).argmax())
     found = []
-    for x in rest:
-        other = np.flatnonzero(group != group[x])
+    for x in left:
+        other = np.flatnonzero(right & (group != group[x]))
         other = other[(signature[other] == signature[x]).mean(axis=1) >= MIN_AGREEMENT]
         other = other[~(bands[other] == bands[x]).any(axis=1)]
         if not len(other):
@@ -194,6 +206,23 @@ def _compare_bucket(table: pa.Table, threshold: float) -> pa.Table:
     return in_table(arrow({"a": pairs[:, 0], "b": pairs[:, 1]}, "a long, b long"))
 
 
+def in_blocks(oversized: DataFrame) -> DataFrame:
+    """Deals the members of oversized buckets (key, path, node, class) to block pairs that cover all pairs of different classes.
+
+    Adds ``block`` and the pair ``i``, ``j`` (i <= j). Members outside a bucket's largest class fill its first blocks,
+    each of which meets itself and all later ones; a block holds about half of LARGE_BUCKET members.
+    """
+    by_class = oversized.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    sizes = by_class.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n")).filter("n > top.n")
+    blocks = lambda n: F.ceil(n / max(1, LARGE_BUCKET // 2))
+    shape = sizes.select("key", F.col("top.class").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("n_rest"), blocks(F.col("top.n")).alias("n_main"))
+    h, is_main = F.xxhash64("node"), F.col("class") == F.col("main")
+    place = F.when(is_main, F.col("n_rest") + F.pmod(h, "n_main")).otherwise(F.pmod(h, "n_rest"))
+    last = F.col("n_rest") - 1 + F.when(is_main, 0).otherwise(F.col("n_main"))
+    dealt = oversized.join(small(shape), "key").withColumn("block", place).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return dealt.select("key", "path", "node", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, class): the least node that each node of ``edges`` (a, b) is connected with, if it is another."""
     return least_neighbours(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).toDF("node", "class")
@@ -213,9 +242,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Every pair that shares a band of the signature is a candidate (a pair at 0.8 shares none in 3 of a million
     cases). In each band's bucket all members are first compared with one centre. Then members of different classes
     are compared with each other: as rows in buckets of up to SMALL_BUCKET texts, within a task in buckets of up to
-    LARGE_BUCKET. Still larger buckets are split by a second band (a pair at 0.8 shares fewer than two in 5 of 100,000
-    cases), a third and a fourth; where even these four leave more than LARGE_BUCKET different texts together, a text is
-    compared with its buckets' centres alone.
+    LARGE_BUCKET. Still larger buckets are first split by a second band, a third and a fourth, which connects most of
+    their texts; then all their pairs that are still of different classes are compared in blocks, a task for every two.
     """
     texts = identified(docs).select("id", "h", "text")
     signed = cut(texts.mapInArrow(_sign, SIGNED))
@@ -257,7 +285,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     marked = heads.select("node", "marks", "sig")
     large, found = open_.filter(F.col("n") > SMALL_BUCKET).select("key", "node", "class", "n", F.array("band").alias("path")), []
-    for _ in range(MAX_SPLITS):
+    oversized = None
+    for depth in range(MAX_SPLITS):
         fitting = large.filter(F.col("n") <= LARGE_BUCKET).join(marked, "node").join(bodies, "node")
         found.append(
             fitting.select("key", "path", "node", "class", "marks", "sig", "text").groupBy("key").applyInArrow(
@@ -267,6 +296,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         giant = cut(large.filter(F.col("n") > LARGE_BUCKET))
         if giant.isEmpty():
             break
+        oversized = giant if oversized is None else oversized
+        if depth + 1 == MAX_SPLITS:
+            break
         finer = giant.join(heads.select("node", F.posexplode("bands").alias("band", "more")), "node").filter(F.col("band") > F.element_at("path", -1))
         finer = finer.select(F.xxhash64("key", "more").alias("key"), "node", "class", F.concat("path", F.array("band")).alias("path"))
         sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
@@ -274,6 +306,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     within = reduce(DataFrame.unionByName, found)
     links = cut(links.unionByName(verified(agreeing)).unionByName(within).distinct())
     classes = components(links)
+    if oversized is not None:
+        blocks = in_blocks(oversized.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+        across = (
+            blocks.join(marked, "node").join(bodies, "node")
+            .groupBy("key", "i", "j").applyInArrow(lambda table: _compare_blocks(table, threshold), "a long, b long")
+        )
+        links = cut(links.unionByName(across).distinct())
+        classes = components(links)
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # A class's first document is the least of its heads.
     in_class = heads.select("node", "c1", "c2", F.struct("id", "h").alias("own")).join(
