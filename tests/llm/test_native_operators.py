@@ -31,6 +31,16 @@ def test_mixing_counts_follow_the_distribution(spark, docs_of):
     assert len({r["mix_key"] for r in out}) == len(out)
 
 
+def test_mixing_reaches_large_means(spark, docs_of):
+    """40 of 4,000 documents take half of the output: 50 copies each in the mean, with a Poisson count's spread."""
+    docs = docs_of([(i, "t") for i in range(4000)]).withColumn("source", F.when(F.col("doc_id") < 40, "rare").otherwise("rest"))
+    counts = Counter(r["doc_id"] for r in mixing.mix(docs, {"rare": 0.5, "rest": 0.5}).select("doc_id").collect())
+    rare = [counts.get(i, 0) for i in range(40)]
+    assert sum(rare) == pytest.approx(2000, rel=0.1)
+    assert sum(counts.values()) == pytest.approx(4000, rel=0.1)
+    assert 20 < sum((n - 50) ** 2 for n in rare) / 40 < 110
+
+
 def test_mixing_odd_rows(spark, docs_of):
     assert mixing.mix(docs_of([(1, "x")]).filter("doc_id = 2")).count() == 0
     assert mixing.mix(docs_of([(1, "x")]), {"other": 1.0}).count() == 0

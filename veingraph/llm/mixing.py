@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veingraph.llm.common import cut, small, table
+from veingraph.llm.common import cut, let, small, table
 
-#: Largest count that the inverse distribution can return; with the mean limited to MAX_MEAN,
-#: the mass beyond it is far under the resolution of the 52-bit uniform.
-MAX_COUNT = 120
+#: Largest mean of one draw; a larger mean is a sum of draws. ``mixing_sql`` still limits means to it.
 MAX_MEAN = 30.0
+#: Largest count in ``mixing_sql``.
+MAX_COUNT = 120
 SEED = "mix-1"
 TEMPERATURE = 0.5
 
@@ -22,7 +22,10 @@ def uniform(seed: str, *keys: Column) -> Column:
 
 
 def poisson_count(mean: Column, u: Column) -> Column:
-    """The smallest k with P(X <= k) >= u for X ~ Poisson(mean)."""
+    """The smallest k with P(X <= k) >= u for X ~ Poisson(mean), for means up to MAX_MEAN.
+
+    The mass beyond the walk's end is far under the resolution of the 52-bit uniform.
+    """
     start = F.struct(
         F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n")
     )
@@ -33,17 +36,27 @@ def poisson_count(mean: Column, u: Column) -> Column:
             F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), k.alias("n"))
         )
 
-    # The walk's length follows the mean, so that small means do not loop to MAX_COUNT.
-    last = F.least(F.lit(MAX_COUNT), F.ceil(mean + 12 * F.sqrt(mean) + 16).cast("int"))
+    last = F.ceil(mean + 12 * F.sqrt(mean) + 16).cast("int")
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["n"])
 
 
+def repeat_count(mean: Column, seed: str, doc_id: Column) -> Column:
+    """A Poisson count of any mean: one draw up to MAX_MEAN, else the sum of independent draws of equal smaller means."""
+    parts = F.ceil(mean / MAX_MEAN).cast("int")
+
+    def draw(total: Column, part: Column) -> Column:
+        return total + let(uniform(f"{seed}/part", doc_id, part), lambda u: poisson_count(mean / parts, u))
+
+    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), draw)
+    return F.when(mean <= MAX_MEAN, poisson_count(mean, uniform(seed, doc_id))).otherwise(many)
+
+
 def source_means(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """(source, n_docs, mean): each source's mean repetition rate.
 
     ``weights`` fixes target shares of the output's documents (a missing source gets 0); without it
     a source's share is proportional to its size to the power ``temperature``. The expected size of
-    the output is that of the input. Means are limited to ``MAX_MEAN``.
+    the output is that of the input, however large the mean of a small source has to be.
     """
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     if weights is None:
@@ -57,7 +70,7 @@ def source_means(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     if not total or not mass:
         return shared.select("source", "n_docs", F.lit(0.0).alias("mean"))
     mean = F.col("share") * (float(total) / float(mass)) / F.col("n_docs")
-    return shared.select("source", "n_docs", F.least(mean, F.lit(MAX_MEAN)).alias("mean"))
+    return shared.select("source", "n_docs", mean.alias("mean"))
 
 
 def mix(
@@ -71,7 +84,7 @@ def mix(
     A null source is a source of its own; rows that repeat a doc_id get the same count; an empty table gives none.
     """
     means = small(source_means(docs, weights, temperature).select(F.col("source").alias("_vg_source"), F.col("mean").alias("_vg_mean")))
-    repeats = poisson_count(F.col("_vg_mean"), uniform(seed, F.col("doc_id")))
+    repeats = repeat_count(F.col("_vg_mean"), seed, F.col("doc_id"))
     copies = (
         docs.drop("copy", "mix_key")
         .join(means, docs["source"].eqNullSafe(F.col("_vg_source")))
