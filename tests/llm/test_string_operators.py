@@ -44,6 +44,27 @@ def test_bytes(docs_of, corpus, monkeypatch, hot):
     assert any(0 < r["n_removed"] < r["n_bytes"] for r in found)
 
 
+@pytest.mark.parametrize("module", [sub, suffixes])
+def test_groups_that_are_rare_in_each_chunk(spark, docs_of, monkeypatch, module):
+    """A passage of 60 documents, of which a chunk holds about three, is dealt out by window."""
+    seen, search = [], module.common_groups
+    monkeypatch.setattr(sub, "HOT_ROWS", 30)
+    monkeypatch.setattr(module, "common_groups", lambda found: seen.append(search(found)) or seen[-1])
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = text(90)
+    docs = ordered([(i, f"{text(30)} {passage} {text(30)}") for i in range(60)], spark)
+    rows = docs_of(docs).repartition(20)
+    if module is sub:
+        got = sorted(repr((r["doc_id"], r["n_words"], r["n_removed"], sha(r["kept"]))) for r in sub.dedup_substrings(rows).collect())
+        assert got == expected_rows(docs, substrings(docs))
+    else:
+        found = suffixes.dedup_bytes(rows).collect()
+        got = sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"])))) for r in found)
+        assert got == expected_rows(docs, byte_strings(docs))
+    assert len(seen) == 1 and len(seen[0])
+
+
 def test_random_byte_passages(docs_of):
     rng = random.Random(5)
     pool = ["".join(rng.choice("abc ") for _ in range(rng.randint(300, 900))) for _ in range(6)]

@@ -41,11 +41,12 @@ BUCKET_BYTES = 4_000_000
 HOT_ROWS = 2_000
 #: ... but at most so many groups are, so that their list stays small at any size.
 HOT_GROUPS = 1_000_000
-#: A chunk reports a group to the search for hot ones from so many occurrences.
-REPORTED = 8
+#: A chunk reports a group to the search for hot ones from so many occurrences: all, as a group may be rare in each chunk.
+REPORTED = 1
 
 #: Schemas of what workers hand over.
 FREQUENT = "g long, n long, total long"
+COUNTED = "bucket int, blob binary"
 MARKS = "id long, h long, blob binary"
 DEALT = "bucket int, blob binary, blobs binary"
 
@@ -129,24 +130,38 @@ def parsed_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
     return doc, pos, anchor, prefixes.runs(anchor - margin, anchor + margin), prefixes.runs(at, at + window)
 
 
-def _frequent_groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _frequent_groups(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for _, _, texts in chunks(batches):
         _, _, anchor, group, _ = parsed_windows(texts, window)
-        yield frequent(group[run_starts(anchor)])
+        if len(group):
+            yield frequent(group[run_starts(anchor)], buckets)
 
 
-def frequent(group: np.ndarray) -> pa.RecordBatch:
-    """The groups that a chunk holds REPORTED times or more, with one row of the number of all."""
+def frequent(group: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The groups of a chunk with their occurrences (REPORTED or more), in buckets by group."""
     groups, n = np.unique(group, return_counts=True)
     often = n >= REPORTED
+    groups, n = groups[often], n[often]
+    bucket = (mix64(groups) % np.uint64(buckets)).astype(np.int64)
+    return dealt(COUNTED, pack(bucket, buckets, groups, n.astype(np.int32)))
+
+
+def _sum_up(table: pa.Table, least: int) -> pa.Table:
+    """A bucket's groups of more than ``least`` occurrences in all chunks together, with one row of the number of all."""
+    group, n = unpack(table.column("blob").to_pylist())
+    order = np.argsort(group, kind="stable")
+    heads = run_starts(group[order])
+    sums = np.add.reduceat(n[order].astype(np.int64), heads)
+    often = sums > least
     total = np.zeros(often.sum() + 1, np.int64)
-    total[-1] = len(group)
-    return arrow({"g": np.append(groups[often].view(np.int64), 0), "n": np.append(n[often], 0), "total": total}, FREQUENT)
+    total[-1] = sums.sum()
+    return in_table(arrow({"g": np.append(group[order][heads][often].view(np.int64), 0), "n": np.append(sums[often], 0), "total": total}, FREQUENT))
 
 
 def common_groups(found: DataFrame) -> np.ndarray:
     """The groups of more than HOT_ROWS occurrences in all chunks together, HOT_GROUPS at most."""
-    found = cut(found.groupBy("g").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    least = HOT_ROWS
+    found = cut(found.groupBy("bucket").applyInArrow(lambda table: _sum_up(table, least), FREQUENT))
     total = found.agg(F.sum("total")).first()[0] or 0
     rows = found.filter(F.col("n") > max(HOT_ROWS, total // HOT_GROUPS)).select("g").collect()
     return np.sort(np.array([r["g"] for r in rows], np.int64).view(np.uint64))
@@ -158,9 +173,9 @@ def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(at, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def hot_groups(docs: DataFrame, window: int) -> np.ndarray:
-    """The groups that are common in the whole corpus, found among those that are common in some chunk."""
-    return common_groups(docs.mapInArrow(lambda it: _frequent_groups(it, window), FREQUENT))
+def hot_groups(docs: DataFrame, window: int, buckets: int) -> np.ndarray:
+    """The groups that are common in the whole corpus, by exact counts of all groups."""
+    return common_groups(docs.mapInArrow(lambda it: _frequent_groups(it, window, buckets), COUNTED))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -258,6 +273,11 @@ def n_buckets(docs: DataFrame, size: int = BUCKET_BYTES) -> int:
     return max(16, -(-total // size))
 
 
+def count_buckets(buckets: int) -> int:
+    """Buckets for the counts of groups, which are much smaller than the windows."""
+    return max(16, buckets // 8)
+
+
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Each row of identified ``docs`` with its ``blobs``, null if it has none."""
     grouped = marks.groupBy("id", "h").agg(F.collect_list("blob").alias("blobs"))
@@ -280,7 +300,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = identified(docs)
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
-    hot = docs.sparkSession.sparkContext.broadcast(hot_groups(texts, window))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_groups(texts, window, count_buckets(buckets)))
     in_buckets = texts.mapInArrow(lambda it: _deal(it, window, buckets, hot.value), DEALT)
     marks = in_buckets.groupBy("bucket").applyInArrow(lambda table: _settle(table), MARKS)
     joined = with_marks(rows, marks)

@@ -27,7 +27,7 @@ from veingraph.llm.rolling import (
     sliding_argmin,
     unpack,
 )
-from veingraph.llm.substrings import DEALT, FREQUENT, MARKS, common_groups, frequent, identified, is_in, n_buckets, with_marks
+from veingraph.llm.substrings import COUNTED, DEALT, MARKS, common_groups, count_buckets, frequent, identified, is_in, n_buckets, with_marks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -219,9 +219,11 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)])
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for _, _, texts in chunks(batches):
-        yield frequent(super_strings(*_joined(texts), length)[3])
+        group = super_strings(*_joined(texts), length)[3]
+        if len(group):
+            yield frequent(group, buckets)
 
 
 BLOBS = "bucket int, blob binary"
@@ -390,7 +392,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = identified(docs)
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
-    hot = docs.sparkSession.sparkContext.broadcast(common_groups(texts.mapInArrow(lambda it: _frequent(it, length), FREQUENT)))
+    hot = docs.sparkSession.sparkContext.broadcast(common_groups(texts.mapInArrow(lambda it: _frequent(it, length, count_buckets(buckets)), COUNTED)))
     in_buckets = texts.mapInArrow(lambda it: _deal(it, length, buckets, hot.value), BLOBS)
     sifted = cut(in_buckets.groupBy("bucket").applyInArrow(lambda table: _sift(table), SIFTED))
     needed = sifted.filter("needed IS NOT NULL").select("id", "h", F.col("needed").alias("blob"))
