@@ -18,7 +18,7 @@ COLUMNS = {
     "op4_dart_minhash": ["doc_id", "class_id", "n_links", "kept"],
     "op5_token_counts": ["doc_id", "n_chars", "n_tokens"],
     "op6_decision_list": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
-    "op7_suffix_arrays": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op7_suffix_arrays": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"],
     "op8_url_language_model": ["page_id", "host", "path", "rule", "verdict", "score"],
     "op9_log_templates": ["doc_id", "n_lines", "n_dropped", "text"],
     "op10_diagonal_voting": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],

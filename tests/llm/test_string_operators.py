@@ -25,7 +25,6 @@ def ordered(corpus, spark):
 def test_substrings(spark, docs_of, corpus, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(sub, "HOT_ROWS", 1)
-        monkeypatch.setattr(sub, "REPORTED", 1)
     docs = ordered(corpus, spark)
     found = sub.dedup_substrings(docs_of(docs).repartition(5)).collect()
     got = sorted(repr((r["doc_id"], r["n_words"], r["n_removed"], sha(r["kept"]))) for r in found)
@@ -37,7 +36,6 @@ def test_substrings(spark, docs_of, corpus, monkeypatch, hot):
 def test_bytes(docs_of, corpus, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(sub, "HOT_ROWS", 1)
-        monkeypatch.setattr(sub, "REPORTED", 1)
     found = suffixes.dedup_bytes(docs_of(corpus).repartition(5)).collect()
     got = sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"])))) for r in found)
     assert got == expected_rows(corpus, byte_strings(corpus))
@@ -108,29 +106,130 @@ def test_suffix_arrays(letters):
             assert longest[i] == best
 
 
-def test_deep_recursion_of_names(monkeypatch):
-    monkeypatch.setattr(suffixes, "NAMES", 10**9)
+def test_recursion_of_names():
+    """Strings whose names repeat for several levels, and whose alphabets are large."""
     rng = random.Random(1)
-    text = [rng.randint(1, 3) for _ in range(1500)]
-    text = text + text + [0]
-    assert suffixes.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    for letters in (2, 3, 900, 70_000):
+        text = [rng.randint(1, letters) for _ in range(1500)]
+        used = {c: k for k, c in enumerate(sorted(set(text)), 1)}
+        text = [used[c] for c in text]
+        text = text + text + text[:700] + [0]
+        assert suffixes.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    periodic = [1, 2, 1, 2, 2] * 300 + [0]
+    assert suffixes.suffix_array(np.array(periodic)).tolist() == sorted(range(len(periodic)), key=lambda i: periodic[i:])
+
+
+def test_claimed_prefixes_are_compared_symbol_by_symbol():
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 3, 400).astype(np.uint16)
+    text[200:300] = text[50:150]
+    a, b = rng.integers(0, 180, 300), rng.integers(0, 180, 300) + 190
+    a[:60], b[:60] = np.arange(50, 110), np.arange(200, 260)
+    claimed = rng.integers(1, 30, 300)
+    for x, y, n, true in zip(a, b, claimed, suffixes.exact_prefixes(text, a, b, claimed)):
+        differs = np.flatnonzero(text[x : x + n] != text[y : y + n])
+        assert true == (differs[0] if len(differs) else n)
+
+
+def test_suffix_arrays_decide_about_different_runs(docs_of, corpus, monkeypatch):
+    """Without them, strings that only different runs of windows share stay."""
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(600)
+    docs = [(i, text(300) + passage + text(300)) for i in range(3)]
+    whole = sum(r["n_removed"] for r in suffixes.dedup_bytes(docs_of(docs)).collect())
+    monkeypatch.setattr(suffixes, "shard_matches", lambda pieces, sizes, length: np.zeros(len(pieces), bool))
+    without = sum(r["n_removed"] for r in suffixes.dedup_bytes(docs_of(docs)).collect())
+    assert 1800 <= whole <= 1820 and without < whole
+
+
+def test_shared_passages_that_are_too_short_to_go(docs_of):
+    """A passage of 320 bytes in two documents is told of; what one document repeats by itself is not."""
+    rng = random.Random(16)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [text(320) for _ in range(20)]
+    docs = [(i, text(500) + passages[i % 20] + text(500)) for i in range(40)]
+    own = text(320)
+    docs += [(50, text(800)), (51, text(200) + own + text(200) + own), (52, None), (53, "short")]
+    rows = {r["doc_id"]: r for r in suffixes.dedup_bytes(docs_of(docs)).collect()}
+    assert all(100 <= rows[i]["n_shared"] <= 330 and not rows[i]["n_removed"] for i in range(40))
+    assert not any(rows[i]["n_shared"] for i in range(50, 54))
+
+
+@pytest.mark.parametrize("size", [2, 5, 13, 20, 40, 100])
+def test_parse_depends_on_the_window_alone(size):
+    """A window's core is the same in any context, runs at its ends included, and lies inside it."""
+    rng = random.Random(2)
+    for letters in ("ab", "abcd", [f"w{k}" for k in range(500)]):
+        for _ in range(100):
+            inner = [rng.choice(letters) for _ in range(size)]
+            seen = set()
+            for _ in range(4):
+                left, right = ([rng.choice(letters) for _ in range(rng.randint(0, 40))] for _ in range(2))
+                _, pos, anchor, group, match, span = sub.parsed_windows([" ".join(left + inner + right).encode()], size)
+                k = int(np.flatnonzero(pos == len(left))[0])
+                at = int(anchor[k]) - len(left)
+                assert 0 <= at and at + span[k] <= size
+                seen.add((at, int(group[k]), int(match[k]), int(span[k])))
+            assert len(seen) == 1
+
+
+def test_symbols_span_much_of_a_window(monkeypatch):
+    """Cores are symbols of high levels; a recompression that joins nothing leaves single words."""
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(4000)}" for _ in range(4000)).encode()]
+    for size, least in ((20, 4), (40, 8), (100, 18)):
+        assert sub.parsed_windows(text, size)[5].mean() >= least
+    monkeypatch.setattr(sub, "recompress", lambda names, starts, first, k: (names, np.zeros(len(names), bool), np.zeros(len(names), np.int8)))
+    assert sub.parsed_windows(text, 20)[5].mean() == 1
 
 
-@pytest.mark.parametrize("size, rounds", [(13, 1), (20, 1), (40, 2), (70, 3), (100, 4)])
-def test_parse_depends_on_the_window_alone(size, rounds):
-    """A window's anchor and group are the same in any context, runs at its ends included."""
-    margin, found = sub.rounds_of(size)
-    assert found == rounds and margin == 2 ** (rounds + 1) and size > 3 * margin
-    rng = random.Random(2)
+@pytest.mark.parametrize("module", [sub, suffixes])
+def test_dealing_hardly_depends_on_the_number_of_buckets(module):
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(20_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(texts)], ["id", "h", "text"])
+    none, seconds, size = np.zeros(0, np.uint64), {}, {}
+    for n in (128, 7_500, 250_000, 128, 250_000):
+        began = time.process_time()
+        out = list(module._deal(iter([batch]), 400 if module is suffixes else 20, n, none))
+        seconds[n], size[n] = time.process_time() - began, sum(b.nbytes for b in out)
+    assert size[250_000] < 1.6 * size[128]
+    assert seconds[250_000] < 2.5 * seconds[128] + 0.2
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_long_texts_and_other_ids(spark, corpus, monkeypatch, kind):
+    """Texts of many segments, a null id and ids that are no numbers, or the largest one."""
+    monkeypatch.setattr(rolling, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(sub, "CHUNK_BYTES", 700)
+    docs = [((2**63 - 1 if i == 5 else i), t) for i, t in dict(corpus).items()]
+    docs = [(i if i is None or kind == "long" else f"{i:020d}", t) for i, t in docs]
+    rows = spark.createDataFrame(docs, f"doc_id {kind}, text string").repartition(3)
+    found = sub.dedup_substrings(rows).collect()
+    ranked = sorted(docs, key=lambda r: (r[0] is None, r[0] or 0))
+    assert sorted(repr((r["doc_id"], r["n_words"], r["n_removed"], sha(r["kept"]))) for r in found) == expected_rows(ranked, substrings(ranked))
+    found = suffixes.dedup_bytes(rows).collect()
+    got = sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"])))) for r in found)
+    assert got == expected_rows(docs, byte_strings(docs))
+
+
+def test_word_segments():
+    rng = random.Random(5)
     for _ in range(200):
-        inner = [rng.choice("abcd") for _ in range(size)]
-        seen = set()
-        for _ in range(4):
-            left, right = ([rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in range(2))
-            _, pos, anchor, group, match = sub.parsed_windows([" ".join(left + inner + right).encode()], size)
-            k = int(np.flatnonzero(pos == len(left))[0])
-            seen.add((int(anchor[k]) - len(left), int(group[k]), int(match[k])))
-        assert len(seen) == 1
+        text = b"".join(rng.choice([b"a", b"bb", b" ", b"\n ", b"ccc"]) for _ in range(rng.randint(0, 60)))
+        size, overlap = rng.randint(1, 12), rng.randint(0, 4)
+        words, seen = text.split(), set()
+        for offset, part in rolling.word_segments(text, size, overlap):
+            own = part.split()
+            assert own == words[offset : offset + len(own)]
+            seen |= {(offset + k) for k in range(len(own) - overlap)}
+        assert seen >= set(range(len(words) - overlap))
 
 
 @pytest.mark.parametrize("small", [64, 2])
@@ -213,7 +312,7 @@ def test_empty_tables(docs_of, spark):
 
 def test_limits_are_checked(docs_of):
     with pytest.raises(ValueError):
-        sub.dedup_substrings(docs_of([]), 5)
+        sub.dedup_substrings(docs_of([]), 1)
     with pytest.raises(ValueError):
         suffixes.dedup_bytes(docs_of([]), 100)
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veingraph.llm.common import cut, small, table
-from veingraph.llm.rolling import NULL_ID, Prefixes, arrow, chunks, encoded, in_table, mix64, run_starts, slices
-from veingraph.llm.substrings import identified, word_hashes
+from veingraph.llm.rolling import CHUNK_BYTES, Prefixes, arrow, chunks, encoded, in_table, mix64, run_starts, slices, word_segments
+from veingraph.llm.substrings import with_identity, word_hashes
 from veingraph.operators.components import least_neighbours
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,7 +37,7 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
     A shingle is ``size`` consecutive words; a text of fewer, but not none, is one shingle.
     """
-    words, edges = word_hashes([t.translate(_WORDS) for t in texts])
+    words, edges = _hashed([t.translate(_WORDS) for t in texts])
     counts = np.diff(edges)
     width = np.minimum(counts, size)
     n = np.where(counts > 0, counts - width + 1, 0)
@@ -52,6 +52,14 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return doc[heads], element[heads], weight, counts, prefixes.runs(edges[:-1], edges[1:])
 
 
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, very long texts being hashed in segments."""
+    if max(map(len, texts), default=0) <= 2 * CHUNK_BYTES:
+        return word_hashes(texts)
+    words = [np.concatenate([word_hashes([part])[0] for _, part in word_segments(t, CHUNK_BYTES, 0)] or [np.zeros(0, np.uint64)]) for t in texts]
+    return np.concatenate(words), np.cumsum([0, *map(len, words)])
+
+
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
     """(n_docs, COORDINATES): the name of the earliest dart of each coordinate, 0 for a document without elements.
 
@@ -114,7 +122,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, hashes, texts in chunks(batches):
+    for ids, hashes, texts, _ in chunks(batches, lambda text, size, overlap: [(0, text)]):
         doc, element, weight, counts, whole = shingles(texts)
         signature = signatures(doc, element, weight, len(texts))
         bands = band_keys(signature).view(np.int64)
@@ -245,7 +253,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     LARGE_BUCKET. Still larger buckets are first split by a second band, a third and a fourth, which connects most of
     their texts; then all their pairs that are still of different classes are compared in blocks, a task for every two.
     """
-    texts = identified(docs).select("id", "h", "text")
+    keyed, ids = with_identity(docs.drop("class_id", "n_links", "kept"))
+    texts = keyed.select(F.col("_vg_id").alias("id"), F.col("_vg_h").alias("h"), "text")
     signed = cut(texts.mapInArrow(_sign, SIGNED))
     least = signed.groupBy("c1", "c2").agg(F.min(F.struct("id", "h")).alias("first"))
     # Nodes are the distinct word sequences, numbered; the numbers are written down before they are used.
@@ -322,12 +331,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = in_class.groupBy("class").agg(F.min("own").alias("class_first"))
     linked = in_class.join(firsts, "class").join(degrees, "node", "left").select("c1", "c2", "class_first", "n_links")
     known = least.join(cut(linked), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("class_first", "first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    class_id = F.when(F.col("first.id") < F.lit(NULL_ID), F.col("first.id"))
     is_first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
-    judged = signed.select("id", "h", "c1", "c2").dropDuplicates(["id", "h"]).join(known, ["c1", "c2"]).select("id", "h", class_id.alias("class_id"), "n_links", is_first.alias("kept"))
+    class_id = F.when(F.col("first.h").bitwiseAND(F.lit(1)) == 0, F.col("first.id"))  # else the class has null ids only
+    judged = signed.select("id", "h", "c1", "c2").dropDuplicates(["id", "h"]).join(known, ["c1", "c2"])
+    judged = judged.select("id", "h", class_id.alias("class_id"), "n_links", is_first.alias("kept"))
+    if ids is not None:
+        judged = judged.join(ids.select(F.col("id").alias("class_id"), "term"), "class_id", "left").drop("class_id").withColumnRenamed("term", "class_id")
     first = F.row_number().over(Window.partitionBy("_vg_id", "_vg_h").orderBy("_vg_id")) == 1  # of equal rows
-    keyed = docs.drop("class_id", "n_links", "kept").withColumns({"_vg_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_vg_h": F.xxhash64("doc_id", "text")})
-    found = judged.withColumnsRenamed({"id": "_vg_id", "h": "_vg_h"})
+    found = judged.select(F.col("id").alias("_vg_id"), F.col("h").alias("_vg_h"), "class_id", "n_links", "kept")
     return keyed.join(found, ["_vg_id", "_vg_h"]).withColumn("kept", F.col("kept") & first).drop("_vg_id", "_vg_h")
 
 

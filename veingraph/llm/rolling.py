@@ -1,11 +1,11 @@
-"""Vectorised hashes of runs of symbols, and the packing of records for bucketed shuffles; runs on workers."""
+"""Vectorised hashes of runs of symbols, and records of fixed width for bucketed shuffles; runs on workers."""
 
 from __future__ import annotations
 
 import ctypes
-import pickle
+import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are taken in chunks of about so many bytes, which bounds a worker's arrays.
 CHUNK_BYTES = 1_000_000
+BLANK_RUN = re.compile(rb"[ \t-\r]+")
 #: Stands for a null doc_id; such rows come after all others.
 NULL_ID = (1 << 63) - 1
 
@@ -117,55 +118,109 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 def arrow(columns: dict, schema: str) -> pa.RecordBatch:
     """A record batch of the columns that ``schema`` (``name type, ...``) names; what is missing is null."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split(" ", 1) for f in schema.split(", ")]
     n = len(next(iter(columns.values())))
-    arrays = [pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields]
+    made = lambda v, kind: v if isinstance(v, pa.Array) else pa.array(v, kinds[kind])
+    arrays = [made(columns[name], kind) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields]
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(ids, hashes, texts) of parts of the batches (``id``, ``h``, ``text``): a row for each pair (id, h), in their order."""
-    for part in slices(batches, size):
+def byte_segments(text: bytes, size: int, overlap: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, part) of a long text; each part but the last goes on for ``overlap`` bytes into the next one."""
+    for begin in range(0, max(len(text) - overlap, 1), size):
+        yield begin, text[begin : begin + size + overlap]
+
+
+def word_segments(text: bytes, size: int, overlap: int, blanks: re.Pattern = BLANK_RUN) -> Iterator[tuple[int, bytes]]:
+    """The same in words: offsets count words, cuts fall between them and ``overlap`` words of the next part follow."""
+    begin = words = 0
+    while begin < len(text):
+        stop = blanks.search(text, begin + size)
+        end = stop.end() if stop else len(text)
+        until = end
+        for _ in range(overlap):
+            if until == len(text):
+                break
+            stop = blanks.search(text, until)
+            until = stop.end() if stop else len(text)
+        yield words, text[begin:until]
+        if until == len(text):
+            return  # the rest has fewer words than would start another window
+        words += len(blanks.sub(b" ", text[begin:end]).split())
+        begin = end
+
+
+def chunks(batches: Iterator[pa.RecordBatch], segments: Callable = byte_segments, overlap: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, hashes, texts, offsets) of parts of the batches (``id``, ``h``, ``text``): a row for each pair (id, h), in their order.
+
+    A text of over CHUNK_BYTES comes in segments, a part each, so the arrays that are made of it stay bounded.
+    """
+    for part in slices(batches):
         ids, hashes = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "h"))
         texts = encoded(part.column("text"))
         order = np.lexsort((hashes, ids))
         order = order[run_starts(ids[order], hashes[order])]
-        yield ids[order], hashes[order], [texts[k] for k in order]
+        long = [k for k in order.tolist() if len(texts[k]) > 2 * CHUNK_BYTES]
+        if long:
+            order = order[~np.isin(order, long)]
+        if len(order):
+            yield ids[order], hashes[order], [texts[k] for k in order], np.zeros(len(order), np.int64)
+        for k in long:
+            for offset, piece in segments(texts[k], CHUNK_BYTES, overlap):
+                yield ids[k : k + 1], hashes[k : k + 1], [piece], np.array([offset])
+
 
+def rows_of(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    """Records of fixed width with the columns as fields."""
+    out = np.empty(len(columns[0]), kind)
+    for name, column in zip(kind.names, columns):
+        out[name] = column
+    return out
 
-def pack(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> dict[int, bytes]:
-    """The columns' values of each bucket as one blob, so that a shuffle moves few large rows."""
-    order = np.argsort(bucket.astype(np.int32), kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    sorted_columns = [c[order] for c in columns]
-    return {
-        b: pickle.dumps(tuple(np.ascontiguousarray(c[i:j]) for c in sorted_columns), protocol=5)
-        for b, i, j in zip(range(n_buckets), edges[:-1], edges[1:]) if j > i
-    }
+
+def blobs_of(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary value for each stretch of ``data`` (records, or rows of bytes) between neighbouring edges, without copies."""
+    raw = np.ascontiguousarray(data)
+    width = raw.nbytes // max(len(raw), 1)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(raw)])
+
+
+DEALT = "bucket long, blob binary, blobs binary"
+
+
+def dealt(bucket: np.ndarray, records: np.ndarray, inner: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> pa.RecordBatch:
+    """Rows of (bucket, blob, blobs) for a shuffle: all records of a bucket in one blob.
+
+    Records have a fixed width and no header, so what they take hardly depends on how many buckets they go to: with
+    many buckets each goes alone, beside its key. ``inner`` gives, for the records' new order, what belongs to them
+    beside the records, joined, and how much of it each has.
+    """
+    order = np.argsort(bucket, kind="stable")
+    heads = run_starts(bucket[order])
+    edges = np.append(heads, len(order))
+    columns = {"bucket": bucket[order[heads]], "blob": blobs_of(records[order], edges)}
+    if inner is not None:
+        data, n = inner(order)
+        columns["blobs"] = blobs_of(data, np.concatenate(([0], np.cumsum(n)))[edges])
+    return arrow(columns, DEALT)
 
 
-def dealt(schema: str, blob: dict[int, bytes], blobs: dict[int, bytes] | None = None) -> pa.RecordBatch:
-    """Rows of (bucket, blob, blobs), one for each bucket of ``blob``."""
-    columns = {"bucket": list(blob), "blob": list(blob.values())}
-    if blobs is not None:
-        columns["blobs"] = [blobs.get(b) for b in blob]
-    return arrow(columns, schema)
+def joined(column: pa.Array | pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
+    """The records of all blobs of a column."""
+    return np.frombuffer(b"".join(b for b in column.to_pylist() if b), kind)
 
 
-def unpack(blobs: Iterable[bytes]) -> list[np.ndarray]:
-    return [np.concatenate(c) for c in zip(*map(pickle.loads, blobs))]
+#: What comes back to a document: stretches of it.
+SPAN = np.dtype([("start", np.int32), ("n", np.int32)])
 
 
-def by_document(name: str, schema: str, ids: np.ndarray, hashes: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of (id, h, ...): the columns' values of each document as one blob in the column ``name``."""
+def by_document(name: str, schema: str, ids: np.ndarray, hashes: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """Rows of (id, h, ...): the records of each document as one blob in the column ``name``."""
     order = np.lexsort((hashes, ids))
     ids, hashes = ids[order], hashes[order]
     starts = run_starts(ids, hashes)
-    ends = np.append(starts[1:], len(ids)) if len(starts) else starts
-    sorted_columns = [c[order] for c in columns]
-    blobs = [pickle.dumps(tuple(np.ascontiguousarray(c[i:j]) for c in sorted_columns), protocol=5) for i, j in zip(starts, ends)]
-    return arrow({"id": ids[starts], "h": hashes[starts], name: blobs}, schema)
+    return arrow({"id": ids[starts], "h": hashes[starts], name: blobs_of(records[order], np.append(starts, len(ids)))}, schema)
 
 
 def in_table(*batches: pa.RecordBatch) -> pa.Table:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from veingraph.llm.common import cut, table
 from veingraph.llm.rolling import (
+    CHUNK_BYTES,
+    DEALT,
     NULL_ID,
+    SPAN,
     Prefixes,
     arrow,
     by_document,
@@ -22,33 +27,34 @@ from veingraph.llm.rolling import (
     dealt,
     encoded,
     in_table,
+    joined,
     mix64,
-    pack,
+    rows_of,
     run_starts,
     slices,
-    sliding_argmin,
-    unpack,
+    word_segments,
 )
+from veingraph.plans.iteration import dictionary
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 20
-#: The least margin, and so the shortest window is three times as long and a word more.
-LEAST_MARGIN = 4
 #: One bucket of the shuffle stands for about so much text.
 BUCKET_BYTES = 4_000_000
-#: A group of interior symbols with more occurrences than this is dealt out by window instead ...
+#: A symbol with more occurrences than this as a window's core has its windows dealt out one by one ...
 HOT_ROWS = 2_000
-#: ... but at most so many groups are, so that their list stays small at any size.
+#: ... but at most so many symbols have (the commonest ones), so that their list stays small at any size.
 HOT_GROUPS = 1_000_000
-#: A chunk reports a group to the search for hot ones from so many occurrences: all, as a group may be rare in each chunk.
-REPORTED = 1
+#: A task holds so many counts before it hands them over.
+HELD_COUNTS = 1_000_000
 
-#: Schemas of what workers hand over.
-FREQUENT = "g long, n long, total long"
-COUNTED = "bucket int, blob binary"
+#: Schemas of what workers hand over, and their records.
+FREQUENT = "g long, n long"
 MARKS = "id long, h long, blob binary"
-DEALT = "bucket int, blob binary, blobs binary"
+COUNT = np.dtype([("g", np.uint64), ("n", np.int32)])
+WINDOWS = np.dtype([("id", np.int64), ("h", np.int64), ("pos", np.int32), ("n", np.int32), ("group", np.uint64)])
+#: So many bytes of a window's own hash go along; with its group's 64 bits they tell windows apart.
+MATCH_BYTES = 5
 
 RUN, PAIR, SIDE, ORDER, MATCH = (np.uint64(x) for x in (0x51ED270B4D2C9A35, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD6E8FEB86659FD93))
 _BLANK = np.zeros(256, bool)
@@ -65,106 +71,141 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return Prefixes(_BYTES[data]).runs(starts, ends), np.searchsorted(starts, places)
 
 
-def rounds_of(window: int) -> tuple[int, int]:
-    """(margin, pair rounds): as many rounds as leave symbols in the middle of a window that no outer word can change.
-
-    A run round makes symbols of up to 2 words and leaves up to 2 words at either end in doubt; each pair round doubles
-    both. The margin's double and one symbol more must fit in a window, so longer windows get higher-level symbols.
-    """
-    margin, rounds = LEAST_MARGIN, 1
-    while 6 * margin < window:
-        margin, rounds = 2 * margin, rounds + 1
-    return margin, rounds
+def rounds_of(window: int) -> int:
+    """Rounds of pairs after the round of runs: each leaves three quarters of the symbols, until one spans about a quarter of a window."""
+    return max(1, round(math.log(max(window, 5) / 5) / math.log(4 / 3)))
 
 
-def recompress(words: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, names) of the symbols after a round of runs and ``rounds`` of pairs; ``first`` marks documents' first words.
+def recompress(names: np.ndarray, starts: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: (names, joined, leans) of the symbols.
 
-    A name is a hash of what the symbol stands for, so workers agree on all names without meeting. Runs of just
-    two equal symbols become one; then each symbol falls left or right by its name and the round, and a left one
-    followed by a right one becomes one. Whether neighbours join depends on them (and for runs on theirs) alone.
+    ``joined`` marks symbols that become one with the symbol before them; ``leans`` tells what outside the symbols'
+    own run could take them: -1 the symbol before, 1 the one after, 0 either. A name is a hash of what the symbol
+    stands for, so workers agree on all names without meeting. Round 0 joins runs of equal symbols; in the others each
+    symbol falls left or right by its name and the round, and a left one followed by a right one becomes one.
     """
-    names = words.copy()
-    keep = np.ones(len(words), bool)
-    if len(words):
-        begin = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | first[1:]))
-        two = begin[np.diff(np.append(begin, len(words))) == 2]
-        names[two] = mix64(words[two] ^ RUN)
-        keep[two + 1] = False
-    starts = np.flatnonzero(keep)
-    names = names[starts]
-    for k in range(rounds):
-        right = (mix64(names ^ (SIDE + np.uint64(k))) & np.uint64(1)).astype(bool)
-        joins = np.flatnonzero(~right[:-1] & right[1:] & ~first[starts[1:]])
-        names[joins] = mix64(names[joins] * PAIR + names[joins + 1])
-        stay = np.ones(len(starts), bool)
-        stay[joins + 1] = False
-        starts, names = starts[stay], names[stay]
-    return starts, names
-
-
-def parsed_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, pos, anchor, group, hash) of every window of the chunk, in order.
-
-    The anchor is the symbol of the least name among those that start in the window's interior, which any other
-    occurrence of the window parses alike; the group names the margin's words on either side of its start, which lie
-    in the window too. So equal windows are of one group.
+    apart = first[starts[1:]]
+    joined_ = np.zeros(len(names), bool)
+    if k == 0:
+        joined_[1:] = (names[1:] == names[:-1]) & ~apart
+        heads = np.flatnonzero(~joined_)
+        n = np.diff(np.append(heads, len(names))).astype(np.uint64)
+        return np.where(n > 1, mix64(names[heads] * RUN + n), names[heads]), joined_, np.zeros(len(names), np.int8)
+    right = (mix64(names ^ (SIDE + np.uint64(k))) & np.uint64(1)).astype(bool)
+    joined_[1:] = ~right[:-1] & right[1:] & ~apart
+    fresh = names.copy()
+    pairs = np.flatnonzero(joined_) - 1
+    fresh[pairs] = mix64(names[pairs] * PAIR + names[pairs + 1])
+    return fresh[~joined_], joined_, np.where(right, -1, 1).astype(np.int8)
+
+
+def parsed_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """(doc, pos, anchor, group, hash, span) of every window of the chunk, in order.
+
+    The texts are recompressed round by round. A window keeps the range of symbols that lie in it whatever stands
+    around it: in each round those at its ends go that a symbol outside could join. Its core is the symbol of the
+    least name in the last range that is not empty, one of ``window // 4`` words or more before shorter ones: any
+    other occurrence of the window has the same core at the same place. ``group`` is the core's name, ``anchor`` the
+    place of its first word, ``span`` its number of words.
     """
-    margin, rounds = rounds_of(window)
     words, edges = word_hashes(texts)
-    counts = np.diff(edges)
-    first = np.zeros(len(words), bool)
-    first[edges[:-1][counts > 0]] = True
-    doc = np.repeat(np.arange(len(texts)), np.maximum(counts - window + 1, 0))
+    n_windows = np.maximum(np.diff(edges) - window + 1, 0)
+    doc = np.repeat(np.arange(len(texts)), n_windows)
     none = np.zeros(0, np.int64)
     if not len(doc):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    n_before = np.cumsum(np.maximum(counts - window + 1, 0)) - np.maximum(counts - window + 1, 0)
-    pos = np.arange(len(doc)) - n_before[doc]
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
+    first = np.zeros(len(words) + 1, bool)
+    first[edges] = True
+    pos = np.arange(len(doc)) - (np.cumsum(n_windows) - n_windows)[doc]
     at = edges[doc] + pos
-    prefixes = Prefixes(words)
-    starts, names = recompress(words, first, rounds)
-    order = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
-    order[starts] = mix64(names ^ ORDER) >> np.uint64(1)
-    anchor = sliding_argmin(order, window - 2 * margin)[at + margin]
-    return doc, pos, anchor, prefixes.runs(anchor - margin, anchor + margin), prefixes.runs(at, at + window)
-
-
-def _frequent_groups(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for _, _, texts in chunks(batches):
-        _, _, anchor, group, _ = parsed_windows(texts, window)
-        if len(group):
-            yield frequent(group[run_starts(anchor)], buckets)
-
-
-def frequent(group: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The groups of a chunk with their occurrences (REPORTED or more), in buckets by group."""
-    groups, n = np.unique(group, return_counts=True)
-    often = n >= REPORTED
-    groups, n = groups[often], n[often]
-    bucket = (mix64(groups) % np.uint64(buckets)).astype(np.int64)
-    return dealt(COUNTED, pack(bucket, buckets, groups, n.astype(np.int32)))
+    anchor, span = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
+    group = np.empty(len(doc), np.uint64)
+    names, starts = words, np.arange(len(words))
+    live, low, high = np.arange(len(doc)), at, at + window
+    for k in range(rounds_of(window) + 1):
+        fresh, joined_, leans = recompress(names, starts, first, k)
+        place = np.cumsum(~joined_) - 1
+        if k == 0:
+            low2, high2 = place[low] + 1, place[high - 1]
+        else:
+            a, b = low + (leans[low] < 0), high - 1 - (leans[high - 1] > 0)
+            low2, high2 = place[np.minimum(a, len(place) - 1)], np.where(a <= b, place[b] + 1, 0)
+        over = low2 >= high2
+        if over.any():
+            _settle_cores(live[over], low[over], high[over], names, starts, len(words), window, anchor, group, span)
+        live, low, high = live[~over], low2[~over], high2[~over]
+        names, starts = fresh, starts[~joined_]
+        if not len(live):
+            break
+    if len(live):
+        _settle_cores(live, low, high, names, starts, len(words), window, anchor, group, span)
+    return doc, pos, anchor, group, Prefixes(words).runs(at, at + window), span
+
+
+def _settle_cores(
+    chosen: np.ndarray, low: np.ndarray, high: np.ndarray, names: np.ndarray, starts: np.ndarray, n_words: int, window: int,
+    anchor: np.ndarray, group: np.ndarray, span: np.ndarray,
+) -> None:
+    """Writes the cores of the windows ``chosen``, whose symbols are those of [low, high)."""
+    spans = np.diff(np.append(starts, n_words))
+    short = np.maximum(0, min(window // 4, 15) - spans).astype(np.uint64)
+    order = (mix64(names ^ ORDER) >> np.uint64(4)) | (short << np.uint64(60))
+    best, least = low.copy(), order[low]
+    step = 1
+    while len(more := np.flatnonzero(low + step < high)):
+        other = order[low[more] + step]
+        less = other < least[more]
+        best[more[less]], least[more[less]] = low[more[less]] + step, other[less]
+        step += 1
+    anchor[chosen], group[chosen], span[chosen] = starts[best], names[best], spans[best]
+
+
+# Symbols that are common in the whole corpus
+
+
+def dealt_counts(groups: Iterable[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences of all groups, in buckets by group; a task combines what it holds before it hands it over."""
+
+    def merged(parts: list[np.ndarray]) -> np.ndarray:
+        every = np.concatenate(parts)
+        every = every[np.argsort(every["g"], kind="stable")]
+        heads = run_starts(every["g"])
+        return rows_of(COUNT, every["g"][heads], np.add.reduceat(every["n"], heads) if len(heads) else every["n"])
+
+    def handed(rows: np.ndarray) -> pa.RecordBatch:
+        return dealt((mix64(rows["g"]) % np.uint64(buckets)).astype(np.int64), rows)
+
+    parts, n = [], 0
+    for found in groups:
+        parts.append(rows_of(COUNT, *np.unique(found, return_counts=True)))
+        n += len(parts[-1])
+        if n > HELD_COUNTS:
+            parts = [merged(parts)]
+            n = len(parts[0])
+            if n > HELD_COUNTS // 2:
+                yield handed(parts[0])
+                parts, n = [], 0
+    if n:
+        yield handed(merged(parts))
 
 
 def _sum_up(table: pa.Table, least: int) -> pa.Table:
-    """A bucket's groups of more than ``least`` occurrences in all chunks together, with one row of the number of all."""
-    group, n = unpack(table.column("blob").to_pylist())
-    order = np.argsort(group, kind="stable")
-    heads = run_starts(group[order])
-    sums = np.add.reduceat(n[order].astype(np.int64), heads)
+    """A bucket's groups of more than ``least`` occurrences in all tasks together."""
+    rows = joined(table.column("blob"), COUNT)
+    order = np.argsort(rows["g"], kind="stable")
+    heads = run_starts(rows["g"][order])
+    sums = np.add.reduceat(rows["n"][order].astype(np.int64), heads)
     often = sums > least
-    total = np.zeros(often.sum() + 1, np.int64)
-    total[-1] = sums.sum()
-    return in_table(arrow({"g": np.append(group[order][heads][often].view(np.int64), 0), "n": np.append(sums[often], 0), "total": total}, FREQUENT))
+    return in_table(arrow({"g": rows["g"][order][heads][often].view(np.int64), "n": sums[often]}, FREQUENT))
 
 
 def common_groups(found: DataFrame) -> np.ndarray:
-    """The groups of more than HOT_ROWS occurrences in all chunks together, HOT_GROUPS at most."""
+    """The groups of more than HOT_ROWS occurrences, all counted; if these are over HOT_GROUPS, the commonest."""
     least = HOT_ROWS
-    found = cut(found.groupBy("bucket").applyInArrow(lambda table: _sum_up(table, least), FREQUENT))
-    total = found.agg(F.sum("total")).first()[0] or 0
-    rows = found.filter(F.col("n") > max(HOT_ROWS, total // HOT_GROUPS)).select("g").collect()
-    return np.sort(np.array([r["g"] for r in rows], np.int64).view(np.uint64))
+    hot = cut(found.groupBy("bucket").applyInArrow(lambda table: _sum_up(table, least), FREQUENT))
+    if hot.count() > HOT_GROUPS:
+        hot = hot.orderBy(F.desc("n"), "g").limit(HOT_GROUPS)
+    return np.sort(hot.select("g").toArrow().column("g").to_numpy().view(np.uint64))
 
 
 def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -173,19 +214,23 @@ def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(at, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def hot_groups(docs: DataFrame, window: int, buckets: int) -> np.ndarray:
-    """The groups that are common in the whole corpus, by exact counts of all groups."""
-    return common_groups(docs.mapInArrow(lambda it: _frequent_groups(it, window, buckets), COUNTED))
+def _cores(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[np.ndarray]:
+    for _, _, texts, _ in chunks(batches, word_segments, window - 1):
+        _, _, anchor, group, _, _ = parsed_windows(texts, window)
+        yield group[run_starts(anchor, group)]
+
+
+# Windows
 
 
 def _deal(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Buckets of windows by group (hot ones by themselves); windows that a chunk repeats are settled here.
 
-    Records are runs of windows of one anchor: (id, h, pos, n, group) beside the windows' hashes.
-    Settled ones go along as records with n < 0, dealt by document.
+    Records are runs of windows of one core, beside the windows' hashes. Settled ones go along with n < 0, dealt by
+    document.
     """
-    for ids, hashes, texts in chunks(batches):
-        doc, pos, anchor, group, match = parsed_windows(texts, window)
+    for ids, hashes, texts, offsets in chunks(batches, word_segments, window - 1):
+        doc, pos, anchor, group, match, _ = parsed_windows(texts, window)
         if not len(doc):
             continue
         order = np.argsort(mix64(match * MATCH + group), kind="stable")
@@ -194,35 +239,34 @@ def _deal(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int, hot: n
         again[order[heads]] = False
         single = is_in(group, hot)
         place = np.arange(len(doc)) * (single & ~again)
-        runs = run_starts(doc, anchor * ~again, again, place)
+        runs = run_starts(doc, anchor * ~again, group * ~again, again, place)
         n = np.diff(np.append(runs, len(doc)))
         d, settled, alone = doc[runs], again[runs], single[runs]
-        key = np.where(alone, mix64(match[runs] ^ group[runs]), group[runs])
+        key = np.where(alone, mix64(match[runs] ^ group[runs]), mix64(group[runs]))
         key = np.where(settled, mix64(hashes[d].view(np.uint64)), key)
-        bucket = (key % np.uint64(n_buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        sizes = np.where(settled, -n, n)
         kept = np.where(settled, 0, n)
-        records = pack(bucket, n_buckets, ids[d], hashes[d], pos[runs].astype(np.int32), sizes.astype(np.int32), group[runs])
-        # The windows' hashes stand in the order of their records.
-        taken = np.repeat(runs[by] - np.concatenate(([0], np.cumsum(kept[by])[:-1])), kept[by]) + np.arange(kept.sum())
-        inner = pack(np.repeat(bucket[by], kept[by]), n_buckets, match[taken].view(np.uint8).reshape(-1, 8)[:, 3:])
-        yield dealt(DEALT, records, inner)
+        low = match.view(np.uint8).reshape(-1, 8)[:, 8 - MATCH_BYTES :]
+
+        def inner(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The windows' hashes in the order of their records."""
+            m = kept[by]
+            taken = np.repeat(runs[by] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            return low[taken], m
+
+        records = rows_of(WINDOWS, ids[d], hashes[d], pos[runs] + offsets[d], np.where(settled, -n, n), group[runs])
+        yield dealt((key % np.uint64(n_buckets)).astype(np.int64), records, inner)
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """(id, h, blob of (start, n)) of the windows of a bucket that also start earlier."""
-    ids, hashes, pos, size, group = unpack(table.column("blob").to_pylist())
-    inner = [b for b in table.column("blobs").to_pylist() if b is not None]
-    match = np.zeros(0, np.uint64)
-    if inner:
-        high = unpack(inner)[0]
-        wide = np.zeros((len(high), 8), np.uint8)
-        wide[:, 3:] = high
-        match = wide.reshape(-1).view(np.uint64)
-    settled = size < 0
-    done = (ids[settled], hashes[settled], pos[settled], -size[settled])
-    ids, hashes, pos, size, group = (c[~settled] for c in (ids, hashes, pos, size, group))
+    """(id, h, blob of spans) of the windows of a bucket that also start earlier."""
+    rows = joined(table.column("blob"), WINDOWS)
+    wide = np.zeros((0, 8), np.uint8)
+    low = joined(table.column("blobs"), np.uint8).reshape(-1, MATCH_BYTES)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, 8 - MATCH_BYTES :] = low
+    match = wide.reshape(-1).view(np.uint64)
+    done, rows = rows[rows["n"] < 0], rows[rows["n"] > 0]
+    ids, hashes, pos, size, group = (rows[c] for c in WINDOWS.names)
     before = np.cumsum(size) - size
     rank = np.lexsort((pos, hashes, ids))  # records in order of their first windows
     n = size[rank]
@@ -238,33 +282,57 @@ def _settle(table: pa.Table) -> pa.Table:
     gone[order] = later
     r, p = record[gone], place[gone]
     starts = run_starts(r, p - np.arange(len(p)))
-    more = (ids[r[starts]], hashes[r[starts]], p[starts], np.diff(np.append(starts, len(p))))
-    both = [np.concatenate(c) for c in zip(done, more)]
-    return in_table(by_document("blob", MARKS, both[0], both[1], both[2].astype(np.int32), both[3].astype(np.int32)))
+    more = (ids[r[starts]], hashes[r[starts]], rows_of(SPAN, p[starts], np.diff(np.append(starts, len(p)))))
+    both = [np.concatenate(c) for c in zip((done["id"], done["h"], rows_of(SPAN, done["pos"], -done["n"])), more)]
+    return in_table(by_document("blob", MARKS, *both))
+
+
+def kept_words(text: bytes, spans: np.ndarray, window: int) -> tuple[int, int, bytes]:
+    """(words, words that a marked window covers, the others joined by spaces), part by part of a long text."""
+    total = gone = 0
+    kept: list[bytes] = []
+    for offset, part in word_segments(text, CHUNK_BYTES, 0):
+        words = part.split()
+        total += len(words)
+        if len(spans):
+            begin, end = (np.clip(x - offset, 0, len(words)) for x in (spans["start"], spans["start"] + spans["n"] + (window - 1)))
+            covered = covered_by(len(words), begin, end)
+            gone += int(covered.sum())
+            words = [w for w, c in zip(words, covered.tolist()) if not c]
+        if words:
+            kept.append(b" ".join(words))
+    return total, gone, b" ".join(kept)
 
 
 def _without(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The texts' words that no marked window covers."""
     for part in slices(batches):
-        n_words, n_removed, kept = [], [], []
-        for text, blobs in zip(encoded(part.column("text")), part.column("blobs").to_pylist()):
-            words = text.split()
-            gone = 0
-            n_words.append(len(words))
-            if blobs:
-                start, n = unpack(blobs)
-                covered = covered_by(len(words), start, start + n + (window - 1))
-                gone = int(covered.sum())
-                words = [w for w, c in zip(words, covered.tolist()) if not c]
-            n_removed.append(gone)
-            kept.append(b" ".join(words))
+        spans = (np.frombuffer(b"".join(b or ()), SPAN) for b in part.column("blobs").to_pylist())
+        n_words, n_removed, kept = zip(*(kept_words(t, s, window) for t, s in zip(encoded(part.column("text")), spans)))
         columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
 
+def with_identity(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ``_vg_id``, ``_vg_h``, an identity that equal rows share, and the ids' dictionary if they need one.
+
+    Ids follow the order of doc_id, nulls last; those that are no integers are numbered in their order. The hash's last
+    bit tells a null id from the largest one.
+    """
+    ids = None
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        rows, number = docs, F.col("doc_id").cast("long")
+    else:
+        ids = dictionary(docs.select("doc_id"))
+        rows = docs.join(ids.select(F.col("id").alias("_vg_number"), F.col("term").alias("doc_id")), "doc_id", "left").select(*docs.columns, "_vg_number")
+        number = F.col("_vg_number")
+    h = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    return rows.withColumns({"_vg_id": F.coalesce(number, F.lit(NULL_ID)), "_vg_h": h}).drop("_vg_number"), ids
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """(id, h, doc_id, text): the identity that marks are joined by; equal rows share it."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
+    """(id, h, doc_id, text) of all rows: their identity, by which marks are joined, beside what it stands for."""
+    return with_identity(docs.select("doc_id", "text"))[0].select(F.col("_vg_id").alias("id"), F.col("_vg_h").alias("h"), "doc_id", "text")
 
 
 def n_buckets(docs: DataFrame, size: int = BUCKET_BYTES) -> int:
@@ -291,21 +359,25 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     consecutive words that covers it also starts earlier: in a document of smaller doc_id, or earlier in the
     same one. ``kept`` joins what stays by single spaces.
 
-    Null ids come last; rows of one id but other texts follow each other by a hash of the text; equal rows are
-    one document and get equal results. Null and empty texts have no words. Windows are compared by their
-    group (64 bits) and their own hash (40 bits) together.
+    Null ids come last, ids of other types than integers in their own order; rows of one id but other texts follow
+    each other by a hash of the text; equal rows are one document and get equal results. Null and empty texts have no
+    words. Very long texts are taken in segments of some CHUNK_BYTES that overlap by a window, with the same result.
+
+    Recompression's interior symbols propose which windows may be equal; windows of one core are told apart by 64 bits
+    of its name and 40 of a hash of their words.
     """
-    if window <= 3 * LEAST_MARGIN:
-        raise ValueError(f"a window has {3 * LEAST_MARGIN + 1} words at least")
+    if window < 2:
+        raise ValueError("a window has two words at least")
     rows = identified(docs)
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
-    hot = docs.sparkSession.sparkContext.broadcast(hot_groups(texts, window, count_buckets(buckets)))
+    counts = texts.mapInArrow(lambda it: dealt_counts(_cores(it, window), count_buckets(buckets)), DEALT)
+    hot = docs.sparkSession.sparkContext.broadcast(common_groups(counts))
     in_buckets = texts.mapInArrow(lambda it: _deal(it, window, buckets, hot.value), DEALT)
     marks = in_buckets.groupBy("bucket").applyInArrow(lambda table: _settle(table), MARKS)
-    joined = with_marks(rows, marks)
-    kind = dict(docs.dtypes)["doc_id"]
-    return joined.mapInArrow(lambda it: _without(it, window), f"doc_id {kind}, n_words long, n_removed long, kept string")
+    joined_ = with_marks(rows, marks)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return joined_.mapInArrow(lambda it: _without(it, window), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
