@@ -51,10 +51,10 @@ HELD_COUNTS = 1_000_000
 #: Schemas of what workers hand over, and their records.
 FREQUENT = "g long, n long"
 MARKS = "id long, h long, blob binary"
-COUNT = np.dtype([("g", np.uint64), ("n", np.int32)])
+COUNT = np.dtype([("g", np.uint32), ("n", np.int32)])
 WINDOWS = np.dtype([("id", np.int64), ("h", np.int64), ("pos", np.int32), ("n", np.int32), ("group", np.uint64)])
 #: So many bytes of a window's own hash go along; with its group's 64 bits they tell windows apart.
-MATCH_BYTES = 5
+MATCH_BYTES = 4
 
 RUN, PAIR, SIDE, ORDER, MATCH = (np.uint64(x) for x in (0x51ED270B4D2C9A35, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD6E8FEB86659FD93))
 _BLANK = np.zeros(256, bool)
@@ -163,30 +163,35 @@ def _settle_cores(
 # Symbols that are common in the whole corpus
 
 
+def reduced(groups: np.ndarray, buckets: int) -> np.ndarray:
+    """What groups are counted by: their bucket and 32 bits more. Two that meet are counted as one, which may make both hot."""
+    return ((mix64(groups) % np.uint64(buckets)) << np.uint64(32)) | (groups & np.uint64(0xFFFFFFFF))
+
+
 def dealt_counts(groups: Iterable[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """Occurrences of all groups, in buckets by group; a task combines what it holds before it hands it over."""
 
-    def merged(parts: list[np.ndarray]) -> np.ndarray:
-        every = np.concatenate(parts)
-        every = every[np.argsort(every["g"], kind="stable")]
-        heads = run_starts(every["g"])
-        return rows_of(COUNT, every["g"][heads], np.add.reduceat(every["n"], heads) if len(heads) else every["n"])
+    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(every, kind="stable")
+        heads = run_starts(every[order])
+        return every[order[heads]], np.add.reduceat(n[order], heads) if len(heads) else n
 
-    def handed(rows: np.ndarray) -> pa.RecordBatch:
-        return dealt((mix64(rows["g"]) % np.uint64(buckets)).astype(np.int64), rows)
+    def handed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return dealt((keys >> np.uint64(32)).astype(np.int64), rows_of(COUNT, keys & np.uint64(0xFFFFFFFF), n))
 
-    parts, n = [], 0
+    keys, counts, held = [], [], 0
     for found in groups:
-        parts.append(rows_of(COUNT, *np.unique(found, return_counts=True)))
-        n += len(parts[-1])
-        if n > HELD_COUNTS:
-            parts = [merged(parts)]
-            n = len(parts[0])
-            if n > HELD_COUNTS // 2:
-                yield handed(parts[0])
-                parts, n = [], 0
-    if n:
-        yield handed(merged(parts))
+        distinct, n = np.unique(reduced(found, buckets), return_counts=True)
+        keys, counts, held = [*keys, distinct], [*counts, n], held + len(n)
+        if held > HELD_COUNTS:
+            one = merged(keys, counts)
+            keys, counts, held = [one[0]], [one[1]], len(one[0])
+            if held > HELD_COUNTS // 2:
+                yield handed(*one)
+                keys, counts, held = [], [], 0
+    if held:
+        yield handed(*merged(keys, counts))
 
 
 def _sum_up(table: pa.Table, least: int) -> pa.Table:
@@ -196,11 +201,12 @@ def _sum_up(table: pa.Table, least: int) -> pa.Table:
     heads = run_starts(rows["g"][order])
     sums = np.add.reduceat(rows["n"][order].astype(np.int64), heads)
     often = sums > least
-    return in_table(arrow({"g": rows["g"][order][heads][often].view(np.int64), "n": sums[often]}, FREQUENT))
+    g = rows["g"][order][heads][often].astype(np.int64) | (table.column("bucket")[0].as_py() << 32)
+    return in_table(arrow({"g": g, "n": sums[often]}, FREQUENT))
 
 
 def common_groups(found: DataFrame) -> np.ndarray:
-    """The groups of more than HOT_ROWS occurrences, all counted; if these are over HOT_GROUPS, the commonest."""
+    """The groups of more than HOT_ROWS occurrences, ``reduced``, all counted; if these are over HOT_GROUPS, the commonest."""
     least = HOT_ROWS
     hot = cut(found.groupBy("bucket").applyInArrow(lambda table: _sum_up(table, least), FREQUENT))
     if hot.count() > HOT_GROUPS:
@@ -237,7 +243,7 @@ def _deal(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int, hot: n
         heads = run_starts(match[order], group[order])
         again = np.ones(len(doc), bool)
         again[order[heads]] = False
-        single = is_in(group, hot)
+        single = is_in(reduced(group, count_buckets(n_buckets)), hot)
         place = np.arange(len(doc)) * (single & ~again)
         runs = run_starts(doc, anchor * ~again, group * ~again, again, place)
         n = np.diff(np.append(runs, len(doc)))
@@ -364,7 +370,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words. Very long texts are taken in segments of some CHUNK_BYTES that overlap by a window, with the same result.
 
     Recompression's interior symbols propose which windows may be equal; windows of one core are told apart by 64 bits
-    of its name and 40 of a hash of their words.
+    of its name and 32 of a hash of their words.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
