@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from veingraph.llm.rolling import (
     slices,
     sliding_argmin,
 )
-from veingraph.llm.substrings import MARKS, common_groups, count_buckets, dealt_counts, identified, is_in, n_buckets, with_marks
+from veingraph.llm.substrings import MARKS, common_groups, count_buckets, dealt_counts, identified, is_in, n_buckets, reduced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -272,9 +273,10 @@ def _cores(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[np.ndarra
 #: twice before, a run of a hot core (which is known to be shared); the last two go by document.
 RUN, SINGLE, SEEN, KNOWN = range(4)
 RUNS = np.dtype([("kind", np.int8), ("id", np.int64), ("h", np.int64), ("start", np.int32), ("n", np.uint16), ("anchor", np.uint16), ("core", np.uint64), ("group", np.uint32), ("whole", np.uint64)])
-NEEDED = np.dtype([("bucket", np.int64), ("start", np.int32), ("n", np.int32), ("twin", np.uint64), ("key", np.uint64)])
-PIECES = np.dtype([("n", np.int32), ("twin", np.uint64), ("key", np.uint64)])
-MEMBERS = np.dtype([("twin", np.uint64), ("id", np.int64), ("h", np.int64), ("start", np.int32)])
+#: Twins and groups are numbered within their bucket. The bytes of a run are needed ``whole``, or only a digest of them.
+NEEDED = np.dtype([("bucket", np.int64), ("start", np.int32), ("n", np.uint16), ("twin", np.uint32), ("group", np.uint32), ("whole", np.bool_)])
+PIECES = np.dtype([("n", np.uint16), ("twin", np.uint32), ("group", np.uint32), ("whole", np.bool_), ("digest", np.void, 16)])
+MEMBERS = np.dtype([("twin", np.uint32), ("id", np.int64), ("h", np.int64), ("start", np.int32)])
 SIFTED = "id long, h long, bucket long, blob binary, shared binary, needed binary, members binary"
 
 
@@ -309,7 +311,7 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot: np.
         doc, start, n, anchor, core, group, whole = super_strings(data, edges, length)
         if not len(doc):
             continue
-        common = is_in(core, hot)
+        common = is_in(reduced(core, count_buckets(buckets)), hot)
         rare = ~common
         parts = [(RUN, *(c[rare] for c in (doc, start, n, anchor, core, group, whole)))]
         if common.any():
@@ -338,8 +340,8 @@ def rows_of_run(kind: np.ndarray | int, ids: np.ndarray, *columns: np.ndarray |
 def _sift(table: pa.Table) -> pa.Table:
     """What a bucket's records come to: marks and shared cores by document, runs whose bytes are needed, and their members.
 
-    A run is needed if its group has another place too. Equal runs are twins: the bytes of two of them are needed, and
-    what is found of them holds for all.
+    A run is needed if its group has another place too. Equal runs are twins: two of them are needed, and what is found
+    of them holds for all. Of a group's different runs, one of each goes to a suffix array.
     """
     rows = joined(table.column("blob"), RUNS)
     bucket = table.column("bucket")[0].as_py()
@@ -348,19 +350,17 @@ def _sift(table: pa.Table) -> pa.Table:
     rows = rows[np.lexsort((rows["start"], rows["h"], rows["id"], rows["whole"], rows["group"], rows["core"]))]
     rows = rows[run_starts(*(rows[c] for c in ("core", "group", "whole", "id", "h", "start")))]  # equal rows of the input are one document
 
-    def sizes(heads: np.ndarray) -> np.ndarray:
-        n = np.diff(np.append(heads, len(rows)))
-        return np.repeat(n, n)
-
-    heads = run_starts(rows["core"], rows["group"], rows["whole"])
-    nth = np.arange(len(rows)) - np.repeat(heads, np.diff(np.append(heads, len(rows))))
     single = rows["kind"] == SINGLE
-    needed = sizes(run_starts(rows["core"], rows["group"])) > 1
-    twin = mix64(rows["core"] * MATCH + rows["whole"])
+    heads, groups = run_starts(rows["core"], rows["group"], rows["whole"]), run_starts(rows["core"], rows["group"])
+    twin = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(rows))))
+    group = np.repeat(np.arange(len(groups)), np.diff(np.append(groups, len(rows))))
+    nth = np.arange(len(rows)) - heads[twin]
+    needed = np.bincount(group)[group] > 1
     wanted = needed & (nth < 2)
-    key = mix64(rows["core"] * MATCH + rows["group"])
     w = rows[wanted]
-    records = rows_of(NEEDED, np.full(len(w), bucket), w["start"], w["n"], twin[wanted], key[wanted])
+    kinds = np.bincount(group[heads])
+    whole = (kinds[group[wanted]] > 1) & (nth[wanted] == 0)
+    records = rows_of(NEEDED, np.full(len(w), bucket), w["start"], w["n"], twin[wanted], group[wanted], whole)
     members = rows_of(MEMBERS, twin[needed], *(rows[c][needed] for c in ("id", "h", "start")))
     # Cores that different documents hold.
     by_core = rows[~single]
@@ -377,7 +377,7 @@ def _sift(table: pa.Table) -> pa.Table:
 
 
 def _extract(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The needed runs' bytes, in their buckets."""
+    """The needed runs' bytes, or digests of them, in their buckets."""
     for part in slices(batches):
         records, pieces = [], []
         for text, blobs in zip(encoded(part.column("text")), part.column("blobs").to_pylist()):
@@ -385,11 +385,14 @@ def _extract(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             pieces += [text[a : a + m + length - 1] for a, m in zip(found["start"].tolist(), found["n"].tolist())]
             records.append(found)
         every = np.concatenate(records)
+        digests = np.frombuffer(b"".join(hashlib.md5(p, usedforsecurity=False).digest() for p in pieces), "V16")
+        size = np.where(every["whole"], every["n"].astype(np.int64) + (length - 1), 0)
 
         def inner(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(b"".join(pieces[k] for k in order.tolist()), np.uint8), every["n"][order].astype(np.int64) + (length - 1)  # noqa: B023
+            chosen = order[every["whole"][order]]  # noqa: B023
+            return np.frombuffer(b"".join(pieces[k] for k in chosen.tolist()), np.uint8), size[order]  # noqa: B023
 
-        yield dealt(every["bucket"], rows_of(PIECES, every["n"], every["twin"], every["key"]), inner)
+        yield dealt(every["bucket"], rows_of(PIECES, *(every[c] for c in ("n", "twin", "group", "whole")), digests), inner)
 
 
 def shard_matches(pieces: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
@@ -411,48 +414,37 @@ def shard_matches(pieces: np.ndarray, sizes: np.ndarray, length: int) -> np.ndar
 def _match(table: pa.Table, length: int) -> pa.Table:
     """(id, h, blob of spans) of a bucket's windows that occur elsewhere.
 
-    Of twins, two are compared byte by byte: if they are equal, all their windows occur elsewhere. The different runs of
-    a group share a suffix array.
+    Twins of one digest occur twice with all their windows. The different runs of a group share a suffix array.
     """
     pieces, data = joined(table.column("blob"), PIECES), joined(table.column("blobs"), np.uint8)
     members = joined(table.column("members"), MEMBERS)
-    sizes = pieces["n"].astype(np.int64) + (length - 1)
+    sizes = np.where(pieces["whole"], pieces["n"].astype(np.int64) + (length - 1), 0)
     offset = np.cumsum(sizes) - sizes
-    order = np.lexsort((pieces["twin"], pieces["key"]))
-    firsts = run_starts(pieces["key"][order], pieces["twin"][order])
-    first, is_twin = order[firsts], np.diff(np.append(firsts, len(order))) > 1
-
-    def bytes_of(chosen: np.ndarray) -> np.ndarray:
-        own = sizes[chosen]
-        return data[np.repeat(offset[chosen] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
-
-    pairs = firsts[is_twin]
-    same = is_twin.copy()
-    if len(pairs):
-        own = sizes[order[pairs]]
-        same[is_twin] = ~np.logical_or.reduceat(bytes_of(order[pairs]) != bytes_of(order[pairs + 1]), np.cumsum(own) - own)
-    found = [(first[same], np.zeros(same.sum(), np.int64), pieces["n"][first[same]].astype(np.int64))]
-    keys = run_starts(pieces["key"][first])
-    bounds = np.append(keys, len(first)).tolist()
-    chosen: list[np.ndarray] = []
-    taken = 0
-    for k, (left, right) in enumerate(zip(bounds, bounds[1:])):
-        if right - left > 1:
-            chosen.append(np.arange(left, right))
-            taken += int(sizes[first[left:right]].sum())
-        if not chosen or (taken < SHARD_BYTES and k + 2 < len(bounds)):
+    order = np.lexsort((~pieces["whole"], pieces["twin"], pieces["group"]))
+    firsts = run_starts(pieces["group"][order], pieces["twin"][order])
+    pairs = firsts[np.diff(np.append(firsts, len(order))) > 1]
+    same = np.zeros(len(pieces), bool)
+    same[order[pairs]] = pieces["digest"][order[pairs]] == pieces["digest"][order[pairs + 1]]
+    alike = np.flatnonzero(same)
+    found = [(alike, np.zeros(len(alike), np.int64), pieces["n"][alike].astype(np.int64))]
+    shared = order[pieces["whole"][order]]
+    bounds = np.append(run_starts(pieces["group"][shared]), len(shared)).tolist()
+    begin = taken = 0
+    for left, right in zip(bounds, bounds[1:]):
+        taken += int(sizes[shared[left:right]].sum())
+        if taken < SHARD_BYTES and right < len(shared):
             continue
-        runs = np.concatenate(chosen)
-        chosen, taken = [], 0
-        own = sizes[first[runs]]
+        runs, begin, taken = shared[begin:right], right, 0
+        own = sizes[runs]
         local = np.cumsum(own) - own
-        hit = np.flatnonzero(shard_matches(bytes_of(first[runs]), own, length))
+        hit = np.flatnonzero(shard_matches(data[np.repeat(offset[runs] - local, own) + np.arange(own.sum())], own, length))
         piece = np.searchsorted(local, hit, "right") - 1
         hit, piece = hit[~same[runs[piece]]], piece[~same[runs[piece]]]
         place = hit - local[piece]
         heads = run_starts(piece, place - np.arange(len(place)))
-        found.append((first[runs[piece[heads]]], place[heads], np.diff(np.append(heads, len(place)))))
+        found.append((runs[piece[heads]], place[heads], np.diff(np.append(heads, len(place)))))
     piece, place, n = (np.concatenate(c) for c in zip(*found))
+    # What holds for a twin's piece holds for all its members.
     twin = pieces["twin"][piece]
     by = np.argsort(twin, kind="stable")
     low, high = (np.searchsorted(twin[by], members["twin"], side) for side in ("left", "right"))
@@ -494,8 +486,8 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     as shared without a look at their documents.
 
     Windows are grouped by the bytes around anchors. All different runs of windows of a group go to one suffix array,
-    whose common prefixes decide; of equal runs two are compared byte by byte. Windows of groups that are too common
-    for one task are dealt out by their hash.
+    whose common prefixes decide; of equal runs two are compared by a digest of their bytes. Windows of groups that are
+    too common for one task are dealt out by their hash.
     """
     if length < 2 * MARGIN + GRAM:
         raise ValueError(f"the length is {2 * MARGIN + GRAM} at least")
@@ -506,9 +498,10 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = docs.sparkSession.sparkContext.broadcast(common_groups(counts))
     in_buckets = texts.mapInArrow(lambda it: _deal(it, length, buckets, hot.value), DEALT)
     sifted = cut(in_buckets.groupBy("bucket").applyInArrow(lambda table: _sift(table), SIFTED))
-    needed = sifted.filter("needed IS NOT NULL").select("id", "h", F.col("needed").alias("blob"))
-    wanted = with_marks(texts.withColumn("doc_id", F.lit(None)), needed).filter("blobs IS NOT NULL").dropDuplicates(["id", "h"])
-    pieces = wanted.select("text", "blobs").mapInArrow(lambda it: _extract(it, length), DEALT).withColumn("members", F.lit(None).cast("binary"))
+    needed = sifted.filter("needed IS NOT NULL").groupBy("id", "h").agg(F.collect_list("needed").alias("blobs"))
+    # The texts are shuffled as for the last join, so that one shuffle serves both.
+    wanted = rows.join(needed, ["id", "h"]).select("id", "h", "doc_id", "text", "blobs").dropDuplicates(["id", "h"])
+    pieces = wanted.mapInArrow(lambda it: _extract(it, length), DEALT).withColumn("members", F.lit(None).cast("binary"))
     members = sifted.filter("octet_length(members) > 0").select("bucket", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("blobs"), "members")
     matched = pieces.unionByName(members).groupBy("bucket").applyInArrow(lambda table: _match(table, length), MARKS)
     known = sifted.filter("blob IS NOT NULL OR shared IS NOT NULL").select("id", "h", "blob", "shared")
