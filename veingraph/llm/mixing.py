@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from veingraph.llm.common import cut, let, small, table
 
-#: Largest mean of one draw; a larger mean is a sum of draws. ``mixing_sql`` still limits means to it.
+#: Largest mean of one draw; a larger mean is a sum of draws.
 MAX_MEAN = 30.0
-#: Largest count in ``mixing_sql``.
+#: One draw's counts stay far below this, as its mean does not exceed MAX_MEAN.
 MAX_COUNT = 120
 SEED = "mix-1"
 TEMPERATURE = 0.5
@@ -103,20 +103,26 @@ def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_sql() -> str:
-    """The same rows in SQL: counts by a lateral search over k, hashes by MD5."""
+    """The same rows in SQL: counts by a lateral search over k for every draw, hashes by MD5."""
+    uniform_of = lambda key: f"(('0x' || substr(md5({key}), 1, 13))::BIGINT + 0.5) / {float(2**52)}"
+    doc = "coalesce(doc_id::VARCHAR, '')"
     return f"""
 WITH sizes AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
 means AS (
-  SELECT source, least({MAX_MEAN}, pow(n_docs::DOUBLE, {TEMPERATURE}) * ((SELECT sum(n_docs) FROM sizes)::DOUBLE
-    / (SELECT sum(pow(n_docs::DOUBLE, {TEMPERATURE})) FROM sizes)) / n_docs) AS mean FROM sizes),
-drawn AS (
-  SELECT d.*, m.mean, (('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / {float(2**52)} AS u
-  FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source),
+  SELECT source, pow(n_docs::DOUBLE, {TEMPERATURE}) * ((SELECT sum(n_docs) FROM sizes)::DOUBLE
+    / (SELECT sum(pow(n_docs::DOUBLE, {TEMPERATURE})) FROM sizes)) / n_docs AS mean FROM sizes),
+parts AS (SELECT source, ceil(mean / {MAX_MEAN})::INTEGER AS parts, mean / ceil(mean / {MAX_MEAN}) AS mean FROM means),
+numbered AS (SELECT *, row_number() OVER () AS row_no FROM documents),
+draws AS (
+  SELECT row_no, d.source, CASE WHEN parts = 1 THEN {uniform_of(f"'{SEED}|' || {doc}")}
+    ELSE {uniform_of(f"'{SEED}/part|' || {doc} || '|' || p.part")} END AS u
+  FROM numbered d JOIN parts m ON d.source IS NOT DISTINCT FROM m.source, LATERAL (SELECT unnest(range(1, parts + 1)) AS part) p),
 cdf AS (
   SELECT source, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-  FROM means, range(0, {MAX_COUNT}) r(k)),
-counted AS (SELECT d.*, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.cdf < d.u) AS n FROM drawn d)
+  FROM parts, range(0, {MAX_COUNT}) r(k)),
+drawn AS (SELECT row_no, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.cdf < d.u) AS k FROM draws d),
+counted AS (SELECT row_no, sum(k)::BIGINT AS n FROM drawn GROUP BY row_no)
 SELECT doc_id, text, lang, source, n_chars, c.copy::INTEGER AS copy,
-  md5('{SEED}/order|' || coalesce(doc_id::VARCHAR, '') || '|' || c.copy::VARCHAR) AS mix_key
-FROM counted, LATERAL (SELECT unnest(range(0, n)) AS copy) c
+  md5('{SEED}/order|' || {doc} || '|' || c.copy::VARCHAR) AS mix_key
+FROM numbered JOIN counted USING (row_no), LATERAL (SELECT unnest(range(0, n)) AS copy) c
 """
