@@ -115,24 +115,32 @@ def classes(docs, threshold=0.8):
     return [least[find(i)] for i in range(len(docs))]
 
 
-def leaf(line, depth=6, min_tokens=4):
-    w = blank_words(line)
-    return (len(w), *("*" if re.search("[0-9]", t) else t for t in w[:depth])) if len(w) >= min_tokens else None
-
-
-def lines(docs, min_docs=3):
-    """[(n_lines, n_dropped, text)] row by row."""
-    held = defaultdict(list)
+def lines(docs, depth=6, min_docs=3):
+    """[(n_lines, n_dropped, text)] row by row, by comparing every line of a leaf with its commonest one."""
+    masked = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in blank_words(line))
+    name = lambda w: hashlib.md5(f"{len(w)} {' '.join(w)}".encode()).hexdigest()[:16]
+    has_template = lambda w: any(t != "<*>" for t in w)
+    held = Counter(w for _, text in docs if text is not None for w in set(map(masked, text.split("\n"))) if has_template(w))
+    commonest = {}
+    for w in sorted(held, key=lambda w: (-held[w], name(w))):
+        commonest.setdefault((len(w), w[:depth]), w)
+
+    def template(w):
+        top = commonest[len(w), w[:depth]]
+        return top if 10 * sum(a == b for a, b in zip(w, top)) >= 8 * len(w) else w
+
+    owners = defaultdict(set)
     for doc_id, text in docs:
-        for x in {leaf(line) for line in text.split("\n")} - {None} if text is not None else ():
-            held[x].append(doc_id)
-    first = {x: min((i for i in ids if i is not None), default=None) for x, ids in held.items() if len(ids) >= min_docs}
+        for w in set(map(masked, (text or "").split("\n"))):
+            if has_template(w):
+                owners[template(w)].add((doc_id, text))
+    first = {t: min((i for i, _ in ids if i is not None), default=None) for t, ids in owners.items() if len(ids) >= min_docs}
     out = []
     for doc_id, text in docs:
         if text is None:
             out.append((0, 0, None))
             continue
         every = text.split("\n")
-        kept = [x for x in every if leaf(x) not in first or first[leaf(x)] == doc_id]
+        kept = [x for x in every if not has_template(masked(x)) or template(masked(x)) not in first or first[template(masked(x))] == doc_id]
         out.append((len(every), len(every) - len(kept), "\n".join(kept)))
     return out

@@ -55,8 +55,31 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("id"), F.xxhash64(doc_id, text).alias("h"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
+#: Parts that a key's rows are dealt to where one key may hold a third of them.
+SALT = 32
+
+
+def salted(many: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with the written table ``few``, which has a row for each value of ``on``.
+
+    A small table is broadcast. Else each of its rows goes to all parts of its key, and the many rows of a key to the
+    part that their column ``by`` falls in, so that a hot key is no single task's.
+    """
+    known = small(few)
+    if known is not few:
+        return many.join(known, on, how)
+    parts = few.withColumn("_vg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return many.withColumn("_vg_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(parts, [on, "_vg_salt"], how).drop("_vg_salt")
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read again, and where it lies."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what ``stored`` has written, once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
