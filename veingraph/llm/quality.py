@@ -135,6 +135,16 @@ def _grow(bad: list[dict], good: list[dict]) -> Rule:
     return tuple(rule)
 
 
+def simplified(rule: Rule) -> Rule:
+    """The rule without conditions that another one on the same feature implies."""
+    tightest: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        known = tightest.get((c.feature, c.above))
+        if known is None or (c.threshold > known.threshold) == c.above:
+            tightest[c.feature, c.above] = c
+    return tuple(tightest.values())
+
+
 def _worth(rule: Rule, bad: list[dict], good: list[dict]) -> tuple[float, int]:
     p, n = sum(_covers(rule, r) for r in bad), sum(_covers(rule, r) for r in good)
     return ((p - n) / (p + n), p) if p + n else (-1.0, 0)
@@ -143,8 +153,8 @@ def _worth(rule: Rule, bad: list[dict], good: list[dict]) -> tuple[float, int]:
 def learn_rules(rows: list[dict]) -> list[Rule]:
     """Sequential covering over labelled statistics (``bad`` 0/1 and ``FEATURES``): an ordered list of rules for bad ones.
 
-    Two thirds of what is left grow a rule, one third prunes its last conditions and decides whether it stays;
-    what it covers is taken away before the next.
+    Two thirds of what is left grow a rule; one third prunes it, condition by condition as long as that makes it better
+    or leaves it as good, and decides whether it stays; what it covers is taken away before the next.
     """
     rules: list[Rule] = []
     left = list(rows)
@@ -152,12 +162,16 @@ def learn_rules(rows: list[dict]) -> list[Rule]:
     while len(rules) < MAX_RULES:
         grow, held = [r for i, r in enumerate(left) if i % 3], left[::3]
         part = lambda of, bad: [r for r in of if r["bad"] == bad]
-        rule = _grow(part(grow, 1), part(grow, 0))
-        cuts = [rule[:k] for k in range(len(rule), 0, -1)]
-        if not cuts:
+        rule = simplified(_grow(part(grow, 1), part(grow, 0)))
+        if not rule:
             break
-        rule = max(cuts, key=lambda r: _worth(r, part(held, 1), part(held, 0)))
-        worth, covered = _worth(rule, part(held, 1), part(held, 0))
+        judged = lambda r: _worth(r, part(held, 1), part(held, 0))
+        while len(rule) > 1:
+            shorter = max((rule[:k] + rule[k + 1 :] for k in range(len(rule))), key=judged)
+            if judged(shorter) < judged(rule):
+                break
+            rule = shorter
+        worth, covered = judged(rule)
         if covered < MIN_COVER or worth < 2 * MIN_PRECISION - 1:
             break
         rules.append(rule)
@@ -168,13 +182,14 @@ def learn_rules(rows: list[dict]) -> list[Rule]:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Learns the decision list from the labelled rows of ``docs``, at most ``max_labelled`` of them.
 
-    ``labels``: (doc_id, quality), quality 0 meaning bad; rows with nulls teach nothing. The joined sample
-    has the smallest hashes of doc_id, whatever the order of the rows is.
+    ``labels``: (doc_id, quality), quality 0 meaning bad; rows with nulls teach nothing, nor do documents that the base
+    rules reject: the list decides about the others. The joined sample has the smallest hashes of doc_id, whatever the
+    order of the rows is.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 0, 1).otherwise(0).alias("bad"))
     taught = known.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(max_labelled)
     labelled = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
-    sample = text_stats(labelled).select("doc_id", "bad", *FEATURES).collect()
+    sample = text_stats(labelled).filter(~base_failed()).select("doc_id", "bad", *FEATURES).collect()
     return learn_rules([r.asDict() for r in sorted(sample, key=lambda r: tuple(r))])
 
 
