@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veingraph.llm.common import UPPER, table
+from veingraph.llm.common import UPPER, let, table
 
 #: (verdict, rule) in the notation host/path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Characters that the models tell apart, at their ranks from 2; digits share one class, all others another.
+#: Characters that the models tell apart; digits share one class, all others another.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz./-_?=&#:%~+@"
 DIGIT, OTHER, START = "0", "*", "^"
+SYMBOLS = START + ALPHABET + DIGIT + OTHER
 ORDER = 2
-CLASSES = len(ALPHABET) + 3
+CLASSES = len(SYMBOLS)
 #: Every (context, character) key lies below this, which bounds the model's size whatever the corpus is.
 MODEL_ROWS = CLASSES ** (ORDER + 1)
 BINS = 400
@@ -25,9 +28,9 @@ SPAN = 4.0
 
 @dataclass(frozen=True)
 class UrlModel:
-    """``scores``: (gram, llr), at most ``MODEL_ROWS`` rows; a URL is allowed if its mean ratio reaches ``threshold``."""
+    """``scores``: the log-likelihood ratio of each gram by its code; a URL is allowed if its mean ratio reaches ``threshold``."""
 
-    scores: DataFrame
+    scores: tuple[float, ...]
     threshold: float
 
 
@@ -52,74 +55,52 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return (null, null) if rule is None else (rule, verdict)
 
 
-def _canonical(url: Column) -> Column:
-    """The URL after its scheme in the models' alphabet, with ORDER start marks before it."""
-    bare = F.regexp_replace(F.lower(url), r"(?s)\A.*?://", "")
+def _codes(url: Column) -> Column:
+    """The code of each character of the URL after its scheme with its ORDER predecessors; none for a null or empty one.
+
+    Characters are told apart in SYMBOLS; start marks stand before the first one. Codes are below ``MODEL_ROWS``.
+    """
+    bare = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"(?s)\A.*?://", "")
     known = F.regexp_replace(F.regexp_replace(bare, "[0-9]", DIGIT), rf"(?s)[^{DIGIT}a-z./\-_?=&#:%~+@]", OTHER)
-    return F.concat(F.lit(START * ORDER), known)
+    ranks = F.transform(F.split(F.concat(F.lit(START * ORDER), known), ""), lambda c: F.call_function("instr", F.lit(SYMBOLS), c) - 1)
 
+    def coded(r: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: i >= ORDER)
+        code = lambda i: reduce(lambda acc, k: acc * CLASSES + F.get(r, i - (ORDER - k)), range(1, ORDER + 1), F.get(r, i - ORDER))
+        return F.transform(ends, code)
 
-def _grams(rows: DataFrame) -> DataFrame:
-    """One row for each character of ``_text`` with its ORDER predecessors, as ``gram``; a null one for an empty text."""
-    starts = F.when(F.length("_text") > ORDER, F.sequence(F.lit(1), F.length("_text") - ORDER))
-    return rows.withColumn("_at", F.explode_outer(starts)).withColumn("gram", F.expr(f"substring(_text, _at, {ORDER + 1})"))
+    return let(F.filter(ranks, lambda r: r >= 0), coded)
 
 
-def fit_url_model(labelled: DataFrame) -> UrlModel:
-    """Fits both models on all rows of ``labelled`` (``_url``, ``verdict``) and calibrates the threshold on them.
+def gram_scores(counts: dict[int, tuple[int, int]]) -> tuple[float, ...]:
+    """The log-likelihood ratio of every gram by its code, from each gram's counts (accepted, rejected).
 
-    Interpolated (Witten-Bell) models of orders 0 to ``ORDER``: a context that was seen n times with t
-    distinct followers gives weight n/(n+t) to its own frequencies and t/(n+t) to the shorter context's.
-    Counts are aggregated by gram before anything is gathered; a gram has at most ``MODEL_ROWS`` values.
-    The threshold is the bin edge of the highest balanced accuracy, from a histogram of ``BINS`` bins;
-    without URLs of both verdicts it is 0.
+    Interpolated (Witten-Bell) models of orders 0 to ``ORDER``: a context that was seen n times with t distinct
+    followers gives weight n/(n+t) to its own frequencies and t/(n+t) to the shorter context's.
     """
-    spark = labelled.sparkSession
-    texts = labelled.select(_canonical(F.col("_url")).alias("_text"), (F.col("verdict") == "allow").alias("_good")).filter(
-        F.length("_text") > ORDER
-    )
-    counted = _grams(texts).groupBy("gram").agg(
-        F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")
-    ).collect()
-    symbols = sorted({*ALPHABET, DIGIT, OTHER})
     sides = []
-    for side in ("good", "bad"):
-        counts: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
-        for row in counted:
-            if row[side]:
-                for order in range(ORDER + 1):
-                    key = row["gram"][ORDER - order:]
-                    counts[order][key] = counts[order].get(key, 0) + row[side]
-        totals: list[dict[str, list[int]]] = [{} for _ in range(ORDER + 1)]
-        for order in range(ORDER + 1):
-            for key, n in counts[order].items():
-                seen = totals[order].setdefault(key[:-1], [0, 0])
-                seen[0] += n
-                seen[1] += 1
-        sides.append((counts, totals))
-
-    def probability(side: int, gram: str) -> float:
-        counts, totals = sides[side]
-        p = 1.0 / len(symbols)
+    for side in (0, 1):
+        p = [1.0 / (CLASSES - 1)] * CLASSES
         for order in range(ORDER + 1):
-            key = gram[ORDER - order:]
-            n, t = totals[order].get(key[:-1], (0, 0))
-            if n:
-                p = (counts[order].get(key, 0) + t * p) / (n + t)
-        return p
-
-    contexts = [a + b for a in [*symbols, START] for b in [*symbols, START] if not (b == START and a != START)]
-    rows = [(c + s, math.log(probability(0, c + s) / probability(1, c + s))) for c in contexts for s in symbols]
-    assert len(rows) <= MODEL_ROWS
-    model = UrlModel(spark.createDataFrame(rows, "gram string, llr double"), 0.0)
-    scored = score_urls(labelled, model)
-    at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("_score") + SPAN) * (BINS / (2 * SPAN))).cast("int")))
-    bins = {r["at"]: (r["good"], r["bad"]) for r in scored.groupBy(at.alias("at")).agg(
-        F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") != "allow").alias("bad")
-    ).collect()}
+            size = CLASSES ** (order + 1)
+            seen = [0] * size
+            for code, n in counts.items():
+                seen[code % size] += n[side]
+            shorter, p = p, []
+            for context in range(0, size, CLASSES):
+                row = seen[context : context + CLASSES]
+                n, t = sum(row), sum(x > 0 for x in row)
+                back = shorter[context % (size // CLASSES) :][:CLASSES] if order else shorter
+                p += [(x + t * q) / (n + t) for x, q in zip(row, back)] if n else back
+        sides.append(p)
+    return tuple(round(math.log(a / b), 5) for a, b in zip(*sides))
+
+
+def best_threshold(bins: dict[int, tuple[int, int]]) -> float:
+    """The bin edge of the highest balanced accuracy for counts (accepted, rejected) by bin; 0 unless both occur."""
     good, bad = (sum(b[i] for b in bins.values()) for i in (0, 1))
     if not good or not bad:
-        return model
+        return 0.0
     best, threshold, passed = -1.0, 0.0, [good, bad]
     for i in range(BINS):
         accuracy = passed[0] / good + (bad - passed[1]) / bad
@@ -127,32 +108,38 @@ def fit_url_model(labelled: DataFrame) -> UrlModel:
             best, threshold = accuracy, i * (2 * SPAN / BINS) - SPAN
         g, b = bins.get(i, (0, 0))
         passed = [passed[0] - g, passed[1] - b]
-    return UrlModel(model.scores, threshold)
+    return threshold
 
 
-def score_urls(pages: DataFrame, model: UrlModel) -> DataFrame:
-    """Adds ``_score``: the mean log-likelihood ratio per character of ``_url``; 0 for null and empty ones.
+def fit_url_model(labelled: DataFrame) -> UrlModel:
+    """Fits both models on four fifths of ``labelled`` (``_url``, ``verdict``) and calibrates the threshold on the others.
 
-    The model (at most ``MODEL_ROWS`` rows) is sent to every executor, so no gram is shuffled, however
-    common; a row's grams stand together, so the map side leaves one partial mean for each row.
+    The part is a checksum of the URL, so equal URLs are in one. Counts are aggregated by gram before anything is
+    gathered: at most ``MODEL_ROWS`` rows, and ``BINS`` for the threshold, that of the highest balanced accuracy.
     """
-    rows = pages.withColumn("_row", F.monotonically_increasing_id())
-    keys = rows.columns
-    texts = rows.withColumn("_text", _canonical(F.col("_url")))
-    return (
-        _grams(texts)
-        .join(F.broadcast(model.scores), "gram", "left")
-        .groupBy(*keys)
-        .agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("_score"))
-        .drop("_row")
-    )
+    rows = labelled.select("_url", (F.col("verdict") == "allow").alias("good")).withColumn("held", F.crc32(F.encode("_url", "UTF-8")) % 5 == 0)
+    taught = rows.filter(~F.col("held")).select("good", F.explode(_codes(F.col("_url"))).alias("code"))
+    sides = (F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
+    counts = {r["code"]: (r["n_good"], r["n_bad"]) for r in taught.groupBy("code").agg(*sides).collect()}
+    scores = gram_scores(counts)
+    at = F.floor((score(F.col("_url"), scores) + SPAN) * (BINS / (2 * SPAN)))
+    held = rows.filter("held").groupBy(F.least(F.lit(BINS - 1), F.greatest(F.lit(0), at)).cast("int").alias("at")).agg(*sides)
+    return UrlModel(scores, best_threshold({r["at"]: (r["n_good"], r["n_bad"]) for r in held.collect()}))
+
+
+def score(url: Column, scores: tuple[float, ...]) -> Column:
+    """The mean log-likelihood ratio per character of the URL, within the row; 0 for null and empty ones."""
+    known = F.from_json(F.lit(json.dumps(scores)), "array<double>")  # a constant, which is read once
+    mean = lambda codes: F.aggregate(codes, F.lit(0.0), lambda total, c: total + F.get(known, c)) / F.size(codes)
+    return F.coalesce(let(_codes(url), lambda codes: F.when(F.size(codes) > 0, mean(codes))), F.lit(0.0))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row of ``pages`` (page_id, url; others are ignored).
 
     URLs that a rule judges train the models; the models judge the others by their score against the
-    calibrated threshold. Null and empty URLs have no host, no rule and score 0; repeated rows stay repeated.
+    calibrated threshold. Null and empty URLs have no host, no rule and score 0; repeated rows stay repeated; a URL of
+    any length is scored within its row.
     """
     host, path = url_parts(F.col("_url"))
     parts = pages.select("page_id", F.col("url").alias("_url")).withColumns({"host": host, "path": path})
@@ -160,7 +147,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     judged = parts.withColumns({"rule": rule, "verdict": verdict})
     model = fit_url_model(judged.filter("verdict IS NOT NULL").select("_url", "verdict"))
     own = F.when(F.col("_score") >= model.threshold, "allow").otherwise("block")
-    return score_urls(judged, model).select(
+    return judged.withColumn("_score", score(F.col("_url"), model.scores)).select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), F.col("_score").alias("score")
     )
 
