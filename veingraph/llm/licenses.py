@@ -6,32 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veingraph.llm.common import cut, let, plain_words, row_key, small, table
+from veingraph.llm.license_texts import NOTICES, TEXTS
 
 #: Phrases whose consecutive words give a label at once.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Openings of public license notices, by label.
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("apache-2", "Licensed under the Apache License, Version 2.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights"),
-)
+TEMPLATES = (*NOTICES, *TEXTS)
 GRAM = 3
 #: Diagonals at most so far apart are one span: a few words put in or left out move a match to a neighbour.
 DRIFT = 2
 #: A template is found if its matching words, in order, cover this share of it.
 MIN_SHARE = 0.8
-#: Up to so many documents with candidates are sent to the executors; more are joined by a shuffle.
-CANDIDATE_ROWS = 20_000
 
 
 def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES, gram: int = GRAM) -> DataFrame:
@@ -90,14 +74,16 @@ def scan_licenses(
     Rolling k-gram hashes of every whole text are joined to the template positions that they stand at; each match
     votes for the diagonal (document position - template position); neighbouring diagonals of one place are merged
     to a span, which is verified against the template's words. Only matches are shuffled, and a document's matches
-    of one place are combined before. Null and empty texts have no words; repeated rows have the same result each.
+    of one place are combined before. Null and empty texts have no words; repeated rows have the same result each; a
+    text of any length is scanned whole, its words being one row. Only the templates, a list of fixed texts, are sent to
+    the executors unchecked.
     """
     keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_vg_key"), plain_words(F.col("text")).alias("w"))
     known = template_grams(docs.sparkSession, templates, gram)
     votes = (
         keyed.select("_vg_key", F.posexplode(_grams(F.col("w"), gram)).alias("pos", "gram"))
-        .join(F.broadcast(known), "gram")
-        .groupBy("_vg_key", "tpl", "label", "tpl_words", (F.col("pos") - F.col("tpl_pos")).alias("at"))
+        .join(F.broadcast(known.select("gram", "tpl", "tpl_pos")), "gram")
+        .groupBy("_vg_key", "tpl", (F.col("pos") - F.col("tpl_pos")).alias("at"))
         .agg(F.count(F.lit(1)).alias("votes"))
     )
 
@@ -110,8 +96,9 @@ def scan_licenses(
 
     empty = F.array().cast("array<struct<first:int,last:int,votes:bigint>>")
     diagonals = (
-        votes.groupBy("_vg_key", "tpl", "label", "tpl_words")
+        votes.groupBy("_vg_key", "tpl")
         .agg(F.array_sort(F.collect_list(F.struct("at", "votes"))).alias("by"))
+        .join(F.broadcast(known.select("tpl", "label", "tpl_words").distinct()), "tpl")
         .withColumn("run", F.explode(F.aggregate("by", empty, merged)))
         # A gram that goes wrong takes up to GRAM votes, so a template of min_share has at least this many left.
         .filter(F.col("run.votes") >= F.greatest(F.lit(1), F.size("tpl_words") * (1 - gram * (1 - min_share)) - gram + 1))
@@ -137,7 +124,7 @@ def scan_licenses(
 
     base = docs.withColumn("_vg_key", row_key(F.col("doc_id"), F.col("text")))
     return (
-        base.join(small(candidates, CANDIDATE_ROWS), "_vg_key", "left")
+        base.join(small(candidates), "_vg_key", "left")
         .withColumn("_vg_found", let(plain_words(F.col("text")), verified))
         .withColumns({k: F.col(f"_vg_found.{k}") for k in ("n_words", "places", "spans")})
         .drop("_vg_key", "_vg_candidates", "_vg_found")
