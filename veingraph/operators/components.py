@@ -31,23 +31,26 @@ def _both(pairs: DataFrame, *ends: str) -> DataFrame:
 def least_neighbours(edges: DataFrame) -> DataFrame:
     """(a, b): every non-least id of ``edges`` (src, dst) with the least id of its component.
 
-    Large-star and small-star steps alternate until nothing changes: a number of rounds that grows with the logarithm
+    Large-star and small-star steps alternate until only stars are left: a number of rounds that grows with the logarithm
     of the component sizes rather than with their diameters. Hubs are no burden: a step takes minima, combined before
     the shuffle, and joins them back.
     """
     now = _packed(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    state = None
-    while True:
+    while not _is_final(now):
         both = _both(now, "a", "b", "b", "a")
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = _both(large.join(down, "a"), "b", "m", "a", "m")
         now = _packed(star.filter("a <> b").distinct())
-        fresh = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if fresh == state:
-            return now
-        state = fresh
+    return now
+
+
+def _is_final(pairs: DataFrame) -> bool:
+    """Whether every id of the distinct pairs (a, b) points at one other id, which points at none: then all are stars."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"))))
+    by_id = pairs.select(ends.alias("e")).groupBy("e.v").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return by_id.filter("up > 1 OR up = 1 AND n > 1").isEmpty()
 
 
 def connected_components(triples: DataFrame, predicate: str | None = CONNECTED) -> DataFrame:

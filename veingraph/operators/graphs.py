@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veingraph.functions.terms import RDFS
+from veingraph.operators.patterns import Pattern, construct, match
+from veingraph.operators.profile import PROFILE, profile_triples, profile_vocabulary
+from veingraph.plans.iteration import cut
 from veingraph.sources.triples import SCHEMA, as_triples, load_snapshot, parse_ntriples, rdfs_vocabulary, read_ntriples, save_snapshot
 
 
@@ -40,6 +44,17 @@ class GraphStore:
     def insert_rdfs_namespace(self, graph: str | None = None) -> GraphStore:
         return self.insert(rdfs_vocabulary(self.spark), graph)
 
+    def insert_metadata(self, graph: str | None = None) -> GraphStore:
+        """Replaces what describes the profiles' vocabulary: everything that it defines goes first."""
+        of_ontology = self.graph(graph).filter(F.col("s") == PROFILE)
+        defined = [("?s", f"{RDFS}isDefinedBy", PROFILE), ("?s", "?p", "?o")]
+        without = self.delete_where(defined, graph).delete(of_ontology, graph)
+        return without.insert(profile_vocabulary(self.spark), graph)
+
+    def profile(self, graph: str, now: str | None = None) -> GraphStore:
+        """Empties ``graph`` and stores the profile of all others in it."""
+        return self.clear(graph).insert(profile_triples(self.quads, graph, now), graph)
+
     def delete(self, triples: DataFrame, graph: str | None = None) -> GraphStore:
         """Takes rows (s, p, o) out of a graph."""
         gone = triples.select(F.lit(graph).cast("string").alias("dg"), F.col("s").alias("ds"), F.col("p").alias("dp"), F.col("o").alias("do"))
@@ -47,6 +62,21 @@ class GraphStore:
         same = q["g"].eqNullSafe(gone["dg"]) & (q["s"] == gone["ds"]) & (q["p"] == gone["dp"]) & (q["o"] == gone["do"])
         return GraphStore(self.spark, q.join(gone, same, "left_anti"))
 
+    def delete_where(self, patterns: list[Pattern], graph: str | None = None) -> GraphStore:
+        """Takes the triples of all solutions of the patterns out of a graph."""
+        return self.modify(patterns, delete=patterns, graph=graph)
+
+    def modify(
+        self, where: list[Pattern], delete: list[Pattern] = (), insert: list[Pattern] = (), graph: str | None = None, into: str | None = None
+    ) -> GraphStore:
+        """Deletes and inserts, in a graph, what the templates give with each solution of ``where`` in it; deletes go first.
+
+        ``into`` names another graph for what is inserted.
+        """
+        solutions = cut(match(self.graph(graph), list(where)))
+        store = self.delete(construct(solutions, list(delete)), graph) if delete else self
+        return store.insert(construct(solutions, list(insert)), graph if into is None else into) if insert else store
+
     def clear_default(self) -> GraphStore:
         return GraphStore(self.spark, self.quads.filter("g IS NOT NULL"))
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veingraph.functions.terms import DEFAULT_GRAPH, RDFS, TYPE, num_of, shorten, str_of
+from veingraph.functions.terms import DEFAULT_GRAPH, OWL, RDF, RDFS, TYPE, XSD, num_of, shorten, str_of
+
+
+def typed(text: str, kind: str) -> str:
+    """A literal of one of the schema's data types."""
+    return f'"{text}"^^<{XSD}{kind}>'
+
 
 def _n() -> Column:
     return F.count(F.lit(1))
@@ -110,6 +118,45 @@ def profile(quads: DataFrame) -> dict[str, DataFrame]:
     return {name: make(quads).withColumn("created", F.current_timestamp()) for name, make in parts.items()}
 
 
+#: Terms of stored profiles.
+PROFILE = "urn:profile:"
+CREATED, MODIFIED = "http://purl.org/dc/terms/created", "http://purl.org/dc/terms/modified"
+#: Each part of a stored profile: its class, its title and its columns.
+PARTS = {
+    "namedGraphCounts": ("NamedGraphCounts", "Named Graph Triple Counts", ("ngraph", "size")),
+    "typeCounts": ("TypeCounts", "Type Counts", ("ngraph", "type", "typeCt")),
+    "predCounts": ("PredicateCounts", "Predicate Counts", ("ngraph", "predicate", "size")),
+}
+
+
+def profile_triples(quads: DataFrame, graph: str, now: str | None = None) -> DataFrame:
+    """(s, p, o) of the profile that is to be stored in ``graph``, which the profile itself leaves out.
+
+    The graph and each part have a class, a title, when they were made and when they were completed; a part's records
+    are blank nodes, named by a digest of what they hold, with one triple for each column. ``now`` fixes the time.
+    """
+    spark = quads.sparkSession
+    time = F.lit(typed(now, "dateTime")) if now else F.concat(F.lit('"'), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(f'"^^<{XSD}dateTime>'))
+    others = quads.filter(~F.col("g").eqNullSafe(F.lit(graph)))
+    makers = dict(zip(PARTS, (profile_named_graphs, profile_types, profile_predicates)))
+    heads = [(graph, TYPE, f"{PROFILE}ProfileGraph"), (graph, f"{RDFS}label", typed("Profile results", "string"))]
+    rows = []
+    for part, (kind, title, columns) in PARTS.items():
+        node = PROFILE + part
+        heads += [(node, TYPE, PROFILE + kind), (node, TYPE, f"{PROFILE}Result"), (node, f"{RDFS}label", typed(title, "string"))]
+        found = makers[part](others)
+        texts = [F.col(c).cast("string") for c in columns]
+        record = F.concat(F.lit("_:"), F.md5(F.concat_ws("|", F.lit(part), *texts)))
+        number = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit(f'"^^<{XSD}integer>'))
+        pairs = [(TYPE, F.lit(f"{PROFILE}Record")), (f"{PROFILE}memberOf", F.lit(node))]
+        pairs += [(PROFILE + c, number(c) if c == columns[-1] else F.col(c)) for c in columns]
+        triples = F.array(*[F.struct(record.alias("s"), F.lit(p).alias("p"), o.alias("o")) for p, o in pairs])
+        rows.append(found.select(F.explode(triples).alias("t")).select("t.s", "t.p", "t.o"))
+    fixed = spark.createDataFrame(heads, "s string, p string, o string")
+    stamps = spark.createDataFrame([(n, p) for n in (graph, *(PROFILE + k for k in PARTS)) for p in (CREATED, MODIFIED)], "s string, p string").withColumn("o", time)
+    return reduce(DataFrame.unionByName, rows, fixed.unionByName(stamps))
+
+
 def network_stats(triples: DataFrame, predicate: str | None = None) -> DataFrame:
     """(edgeCt, subjectCt, objectCt, nodeCt) of one predicate's network, or of all."""
     edges = triples if predicate is None else triples.filter(F.col("p") == predicate)
@@ -123,6 +170,26 @@ def network_stats(triples: DataFrame, predicate: str | None = None) -> DataFrame
     )
 
 
+#: The vocabulary of stored profiles: (name, kind, comment); a property's range is the last one's.
+VOCABULARY = (
+    ("ProfileGraph", "Class", "A graph that holds a stored profile"), ("Result", "Class", "A part of a profile; it may be out of date"),
+    ("Record", "Class", "A row of a part"), ("NamedGraphCounts", "Class", "Triples by graph"), ("TypeCounts", "Class", "Instances by graph and type"),
+    ("PredicateCounts", "Class", "Triples by graph and predicate"), ("memberOf", "Property", "The part that a record is of"),
+    ("ngraph", "Property", "The graph that was counted"), ("type", "Property", "The type that was counted"),
+    ("predicate", "Property", "The predicate that was counted"), ("size", "Property", "A number of triples"), ("typeCt", "Property", "A number of instances"),
+)
+
+
+def profile_vocabulary(spark: SparkSession) -> DataFrame:
+    """(s, p, o) that describe the classes and properties of stored profiles."""
+    rows = [(PROFILE, TYPE, f"{OWL}Ontology"), (PROFILE, f"{RDFS}label", typed("Profiles", "string"))]
+    for name, kind, comment in VOCABULARY:
+        whole = f"{RDFS}Class" if kind == "Class" else f"{RDF}Property"
+        rows += [(PROFILE + name, TYPE, whole), (PROFILE + name, f"{RDFS}isDefinedBy", PROFILE)]
+        rows += [(PROFILE + name, f"{RDFS}label", typed(name, "string")), (PROFILE + name, f"{RDFS}comment", typed(comment, "string"))]
+    return spark.createDataFrame(rows, "s string, p string, o string")
+
+
 def counting_table(spark: SparkSession) -> DataFrame:
     """(from, to, value): the ranges 0-9, 1-10 and 0-29 with their numbers."""
     ranges = spark.createDataFrame([(0, 9), (1, 10), (0, 29)], "from int, to int")

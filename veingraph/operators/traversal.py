@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veingraph.functions.terms import CONNECTED
-from veingraph.plans.iteration import cut
+from veingraph.plans.iteration import cut, small
 from veingraph.sources.triples import undirected, with_predicate
 
 
@@ -48,13 +48,54 @@ def all_sources(triples: DataFrame, predicate: str | None = CONNECTED) -> DataFr
     return with_predicate(triples, predicate).select(F.explode(F.array("s", "o")).alias("source")).distinct()
 
 
+#: Vertices that the first round of the search for extremes takes; each round takes twice as many as the one before.
+PROBES = 8
+
+
+def _extreme(triples: DataFrame, predicate: str | None, greatest: bool) -> int | None:
+    """The greatest or least eccentricity of all vertices, mostly without a search from each.
+
+    A vertex w of known eccentricity bounds all others v of its component: d(v, w) and ecc(w) - d(v, w) from below,
+    ecc(w) + d(v, w) from above. Each round searches from the vertices whose bounds are widest open and from those that
+    bound the others best: for the least eccentricity the ends that were farthest from the last ones, for the greatest
+    the vertices in their middle. It ends when no vertex can be beyond the best known value.
+    """
+    open_ = cut(all_sources(triples, predicate).select(F.col("source").alias("v"), F.lit(0).alias("low"), F.lit(2**31 - 1).alias("high")))
+    best, n, helpers, done = None, PROBES, None, None
+    while True:
+        if best is not None:
+            open_ = open_.filter(F.col("high") > best if greatest else F.col("low") < best)
+        picks = open_.orderBy(F.desc("high") if greatest else F.col("low"), F.md5("v")).limit(n).select(F.col("v").alias("source"))
+        if picks.isEmpty():
+            return best
+        probes = (picks if helpers is None else picks.unionByName(helpers)).distinct()
+        probes = cut(probes if done is None else probes.join(done, "source", "left_anti"))
+        seen = cut(levels(triples, probes, predicate))
+        known = seen.groupBy("source").agg(F.max("level").alias("ecc"), F.max(F.struct("level", F.md5("v").alias("h"), "v")).alias("end"))
+        value = known.agg(F.max("ecc") if greatest else F.min("ecc")).first()[0]
+        best = value if best is None else (max if greatest else min)(best, value)
+        found = cut(seen.join(small(known.select("source", "ecc")), "source").groupBy("v").agg(
+            F.max(F.greatest(F.col("level"), F.col("ecc") - F.col("level"))).alias("l"), F.min(F.col("ecc") + F.col("level")).alias("h")
+        ))
+        helpers = cut((found.orderBy("l", F.md5("v")).limit(2) if greatest else known.select("end.v").distinct().limit(n)).select(F.col("v").alias("source")))
+        done = cut(probes if done is None else done.unionByName(probes))
+        tighter = open_.join(found, "v", "left").select("v", F.greatest("low", F.coalesce("l", "low")).alias("low"), F.least("high", F.coalesce("h", "high")).alias("high"))
+        open_ = cut(tighter.join(probes.select(F.col("source").alias("v")), "v", "left_anti"))
+        n *= 2
+
+
 def diameter(triples: DataFrame, sources: DataFrame | None = None, predicate: str | None = CONNECTED) -> DataFrame:
-    """(diameter): the greatest eccentricity of the sources, all vertices by default."""
-    sources = all_sources(triples, predicate) if sources is None else sources
-    return eccentricities(triples, sources, predicate).agg(F.max("eccentricity").alias("diameter"))
+    """(diameter): the greatest eccentricity of the sources, of all vertices by default; null of none."""
+    return _of_extreme(triples, sources, predicate, True)
 
 
 def radius(triples: DataFrame, sources: DataFrame | None = None, predicate: str | None = CONNECTED) -> DataFrame:
-    """(radius): the least eccentricity of the sources, all vertices by default."""
-    sources = all_sources(triples, predicate) if sources is None else sources
-    return eccentricities(triples, sources, predicate).agg(F.min("eccentricity").alias("radius"))
+    """(radius): the least eccentricity of the sources, of all vertices by default; null of none."""
+    return _of_extreme(triples, sources, predicate, False)
+
+
+def _of_extreme(triples: DataFrame, sources: DataFrame | None, predicate: str | None, greatest: bool) -> DataFrame:
+    name = "diameter" if greatest else "radius"
+    if sources is None:
+        return triples.sparkSession.createDataFrame([(_extreme(triples, predicate, greatest),)], f"{name} int")
+    return eccentricities(triples, sources, predicate).agg((F.max if greatest else F.min)("eccentricity").alias(name))

@@ -2,32 +2,59 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Tables up to this many rows are small enough to be sent to every executor.
+#: Tables of up to so many rows and bytes are small enough to be sent to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where the session has none, as in local tests."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only on a local master that has none, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veingraph-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veingraph-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: the plan ends there, and lost executors cost no recomputation."""
+    """Writes ``df`` to the shared folder and reads it back: the plan ends there, and lost executors cost no recomputation.
+
+    Spark removes the files with the DataFrame if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``df`` has at most ``limit`` rows, else ``df`` as it is for a shuffled join."""
-    return F.broadcast(df) if df.select(F.lit(1)).limit(limit + 1).count() <= limit else df
+def width(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return reduce(lambda a, b: a + b, [width(column[f.name], f.dataType) for f in kind.fields], F.lit(8))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            inner = F.aggregate(column, F.lit(0), lambda n, x: n + width(x, kind.elementType).cast("int"))
+        else:
+            inner = 8 * F.size(column)
+        return F.coalesce(inner, F.lit(0)) + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if ``df`` has at most so many rows and bytes, else ``df`` as it is for a shuffled join."""
+    wide = reduce(lambda a, b: a + b, [width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
+    n, total = df.select(wide.cast("long").alias("wide")).limit(rows + 1).agg(F.count(F.lit(1)), F.sum("wide")).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def dictionary(terms: DataFrame) -> DataFrame:

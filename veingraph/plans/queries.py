@@ -6,13 +6,17 @@ links are relabelled to one (``simple``). Iterative queries fix their rounds, so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veingraph.functions.terms import CONNECTED, DEFAULT_GRAPH, OWL, RDF, RDFS, SKOS, TYPE, XSD
-from veingraph.operators import clustering, components, degree, diffusion, pagerank, profile, summary, traversal, triangles, walk
+from veingraph.operators import clustering, components, degree, diffusion, pagerank, patterns, profile, summary, traversal, triangles, walk
+from veingraph.operators.graphs import GraphStore
+from veingraph.plans.iteration import shared_folder
+from veingraph.plans.templates import BlockTemplate
 from veingraph.plans.tracking import LOG_SCHEMA, tracking_high, tracking_stats
 from veingraph.sources.driver_graph import LINKS, RICH, links, rich
 from veingraph.sources.triples import ntriples_lines, parse_ntriples, table_to_triples
@@ -100,9 +104,6 @@ add("triangle_dist_label", links, lambda t: triangles.triangle_dist_label(t, "ur
 
 # Breadth-first levels and components
 
-_PLACES = ("urn:inNation", "urn:inRegion")
-_in = ", ".join(f"'{p}'" for p in _PLACES)
-
 
 def _levels(sources: str, bound: int = 8) -> str:
     """Chained steps: what each level adds to what was seen."""
@@ -115,18 +116,21 @@ def _levels(sources: str, bound: int = 8) -> str:
     return f"{', '.join(steps)}, ecc AS (SELECT source AS v, max(level) AS eccentricity FROM l{bound} GROUP BY source)"
 
 
-_placed = f"WITH t AS MATERIALIZED (SELECT DISTINCT s, o FROM ({LINKS}) l WHERE p IN ({_in}))"
-_some = "SELECT DISTINCT s AS v FROM t WHERE s LIKE 'nation:%' UNION SELECT DISTINCT o FROM t WHERE o LIKE 'region:%'"
-add("eccentricity", simple, lambda t: traversal.eccentricity(t, START), f"{E}, {_levels(f"SELECT '{START}' AS v")} SELECT * FROM ecc")
-
-
-def _sources(t: DataFrame) -> DataFrame:
-    return traversal.all_sources(t).filter(F.col("source").like("nation:%") | F.col("source").like("region:%"))
+def _least_labels(rounds: int = 14) -> str:
+    """Chained rounds that give each vertex the least label around it, more of them than the graph is wide."""
+    steps = ["e AS MATERIALIZED (SELECT s AS v, o AS w FROM t UNION SELECT o, s FROM t), c0 AS MATERIALIZED (SELECT DISTINCT v, v AS label FROM e)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"c{k} AS MATERIALIZED (SELECT c.v, least(c.label, m.label) AS label FROM c{k - 1} c JOIN (SELECT e.v, min(x.label) AS label FROM e JOIN c{k - 1} x ON x.v = e.w GROUP BY e.v) m ON m.v = c.v)")
+    return f"{', '.join(steps)} SELECT v AS node, label FROM c{rounds}"
 
 
-add("diameter", _sub(*_PLACES), lambda t: traversal.diameter(t, _sources(t)), f"{_placed}, {_levels(_some)} SELECT max(eccentricity) AS diameter FROM ecc")
-add("radius", _sub(*_PLACES), lambda t: traversal.radius(t, _sources(t)), f"{_placed}, {_levels(_some)} SELECT min(eccentricity) AS radius FROM ecc")
-add("connected_components", _sub(LABEL), components.connected_components,
+add("eccentricity", simple, lambda t: traversal.eccentricity(t, START), f"{E}, {_levels(f"SELECT '{START}' AS v")} SELECT * FROM ecc")
+# Of all vertices of the places' links; SQL searches from each of them.
+_placed = f"WITH t AS MATERIALIZED (SELECT DISTINCT s, o FROM ({LINKS}) l WHERE p IN ('urn:inNation', 'urn:inRegion')), {_levels('SELECT s AS v FROM t UNION SELECT o FROM t', 6)}"
+add("diameter", _sub("urn:inNation", "urn:inRegion"), traversal.diameter, f"{_placed} SELECT max(eccentricity) AS diameter FROM ecc")
+add("radius", _sub("urn:inNation", "urn:inRegion"), traversal.radius, f"{_placed} SELECT min(eccentricity) AS radius FROM ecc")
+add("connected_components", simple, components.connected_components, f"{E}, {_least_labels()}")
+add("connected_components_placed", _sub(LABEL), components.connected_components,
     f"WITH RECURSIVE t AS MATERIALIZED (SELECT s, o FROM ({LINKS}) l WHERE p = '{LABEL}'), e AS MATERIALIZED (SELECT s AS v, o AS w FROM t UNION SELECT o, s FROM t), "
     "r AS (SELECT DISTINCT v, v AS w FROM e UNION SELECT r.v, e.w FROM r JOIN e ON r.w = e.v) SELECT v AS node, min(w) AS label FROM r GROUP BY v")
 
@@ -234,10 +238,28 @@ for _variant in ("standard", "paper", "beta"):
         lambda t, v=_variant: diffusion.graph_diffusion(t, DIFFUSION_START, 100.0, 0.95, 3, v).select("vertex", F.round(F.col("score") * (1 if v == "paper" else 1_000_000), 6).alias("scaled")),
         _diffusion_sql(_variant))
 
-# Random walks have no SQL: tests hold them to their invariants.
-add("random_walk", simple, lambda t: walk.random_walk(t, 10, 1000, 2).ranks, None)
-add("path_rank", simple, lambda t: walk.path_rank(walk.random_walk(t, 10, 1000, 1)), None)
-add("random_node", simple, walk.random_node, None)
+# Random walks, which digests steer
+
+
+def _walk_sql(rounds: int, length: int = 10, n_paths: int = 1000) -> str:
+    """All visits of chained rounds and steps, and each vertex's share of them."""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"w{r}_0 AS MATERIALIZED (SELECT md5('0/{r}/' || s) AS path, 0 AS step, s AS v FROM (SELECT DISTINCT s FROM t) ORDER BY path, v LIMIT {n_paths})")
+        for k in range(1, length + 1):
+            steps.append(
+                f"w{r}_{k} AS MATERIALIZED (SELECT path, {k} AS step, o AS v FROM (SELECT w.path, e.o, md5('{k}/' || w.path || '/' || e.p || '/' || e.o) AS r "
+                f"FROM w{r}_{k - 1} w JOIN t e ON e.s = w.v) QUALIFY row_number() OVER (PARTITION BY path ORDER BY r, o) = 1)"
+            )
+    every = " UNION ALL ".join(f"SELECT * FROM w{r}_{k}" for r in range(rounds) for k in range(length + 1))
+    return f"{E}, {', '.join(steps)}, visits AS MATERIALIZED ({every}), ranks AS (SELECT v, count(*) / (SELECT count(*) FROM visits)::DOUBLE AS percentage FROM visits GROUP BY v)"
+
+
+add("random_walk", simple, lambda t: walk.random_walk(t, 10, 1000, 2).ranks, f"{_walk_sql(3)} SELECT v AS vertex, percentage FROM ranks")
+add("path_rank", simple, lambda t: walk.path_rank(walk.random_walk(t, 10, 1000, 1)).withColumn("score", F.round("score", 9)),
+    f"{_walk_sql(2)}, met AS (SELECT path, v, min(step) AS step FROM visits GROUP BY ALL) "
+    "SELECT path, round(sum(percentage), 9) AS score, string_agg(v, '->' ORDER BY step, v) AS nodes FROM met JOIN ranks USING (v) GROUP BY path ORDER BY round(sum(percentage), 12) DESC, path LIMIT 100")
+add("random_node", simple, walk.random_node, f"{E} SELECT s FROM (SELECT DISTINCT s FROM t) ORDER BY md5('0/' || s), s LIMIT 1")
 
 # Summary metrics
 
@@ -356,3 +378,95 @@ _RELATIONAL = f"""SELECT s, unnest(['{TYPE}', '{_BASE}p#s_name', '{_BASE}p#s_nat
 QUERIES["table_to_triples"] = _supplier_triples
 SQL["table_to_triples"] = _RELATIONAL
 add("ntriples_round_trip", default, lambda t: parse_ntriples(ntriples_lines(t)).select("s", "p", "o"), f"{Q} SELECT s, p, o FROM t")
+
+
+# Named graphs: loads, inserts, clears, updates by pattern, constructed triples and stored profiles
+
+_MADE = "urn:graph/made"
+
+
+def _store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    return GraphStore(spark, rich(spark, sf_dir))
+
+
+def add_store(name: str, change: Callable[[GraphStore], GraphStore], sql: str) -> None:
+    """A query for the quads that a change of the graph store leaves."""
+    QUERIES[name] = lambda spark, sf_dir: change(_store(spark, sf_dir)).quads
+    SQL[name] = f"WITH q AS MATERIALIZED (SELECT DISTINCT g, s, p, o FROM ({RICH}) r) {sql}"
+
+
+def _loaded(store: GraphStore) -> GraphStore:
+    """The nations' graph written as an N-Triples file, and that loaded into a graph of its own."""
+    path = f"{shared_folder(store.spark)}/{uuid.uuid4()}"
+    ntriples_lines(store.graph("urn:graph/nations")).write.text(path)
+    return store.load(path, _MADE)
+
+
+_KEEP = "SELECT g, s, p, o FROM q"
+add_store("store_clear_default", GraphStore.clear_default, f"{_KEEP} WHERE g IS NOT NULL")
+add_store("store_clear_graph", lambda store: store.clear("urn:graph/nations").clear("urn:graph/none"), f"{_KEEP} WHERE g IS DISTINCT FROM 'urn:graph/nations'")
+add_store("store_clear_all", lambda store: store.clear_all().insert_data("<urn:a> <urn:b> <urn:c> ."), "SELECT NULL::VARCHAR AS g, 'urn:a' AS s, 'urn:b' AS p, 'urn:c' AS o")
+add_store("store_load", _loaded, f"{_KEEP} UNION ALL SELECT '{_MADE}', s, p, o FROM q WHERE g = 'urn:graph/nations'")
+add_store("store_insert_data", lambda store: store.insert_data('<nation:1> <urn:inRegion> <region:0> .\n<nation:1> <urn:note> "new"@en .\n<nation:1> <urn:note> "new"@en .', _MADE),
+    f"{_KEEP} UNION SELECT '{_MADE}', 'nation:1', unnest(['urn:inRegion', 'urn:note']), unnest(['region:0', '\"new\"@en'])")
+add_store("store_delete_where", lambda store: store.delete_where([("?c", "urn:inNation", "nation:3"), ("?c", "?p", "?o")]),
+    f"{_KEEP} WHERE NOT (g IS NULL AND s IN (SELECT s FROM q WHERE g IS NULL AND p = 'urn:inNation' AND o = 'nation:3'))")
+add_store("store_modify", lambda store: store.modify([("?x", "urn:inNation", "?n"), ("?n", "urn:inRegion", "?r")], [("?x", "urn:inNation", "?n")], [("?x", "urn:inRegion", "?r")]),
+    f"""{_KEEP} WHERE NOT (g IS NULL AND p = 'urn:inNation' AND o IN (SELECT s FROM q WHERE g IS NULL AND p = 'urn:inRegion'))
+  UNION SELECT NULL, x.s, 'urn:inRegion', n.o FROM q x JOIN q n ON n.s = x.o WHERE x.g IS NULL AND n.g IS NULL AND x.p = 'urn:inNation' AND n.p = 'urn:inRegion'""")
+add("construct_regions", default, lambda t: patterns.construct(patterns.match(t, [("?c", "urn:inNation", "?n"), ("?n", "urn:inRegion", "?r"), ("?c", TYPE, "?k")]), [("?k", "urn:foundIn", "?r"), ("?r", "urn:holds", "?k")]),
+    f"""{Q}, f AS (SELECT DISTINCT k.o AS k, n.o AS r FROM t c JOIN t n ON n.s = c.o JOIN t k ON k.s = c.s WHERE c.p = 'urn:inNation' AND n.p = 'urn:inRegion' AND k.p = '{TYPE}')
+  SELECT k AS s, 'urn:foundIn' AS p, r AS o FROM f UNION ALL SELECT r, 'urn:holds', k FROM f""")
+
+_NOW = "2024-01-01T00:00:00"
+_PARTS = {"namedGraphCounts": ("ngraph", "size"), "typeCounts": ("ngraph", "type", "typeCt"), "predCounts": ("ngraph", "predicate", "size")}
+_COUNTED = {
+    "namedGraphCounts": "SELECT coalesce(g, '{d}') AS ngraph, count(*) AS size FROM q GROUP BY ALL",
+    "typeCounts": "SELECT coalesce(g, '{d}') AS ngraph, o AS type, count(*) AS \"typeCt\" FROM q WHERE p = '{t}' GROUP BY ALL",
+    "predCounts": "SELECT coalesce(g, '{d}') AS ngraph, p AS predicate, count(*) AS size FROM q GROUP BY ALL",
+}
+
+
+def _profile_sql() -> str:
+    """The stored profile's records and times, a record named by a digest of what it holds."""
+    parts = []
+    for part, columns in _PARTS.items():
+        record = " || '|' || ".join(f'\"{c}\"::VARCHAR' for c in columns)
+        values = [f"\"{c}\"" if c != columns[-1] else f"'\"' || \"{c}\" || '\"^^<{XSD}integer>'" for c in columns]
+        predicates = [TYPE, f"{profile.PROFILE}memberOf", *(profile.PROFILE + c for c in columns)]
+        objects = [f"'{profile.PROFILE}Record'", f"'{profile.PROFILE}{part}'", *values]
+        counted = _COUNTED[part].format(d=DEFAULT_GRAPH, t=TYPE)
+        parts.append(f"SELECT '_:' || md5('{part}|' || {record}) AS s, unnest([{', '.join(f"'{p}'" for p in predicates)}]) AS p, unnest([{', '.join(objects)}]) AS o FROM ({counted})")
+    nodes = ", ".join(f"'{n}'" for n in (_MADE, *(profile.PROFILE + k for k in _PARTS)))
+    stamps = f"SELECT n AS s, unnest(['{profile.CREATED}', '{profile.MODIFIED}']) AS p, '\"{_NOW}\"^^<{XSD}dateTime>' AS o FROM (SELECT unnest([{nodes}]) AS n)"
+    return f"SELECT '{_MADE}' AS g, s, p, o FROM ({' UNION ALL '.join([*parts, stamps])})"
+
+
+_records = lambda df: df.filter(F.col("s").startswith("_:") | F.col("p").isin(profile.CREATED, profile.MODIFIED))
+QUERIES["store_profile"] = lambda spark, sf_dir: _records(GraphStore(spark, _store(spark, sf_dir).profile(_MADE, _NOW).graph(_MADE)).quads)
+SQL["store_profile"] = f"WITH q AS MATERIALIZED (SELECT DISTINCT g, s, p, o FROM ({RICH}) r) {_profile_sql()}"
+
+# A query text from blocks: one SELECT for each kind of link
+
+_TEMPLATE = """
+--$ BLOCK COUNTS links=links
+--$ INCLUDE PER_LINK
+ORDER BY p, s
+
+--$ BLOCK PER_LINK list_of=links
+SELECT s, p, n FROM (
+  --$ FOREACH ONE var=link list=kinds
+  SELECT '' AS s, '' AS p, CAST(0 AS BIGINT) AS n WHERE FALSE
+)
+
+--$ BLOCK ONE table=t
+SELECT s, p, count(*) AS n FROM {${table}} WHERE p = '${link}' GROUP BY s, p UNION ALL
+"""
+
+
+def _templated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BlockTemplate(_TEMPLATE).query(spark, "COUNTS", {"t": links(spark, sf_dir)}, kinds=["urn:inNation", "urn:inRegion"])
+
+
+QUERIES["template_counts"] = _templated
+SQL["template_counts"] = f"{T} SELECT s, p, count(*) AS n FROM t WHERE p IN ('urn:inNation', 'urn:inRegion') GROUP BY ALL"

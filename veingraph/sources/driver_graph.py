@@ -44,12 +44,12 @@ UNION ALL SELECT NULL, 'urn:balance', '{RDFS}range', '{XSD}long'
 UNION ALL SELECT NULL, 'urn:kind', '{RDFS}range', '{XSD}string'
 UNION ALL SELECT NULL, 'order:' || o_orderkey, 'urn:total', '"' || CAST(floor(o_totalprice) AS BIGINT) || '"^^<{XSD}long>' FROM orders
 UNION ALL SELECT NULL, 'customer:' || c_custkey, 'urn:balance', '"' || CAST(floor(c_acctbal) AS BIGINT) || '"^^<{XSD}long>' FROM customer
-UNION ALL SELECT NULL, 'customer:' || c_custkey, '{OWL}sameAs', 'http://example.org/customer#' || c_custkey FROM customer WHERE c_nationkey < 5
-UNION ALL SELECT NULL, 'http://example.org/customer#' || c_custkey, 'http://example.org/terms#of', 'http://example.org/nations/' || c_nationkey FROM customer WHERE c_nationkey < 5
-UNION ALL SELECT NULL, 'supplier:' || s_suppkey, 'urn:basedIn', 'nation:' || s_nationkey FROM supplier WHERE s_nationkey < 12
+UNION ALL SELECT NULL, 'customer:' || c_custkey, '{OWL}sameAs', 'http://example.org/customer#' || c_custkey FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT NULL, 'http://example.org/customer#' || c_custkey, 'http://example.org/terms#of', 'http://example.org/nations/' || c_nationkey FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT NULL, 'supplier:' || s_suppkey, 'urn:basedIn', 'nation:' || s_nationkey FROM supplier WHERE s_acctbal > 0
 UNION ALL SELECT NULL, '_:e' || event_id, 'urn:kind', '"' || event_type || '"' FROM events
-UNION ALL SELECT NULL, '_:e' || event_id, 'urn:eventKey', '"' || event_id || '"' FROM events WHERE event_id % 3 = 0
-UNION ALL SELECT NULL, 'user:' || user_id, 'urn:did', '_:e' || event_id FROM events WHERE event_id % 5 = 0
+UNION ALL SELECT NULL, '_:e' || event_id, 'urn:eventKey', '"' || event_id || '"' FROM events WHERE event_type <> 'error'
+UNION ALL SELECT NULL, 'user:' || user_id, 'urn:did', '_:e' || event_id FROM events WHERE event_type = 'click'
 UNION ALL SELECT 'urn:graph/suppliers', 'supplier:' || s_suppkey, '{RDF}type', 'urn:class/Supplier' FROM supplier
 UNION ALL SELECT 'urn:graph/suppliers', 'supplier:' || s_suppkey, 'urn:inNation', 'nation:' || s_nationkey FROM supplier
 UNION ALL SELECT 'urn:graph/nations', 'nation:' || n_nationkey, 'urn:inRegion', 'region:' || n_regionkey FROM nation
