@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veingraph.llm.common import stored, table
+from veingraph.llm.common import discard, stored, table
 from veingraph.llm.decontam import phrase_matches
 from veingraph.llm.lines import dedup_lines
 from veingraph.llm.mixing import mix
@@ -52,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result being written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each stage's result being written as Parquet and read again, then removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(spark, before)
+        before = path
     return docs
