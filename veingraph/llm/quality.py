@@ -23,7 +23,7 @@ MIN_PRECISION = 0.9
 MIN_COVER = 3
 
 #: Shares that do not depend on a text's language or length: a rule on word lengths would turn languages away.
-FEATURES = ("symbols_per_word", "dup_line_share", "repeat_share", "upper_share", "mark_share")
+FEATURES = ("symbols_per_word", "dup_line_share", "repeat_share", "run_share", "upper_share", "mark_share")
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -70,6 +70,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             repeated_words(w).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x, i: F.get(w, i - 1) == x)).alias("n_run"),
         ),
     )
     stats = docs.withColumns({"_vg_lines": lines, "_vg_counts": counts, "_vg_upper": only("A-Z"), "_vg_marks": only("!?;:,.")})
@@ -87,6 +88,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         {
             "symbols_per_word": share(F.col("n_symbols"), F.col("n_words")),
             "dup_line_share": share(F.col("n_dup_lines"), F.col("_vg_lines.n")),
+            "run_share": share(F.col("_vg_counts.n_run"), F.col("n_words")),
             "repeat_share": share(F.col("n_repeat_words"), F.col("n_words")),
             "upper_share": share(F.col("_vg_upper"), F.col("word_chars")),
             "mark_share": share(F.col("_vg_marks"), F.col("n_words")),
