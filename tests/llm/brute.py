@@ -94,9 +94,10 @@ def similarity(a, b):
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
-def classes(docs, threshold=0.8):
-    """The smallest id of each row's class."""
+def groups(docs, threshold=0.8):
+    """A number for each row: that of its class."""
     bags = [shingles(t) for _, t in docs]
+    sizes = [sum(b.values()) if b else 0 for b in bags]
     parent = list(range(len(docs)))
 
     def find(x):
@@ -106,13 +107,20 @@ def classes(docs, threshold=0.8):
 
     for i in range(len(docs)):
         for j in range(i):
-            if docs[i] == docs[j] or similarity(bags[i], bags[j]) >= threshold - 1e-9:
+            if docs[i] == docs[j]:
                 parent[find(i)] = find(j)
-    ids = defaultdict(list)
-    for i, (doc_id, _) in enumerate(docs):
-        ids[find(i)].append(doc_id)
-    least = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
-    return [least[find(i)] for i in range(len(docs))]
+            elif min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]) and similarity(bags[i], bags[j]) >= threshold - 1e-9:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(docs))]
+
+
+def classes(docs, threshold=0.8):
+    """The smallest id of each row's class."""
+    of, ids = groups(docs, threshold), defaultdict(list)
+    for g, (doc_id, _) in zip(of, docs):
+        ids[g].append(doc_id)
+    least = {g: min((x for x in v if x is not None), default=None) for g, v in ids.items()}
+    return [least[g] for g in of]
 
 
 def lines(docs, depth=6, min_docs=3):

@@ -185,7 +185,7 @@ def found_by_sliding(text):
     w, labels = plain_words(text), set()
     for label, template in licenses.TEMPLATES:
         t = plain_words(template)
-        if not any(w[i : i + 3] == t[j : j + 3] for i in range(len(w) - 2) for j in range(len(t) - 2)):
+        if not {*zip(w, w[1:], w[2:])} & {*zip(t, t[1:], t[2:])}:
             continue
         for start in range(len(w)):
             n, at, end = 0, start, min(len(w), start + len(t) + 2 * licenses.DRIFT)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from brute import byte_strings, classes, sha, similarity, shingles, substrings
+from brute import byte_strings, classes, plain_words, sha, similarity, shingles, substrings
 from veingraph.llm import neardup, rolling, substrings as sub, suffixes
 
 
@@ -244,6 +244,11 @@ def test_near_duplicates(docs_of, corpus, monkeypatch, small):
         by_class.setdefault(key, []).append(r["kept"])
     same_id = {3}  # two texts of one id are in two classes of that id
     assert all(sum(k) == 1 for c, k in by_class.items() if c not in same_id)
+    links = {}
+    for r in found:
+        links.setdefault(r["class_id"], []).append(r["n_links"])
+    texts = {c: {tuple(plain_words(r["text"])) for r in found if r["class_id"] == c} for c in links}
+    assert all((max(n) > 0) == (len(texts[c]) > 1) and max(n) < len(texts[c]) for c, n in links.items() if c not in same_id | {None})
     assert all(r["lang"] == "en" and r["node"] == "n" for r in found)
 
 
