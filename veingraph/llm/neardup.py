@@ -110,8 +110,10 @@ SMALL_BUCKET = 64
 #: Larger buckets than this are split by a further band, and so on up to MAX_SPLITS bands, which connects most of
 #: their texts; what is still of different classes is then compared in blocks, two of which are as large as this.
 LARGE_BUCKET = 4_096
+#: ... or hold more bytes of text than this.
+LARGE_BYTES = 32_000_000
 MAX_SPLITS = 4
-SIGNED = "id long, h long, c1 long, c2 long, bands array<long>, marks binary, sig binary"
+SIGNED = "id long, h long, c1 long, c2 long, size long, bands array<long>, marks binary, sig binary"
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -132,6 +134,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "id": ids,
             "h": hashes,
             "c1": np.where(empty, ids, whole.view(np.int64)),
+            "size": np.array([len(t) for t in texts]),
             "c2": np.where(empty, hashes, mix64(whole + counts.astype(np.uint64)).view(np.int64)),
             "bands": [None if e else b for e, b in zip(empty, bands)],
             "marks": [b.astype(np.uint32).tobytes() for b in bands],
@@ -218,12 +221,14 @@ def in_blocks(oversized: DataFrame) -> DataFrame:
     """Deals the members of oversized buckets (key, path, node, class) to block pairs that cover all pairs of different classes.
 
     Adds ``block`` and the pair ``i``, ``j`` (i <= j). Members outside a bucket's largest class fill its first blocks,
-    each of which meets itself and all later ones; a block holds about half of LARGE_BUCKET members.
+    each of which meets itself and all later ones; a block holds about half of LARGE_BUCKET members or LARGE_BYTES.
     """
-    by_class = oversized.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-    sizes = by_class.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n")).filter("n > top.n")
-    blocks = lambda n: F.ceil(n / max(1, LARGE_BUCKET // 2))
-    shape = sizes.select("key", F.col("top.class").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("n_rest"), blocks(F.col("top.n")).alias("n_main"))
+    by_class = oversized.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    top = F.max(F.struct("n", "class", "bytes")).alias("top")
+    sizes = by_class.groupBy("key").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).filter("n > top.n")
+    blocks = lambda n, b: F.greatest(F.ceil(n / max(1, LARGE_BUCKET // 2)), F.ceil(b / (LARGE_BYTES // 2)))
+    rest = blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
+    shape = sizes.select("key", F.col("top.class").alias("main"), rest.alias("n_rest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("n_main"))
     h, is_main = F.xxhash64("node"), F.col("class") == F.col("main")
     place = F.when(is_main, F.col("n_rest") + F.pmod(h, "n_main")).otherwise(F.pmod(h, "n_rest"))
     last = F.col("n_rest") - 1 + F.when(is_main, 0).otherwise(F.col("n_main"))
@@ -245,12 +250,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class's first row alone, so for one document of each class. Texts of the same words are in one class from the
     start and take part as one. A text without words (or null) is a class of its own; rows that are equal in id
     and text are of one class. ``n_links``: verified links of the document's text to other texts that were needed
-    to connect the class.
+    to connect the class. Very long texts are hashed in segments, and their shingles compared as one document's.
 
     Every pair that shares a band of the signature is a candidate (a pair at 0.8 shares none in 3 of a million
     cases). In each band's bucket all members are first compared with one centre. Then members of different classes
     are compared with each other: as rows in buckets of up to SMALL_BUCKET texts, within a task in buckets of up to
-    LARGE_BUCKET. Still larger buckets are first split by a second band, a third and a fourth, which connects most of
+    LARGE_BUCKET texts and LARGE_BYTES. Still larger buckets are first split by a second band, a third and a fourth, which connects most of
     their texts; then all their pairs that are still of different classes are compared in blocks, a task for every two.
     """
     keyed, ids = with_identity(docs.drop("class_id", "n_links", "kept"))
@@ -261,10 +266,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = least.select("c1", "c2", "first.id", "first.h")
     heads = cut(
         signed.join(own, ["c1", "c2", "id", "h"]).dropDuplicates(["c1", "c2"]).filter("bands IS NOT NULL")
-        .select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "id", "h", "bands", "marks", "sig")
+        .select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "id", "h", "size", "bands", "marks", "sig")
     )
-    placed = heads.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).filter("n > 1")
+    placed = heads.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("centre")).filter("n > 1")
     members = cut(placed.join(buckets, "key"))
     candidates = heads.select("node", "id", "h").join(members.select("node").distinct(), "node")
     bodies = cut(texts.join(small(candidates), ["id", "h"]).select("node", "text").dropDuplicates(["node"]))
@@ -278,7 +283,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stars = members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = cut(verified(stars))
     classes = components(links)
-    classed = members.join(classes, "node", "left").select("key", "band", "node", "n", F.coalesce("class", "node").alias("class"))
+    classed = members.join(classes, "node", "left").select("key", "band", "node", "size", "n", "bytes", F.coalesce("class", "node").alias("class"))
     split = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut(classed.join(split, "key"))
     few = open_.filter(F.col("n") <= SMALL_BUCKET)
@@ -293,25 +298,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .mapInArrow(_agreeing, "a long, b long")
     )
     marked = heads.select("node", "marks", "sig")
-    large, found = open_.filter(F.col("n") > SMALL_BUCKET).select("key", "node", "class", "n", F.array("band").alias("path")), []
+    large, found = open_.filter(F.col("n") > SMALL_BUCKET).select("key", "node", "size", "class", "n", "bytes", F.array("band").alias("path")), []
     oversized = None
     for depth in range(MAX_SPLITS):
-        fitting = large.filter(F.col("n") <= LARGE_BUCKET).join(marked, "node").join(bodies, "node")
+        fits = (F.col("n") <= LARGE_BUCKET) & (F.col("bytes") <= LARGE_BYTES)
+        fitting = large.filter(fits).join(marked, "node").join(bodies, "node")
         found.append(
             fitting.select("key", "path", "node", "class", "marks", "sig", "text").groupBy("key").applyInArrow(
                 lambda table: _compare_bucket(table, threshold), "a long, b long"
             )
         )
-        giant = cut(large.filter(F.col("n") > LARGE_BUCKET))
+        giant = cut(large.filter(~fits))
         if giant.isEmpty():
             break
         oversized = giant if oversized is None else oversized
         if depth + 1 == MAX_SPLITS:
             break
         finer = giant.join(heads.select("node", F.posexplode("bands").alias("band", "more")), "node").filter(F.col("band") > F.element_at("path", -1))
-        finer = finer.select(F.xxhash64("key", "more").alias("key"), "node", "class", F.concat("path", F.array("band")).alias("path"))
-        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-        large = cut(finer.join(sizes.select("key", "n"), "key"))
+        finer = finer.select(F.xxhash64("key", "more").alias("key"), "node", "size", "class", F.concat("path", F.array("band")).alias("path"))
+        sizes = finer.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("class").alias("lo"), F.max("class").alias("hi")
+        ).filter("lo <> hi")
+        large = cut(finer.join(sizes.select("key", "n", "bytes"), "key"))
     within = reduce(DataFrame.unionByName, found)
     links = cut(links.unionByName(verified(agreeing)).unionByName(within).distinct())
     classes = components(links)
