@@ -12,6 +12,25 @@ from veingraph.plans.iteration import cut
 from veingraph.sources.triples import SCHEMA, as_triples, load_snapshot, parse_ntriples, rdfs_vocabulary, read_ntriples, save_snapshot
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder in whatever store Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """The names of a folder's snapshots, the oldest first."""
+    files, at = _folder(spark, folder)
+    found = files.listStatus(at) if files.exists(at) else []
+    return [name for _, name in sorted((f.getModificationTime(), f.getPath().getName()) for f in found if f.isDirectory())]
+
+
+def drop_snapshot(spark: SparkSession, folder: str, name: str) -> None:
+    """Deletes one; one that does not exist is no error."""
+    files, at = _folder(spark, f"{folder}/{name}")
+    files.delete(at, True)
+
+
 class GraphStore:
     """A quad table that operations replace by a new one; every operation sees the state before it."""
 

@@ -69,7 +69,7 @@ SHELL |= {
     "dg": SHELL["degree"], "ta": SHELL["triangles"], "triangle": SHELL["triangles"], "pr": SHELL["pagerank"],
     "br": SHELL["badrank"], "pp": SHELL["peerpressure"],
 }
-#: Names that the shell listed without any behaviour.
+#: Names that the shell listed without any behaviour.
 NOT_IMPLEMENTED = (
     "trustrank", "closeness", "betweeness", "rankclus", "ngons", "snowball", "subdue", "collaborativefiltering",
     "fusionpower", "shortestpath", "beliefpropagation", "beliefdiffusion", "discovery",
