@@ -97,6 +97,21 @@ def test_results(spark, ring, tmp_path):
     assert results.to_json(catalog.run("countTriples", ring)).first()[0] == '{"numtriples":12}'
 
 
+def test_xml_results(spark, tmp_path):
+    import xml.etree.ElementTree as tree
+
+    rows = spark.createDataFrame([("urn:a", '"x < y"@en', 1), ("_:b", f'"5"^^<{terms.XSD}int>', None)], "s string, o string, n int")
+    results.write_xml("all", rows, str(tmp_path / "r.xml"))
+    root = tree.parse(tmp_path / "r.xml").getroot()
+    space = "{http://www.w3.org/2005/sparql-results#}"
+    assert [v.get("name") for v in root.iter(f"{space}variable")] == ["s", "o", "n"]
+    found = [{b.get("name"): (b[0].tag.removeprefix(space), b[0].text, b[0].get("datatype")) for b in r} for r in root.iter(f"{space}result")]
+    assert found == [
+        {"s": ("uri", "urn:a", None), "o": ("literal", "x < y", None), "n": ("literal", "1", None)},
+        {"s": ("bnode", "b", None), "o": ("literal", "5", f"{terms.XSD}int")},
+    ]
+
+
 def test_catalog(ring):
     assert catalog.run("pr", ring, shell=True, limit=3).count() == 3
     assert catalog.run("pp", ring, shell=True, predicate="urn:connectedTo").count() == 8

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veingraph.functions.terms import OWL, RDF, RDFS, SKOS, TYPE, is_blank, is_iri, namespace
 from veingraph.operators.degree import degree_all, degree_in, degree_max, degree_node_type, degree_out
+from veingraph.plans.iteration import cut
 
 RESOURCE = f"{RDFS}Resource"
 def _n() -> Column:
@@ -131,18 +132,17 @@ def explicit_prop_hierarchy(t: DataFrame) -> DataFrame:
 def _contained(members: DataFrame) -> DataFrame:
     """(a, b): sets of ``members`` (set, m...) of which the first is within the second, other one.
 
-    Sets meet in their shared members; a is within b if they share as many members as a has. Members of one set only
-    meet nothing, so they are left out before the join.
+    Whatever holds a set holds its rarest member too: only the sets of that one member are candidates, and each is
+    checked by counting the members that both have. A set whose rarest member is in no other set is within none.
     """
     keys = [c for c in members.columns if c != "set"]
-    members = members.distinct()
-    sizes = members.groupBy("set").agg(_n().alias("n"))
-    # A member's sets are one array: the pairs of sets are made within the row and combined before the shuffle.
-    per_member = members.groupBy(*keys).agg(F.collect_list("set").alias("sets")).filter(F.size("sets") > 1)
-    patterns = per_member.groupBy(F.array_sort("sets").alias("sets")).agg(_n().alias("k"))
-    pairs = patterns.select(F.explode("sets").alias("a"), "sets", "k").select("a", F.explode("sets").alias("b"), "k").filter("a <> b")
-    shared = pairs.groupBy("a", "b").agg(F.sum("k").alias("k"))
-    return shared.join(sizes.withColumnRenamed("set", "a"), "a").filter("k = n").select("a", "b")
+    members = cut(members.distinct())
+    degree = members.groupBy(*keys).agg(_n().alias("k"))
+    rarest = members.join(degree, keys).groupBy("set").agg(F.min(F.struct("k", *keys)).alias("m"), _n().alias("n")).filter("m.k > 1")
+    owners = members.withColumnRenamed("set", "b")
+    candidates = rarest.select(F.col("set").alias("a"), "n", *[F.col(f"m.{c}").alias(c) for c in keys]).join(owners, keys).filter("a <> b").select("a", "b", "n")
+    shared = members.withColumnRenamed("set", "a").join(cut(candidates), "a").join(owners, [*keys, "b"]).groupBy("a", "b", "n").agg(_n().alias("shared"))
+    return shared.filter("shared = n").select("a", "b")
 
 
 def implicit_class_hierarchy(t: DataFrame) -> DataFrame:
