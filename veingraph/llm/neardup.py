@@ -27,6 +27,9 @@ COORDINATES = BANDS * ROWS
 #: Expected darts of a document, so that few coordinates stay empty in the first throw.
 DARTS = int(COORDINATES * np.log(COORDINATES) + 2 * COORDINATES)
 
+#: A document's darts and signature take the memory of so many bytes of text, however short it is.
+DOCUMENT_BYTES = 2_000
+
 LAYER, THROW, PLACE, NAME = (np.uint64(x) for x in (0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -124,7 +127,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, hashes, texts, _ in chunks(batches, lambda text, size, overlap: [(0, text)]):
+    for ids, hashes, texts, _ in chunks(batches, lambda text, size, overlap: [(0, text)], row=DOCUMENT_BYTES):
         doc, element, weight, counts, whole = shingles(texts)
         signature = signatures(doc, element, weight, len(texts))
         bands = band_keys(signature).view(np.int64)

@@ -84,14 +84,17 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about ``size`` bytes each, one row at least, so that only one part is ever unpacked."""
+def slices(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES, row: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes each, one row at least, so that only one part is ever unpacked.
+
+    A row counts for ``row`` bytes beside its texts.
+    """
     try:
         for batch in batches:
-            weight = np.zeros(batch.num_rows, np.int64)
+            weight = np.full(batch.num_rows, row, np.int64)
             for column in batch.columns:
                 if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-                    weight += np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64) + 1
+                    weight += np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)
             part = np.cumsum(weight) // size
             begin = 0
             for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
@@ -151,12 +154,12 @@ def word_segments(text: bytes, size: int, overlap: int, blanks: re.Pattern = BLA
         begin = end
 
 
-def chunks(batches: Iterator[pa.RecordBatch], segments: Callable = byte_segments, overlap: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+def chunks(batches: Iterator[pa.RecordBatch], segments: Callable = byte_segments, overlap: int = 0, row: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
     """(ids, hashes, texts, offsets) of parts of the batches (``id``, ``h``, ``text``): a row for each pair (id, h), in their order.
 
     A text of over CHUNK_BYTES comes in segments, a part each, so the arrays that are made of it stay bounded.
     """
-    for part in slices(batches):
+    for part in slices(batches, row=row):
         ids, hashes = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "h"))
         texts = encoded(part.column("text"))
         order = np.lexsort((hashes, ids))
