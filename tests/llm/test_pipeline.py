@@ -14,7 +14,7 @@ TABLES = ("documents", "benchmark", "pages", "labels")
 COLUMNS = {
     "op1_recompression": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op2_poisson_mixing": ["doc_id", "text", "lang", "source", "n_chars", "copy", "mix_key"],
-    "op3_positional_index": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op3_positional_index": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"],
     "op4_dart_minhash": ["doc_id", "class_id", "n_links", "kept"],
     "op5_token_counts": ["doc_id", "n_chars", "n_tokens"],
     "op6_decision_list": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from veingraph.llm.common import cut, let, plain_words, row_key, small, table
 
 WINDOW = 10
+#: How far the distance of two terms may differ from that in the item for a proximity match.
+SLACK = 3
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -58,14 +60,31 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"])
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def near_places(index: DataFrame, pivots: DataFrame, slack: int) -> DataFrame:
+    """(win, _vg_key, at): places of a window's rarest term that its second rarest stands near to, as in the item.
+
+    Positions meet in blocks of the tolerated width, so that the join stays an equi-join.
+    """
+    first = index.join(small(pivots), F.col("term") == F.col("t1")).select("win", "_vg_key", F.col("pos").alias("at"), "t2", (F.col("pos") + F.col("o2") - F.col("o1") - slack).alias("lo"))
+    block = lambda c: F.floor(c / (2 * slack + 1)).cast("int")
+    near = first.withColumn("block", F.explode(F.array(block(F.col("lo")), block(F.col("lo")) + 1)))
+    seconds = index.select(F.col("term").alias("t2"), "_vg_key", F.col("pos").alias("at2"), block(F.col("pos")).alias("block"))
+    met = near.join(seconds, ["t2", "_vg_key", "block"]).filter(F.col("at2").between(F.col("lo"), F.col("lo") + 2 * slack))
+    return met.select("win", "_vg_key", "at").distinct()
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack: int | None = None) -> DataFrame:
     """``docs`` (all columns) with ``n_words``, ``hits`` (exact occurrences: at, len, items), ``n_hit``.
 
+    With ``slack`` also ``n_near``: places where a window's two rarest terms stand as far from each other as in the item,
+    up to so many words more or less.
+
     1. Term frequencies of the benchmark's vocabulary over all documents.
     2. Positional postings of the two rarest terms of every window.
     3. The rarest term's list, offset-adjusted to window starts, is intersected with the second rarest's.
     4. What is left is verified word by word in the document.
-    Rows that repeat a document are matched each; a null or empty text has no words; without items nothing matches.
+    Rows that repeat a document are matched each; a null or empty text has no words; without items nothing matches. A
+    text of any length is searched whole; its words are one row's array, so they must fit a task's memory.
     """
     keyed = docs.withColumn("_vg_key", row_key(F.col("doc_id"), F.col("text")))
     words = keyed.select("_vg_key", plain_words(F.col("text")).alias("w"))
@@ -85,6 +104,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         return F.struct(F.size(w).cast("long").alias("n_words"), F.array_sort(spans).alias("hits"))
 
     matched = keyed.join(cut(found), "_vg_key", "left").withColumn("_vg_found", F.coalesce("_vg_found", F.array()))
+    if slack is not None:
+        near = near_places(index, pivots, slack).groupBy("_vg_key").agg(F.count(F.lit(1)).alias("n_near"))
+        matched = matched.drop("n_near").join(small(cut(near)), "_vg_key", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long"))
     return (
         matched.withColumn("_vg_match", let(plain_words(F.col("text")), verified))
         .withColumns({"n_words": F.col("_vg_match.n_words"), "hits": F.col("_vg_match.hits")})
@@ -93,7 +115,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     )
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 3, window: int = WINDOW) -> DataFrame:
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, at): places where a window's two rarest terms stand near each other.
 
     Their distance may differ from that in the item by up to ``slack`` words; ``at`` is the rarest term's place.
@@ -104,27 +126,21 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 3, win
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
     pivots = cut(rarest_terms(windows, document_frequencies(words, vocabulary)))
     index = postings(words, pivots.select(F.explode(F.array("t1", "t2")).alias("term")).distinct())
-    first = index.join(pivots, F.col("term") == F.col("t1")).select("win", "_vg_key", F.col("pos").alias("at"), "t2", (F.col("o2") - F.col("o1")).alias("gap"))
-    # Positions meet in blocks of the tolerated width, so that the join stays an equi-join.
-    width = 2 * slack + 1
-    block = lambda c: F.floor(c / width).cast("int")
-    near = first.withColumn("lo", F.col("at") + F.col("gap") - slack).withColumn("block", F.explode(F.array(block(F.col("lo")), block(F.col("lo")) + 1)))
-    seconds = index.select(F.col("term").alias("t2"), "_vg_key", F.col("pos").alias("at2"), block(F.col("pos")).alias("block"))
-    hit = near.join(seconds, ["t2", "_vg_key", "block"]).filter(F.col("at2").between(F.col("lo"), F.col("lo") + 2 * slack))
-    return hit.join(windows, "win").select(F.col("_vg_key.id").alias("doc_id"), F.explode("items").alias("item_id"), "at").distinct()
+    return near_places(index, pivots, slack).join(windows, "win").select(F.col("_vg_key.id").alias("doc_id"), F.explode("items").alias("item_id"), "at").distinct()
 
 
 def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's words hit by benchmark windows, and the items that occur in it."""
-    found = phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Each document's words hit by benchmark windows, the items that occur in it, and its proximity matches."""
+    found = phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=SLACK)
     items = F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))
-    return found.select("doc_id", "n_words", "n_hit", items.alias("items")).select(
+    return found.select("doc_id", "n_words", "n_hit", "n_near", items.alias("items")).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
     )
 
 
@@ -143,8 +159,18 @@ dw AS (SELECT doc_id, n, r.i AS i, array_to_string(w[r.i:r.i + n - 1], ' ') AS w
 hits AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN bw USING (n, win)),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
-  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+wins AS (SELECT DISTINCT w[r.i:r.i + {WINDOW} - 1] AS terms
+  FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS i) r WHERE len(w) > 0),
+tf AS (SELECT term, count(*) AS tf FROM (SELECT unnest(w) AS term FROM d) GROUP BY term),
+ranked AS (SELECT terms, list(struct_pack(o := off, t := term) ORDER BY tf, off) AS rarest
+  FROM (SELECT terms, unnest(terms) AS term, unnest(range(0, len(terms))) AS off FROM wins) JOIN tf USING (term)
+  GROUP BY terms HAVING count(*) = len(terms)),
+pivots AS (SELECT terms, rarest[1] AS a, coalesce(rarest[2], rarest[1]) AS b FROM ranked),
+spots AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
+near AS (SELECT x.doc_id, count(DISTINCT (terms, x.pos)) AS n_near FROM pivots JOIN spots x ON x.term = a.t JOIN spots y
+  ON y.term = b.t AND y.doc_id = x.doc_id AND y.pos BETWEEN x.pos + b.o - a.o - {SLACK} AND x.pos + b.o - a.o + {SLACK} GROUP BY x.doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """
