@@ -57,7 +57,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 def text_stats(docs: DataFrame) -> DataFrame:
     """Adds the base statistics and ``FEATURES`` of each row's whole ``text``; a null text counts as empty.
 
-    Input columns of the same names are replaced. Everything is computed within the row, without a shuffle.
+    Input columns of the same names are replaced. Everything is computed within the row, without a shuffle, over the
+    whole text, however long; its words are one row's array, so they must fit a task's memory.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     only = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
@@ -191,8 +192,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 0, 1).otherwise(0).alias("bad"))
     taught = known.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(max_labelled)
     labelled = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
-    sample = text_stats(labelled).filter(~base_failed()).select("doc_id", "bad", *FEATURES).collect()
-    return learn_rules([r.asDict() for r in sorted(sample, key=lambda r: tuple(r))])
+    # What the base rules reject goes here: as a filter of the plan it would be moved before the join, onto all documents.
+    sample = text_stats(labelled).select("doc_id", "bad", *FEATURES, base_failed().alias("failed")).collect()
+    return learn_rules([r.asDict() for r in sorted(sample, key=lambda r: tuple(r)) if not r["failed"]])
 
 
 def decision_list(rules: list[Rule]) -> Column:
