@@ -42,6 +42,64 @@ def test_mixing_reaches_large_means(spark, docs_of):
     assert 20 < sum((n - 50) ** 2 for n in rare) / 40 < 110
 
 
+def test_mixing_as_its_sql_for_any_mean(spark, tmp_path):
+    """One document beside 40,000 has a mean of 200."""
+    import duckdb
+
+    rows = spark.range(40_001).select(
+        F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") == 7, "rare").otherwise("rest").alias("source"), F.lit(1).cast("long").alias("n_chars")
+    )
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    found = mixing.op2_poisson_mixing(spark, str(tmp_path)).select("doc_id", "copy", "mix_key")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(f"SELECT doc_id, copy, mix_key FROM ({mixing.mixing_sql()})").fetchall()
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == sorted(want) and 150 < sum(i == 7 for i, _, _ in got) < 250
+
+
+def test_very_long_texts(spark, docs_of):
+    """Texts of a few megabytes, with a passage of the benchmark, a license and repeated lines far inside."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(3000)] + ["Alpha", "été", "x-y"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, common_line = line(30), "subscribe to our newsletter now please"
+    body = [line(rng.randint(5, 40)) for _ in range(20_000)]
+    body[15_000:15_000] = [passage, common_line, dict(licenses.TEXTS)["isc"].replace("\n", " ")]
+    docs = [(1, "\n".join(body)), (2, f"{common_line}\n{line(50)}"), (3, f"{line(9)}\n{common_line}"), (4, "x" * 3_000_000)]
+    assert len(docs[0][1]) > 2_000_000
+    table = docs_of(docs).cache()
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(table).collect()}
+    assert [(rows[i]["n_lines"], rows[i]["n_dropped"], rows[i]["text"]) for i, _ in docs] == lines(docs)
+    stats = {r["doc_id"]: r for r in quality.text_stats(table).withColumn("failed", quality.base_failed()).collect()}
+    for i, t in docs:
+        assert tuple(stats[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed")) == text_stats(t)
+    bench = [(9, passage)]
+    want = phrases(docs, bench)
+    for r in decontam.phrase_matches(table, spark.createDataFrame(bench, "item_id long, text string")).select("doc_id", "n_words", "n_hit", "text").collect():
+        assert (r["n_words"], r["n_hit"]) == want[r["doc_id"], r["text"]][:2]
+    spans = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in licenses.scan_licenses(table).collect()}
+    assert spans == {1: {"isc"}, 2: set(), 3: set(), 4: set()}
+    vocabulary = tokens.read_vocabulary(TOKENIZER)
+    exact = reference(vocabulary)
+    assert all(r["n_tokens"] == exact(r["text"]) for r in tokens.count_tokens(table.filter("doc_id < 4"), vocabulary).collect())
+    assert mixing.mix(table).count() >= 0
+    table.unpersist()
+
+
+def test_url_of_a_megabyte(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/" + "x" * 1_000_000), (2, "http://b.org/fr/a"), (3, None)], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_labels_that_repeat(spark, docs_of):
+    """Repeated and contradicting labels, extra columns and clashing names change nothing but the verdicts' teachers."""
+    texts = [(i, ("### " if i % 3 == 0 else "") + " ".join(f"w{(i * 7 + k) % 400}" for k in range(60)) + (" &&&" * 30 if i % 3 == 0 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)] * 2 + [(1, 0, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    rows = quality.judge_quality(docs_of(texts), labels).collect()
+    assert len(rows) == 120 and {r["doc_id"] for r in rows if not r["kept"]} == {i for i in range(120) if i % 3 == 0}
+
+
 def test_mixing_odd_rows(spark, docs_of):
     assert mixing.mix(docs_of([(1, "x")]).filter("doc_id = 2")).count() == 0
     assert mixing.mix(docs_of([(1, "x")]), {"other": 1.0}).count() == 0
@@ -232,6 +290,13 @@ def reference(vocabulary):
     return lambda text: len(t.encode(text, add_special_tokens=False).ids)
 
 
+def test_tokens_of_an_empty_table_and_clashing_names(docs_of):
+    vocabulary = tokens.read_vocabulary(TOKENIZER)
+    table = docs_of([(1, "some words")]).withColumn("n_tokens", F.lit("clash"))
+    assert tokens.count_tokens(table.filter("doc_id = 2"), vocabulary).count() == 0
+    assert isinstance(tokens.count_tokens(table, vocabulary).first()["n_tokens"], int)
+
+
 def test_token_counts(docs_of, corpus):
     vocabulary = tokens.read_vocabulary(TOKENIZER)
     exact = reference(vocabulary)

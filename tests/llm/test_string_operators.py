@@ -293,6 +293,19 @@ def test_oversized_buckets_in_blocks(docs_of, monkeypatch):
     assert sorted((r["doc_id"], r["class_id"]) for r in found) == sorted(zip(range(40), classes(docs)))
 
 
+def test_near_copies_of_a_very_long_text(docs_of):
+    rng = random.Random(31)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(400_000)]
+    near = [w if k % 97 else "other" for k, w in enumerate(words)]
+    docs = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:200_000])), (4, "x" * 3_000_000)]
+    assert len(docs[0][1]) > 2 * rolling.CHUNK_BYTES
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(docs)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    found = {r["doc_id"]: r for r in sub.dedup_substrings(docs_of(docs)).collect()}
+    assert (found[1]["n_removed"], found[3]["n_removed"], found[3]["n_words"], found[4]["n_words"]) == (0, 200_000, 200_000, 1)
+    cut = {r["doc_id"]: r for r in suffixes.dedup_bytes(docs_of(docs)).collect()}
+    assert cut[3]["n_removed"] == cut[3]["n_bytes"] and cut[4]["kept"] == b"" and cut[1]["n_removed"] >= cut[3]["n_bytes"]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     a = {int(e): int(w) for e, w in zip(rng.integers(1, 1 << 62, 400), rng.integers(1, 5, 400))}

@@ -81,7 +81,8 @@ def mix(
     Adds ``copy`` (0, 1, ... within a document) and ``mix_key``, a hash by which the output is
     partitioned and sorted: where each copy lands is a random permutation of all copies, the same on every run.
     All input columns stay (columns named ``copy`` or ``mix_key`` are replaced).
-    A null source is a source of its own; rows that repeat a doc_id get the same count; an empty table gives none.
+    A null source is a source of its own; rows that repeat a doc_id get the same count; an empty table gives none. Texts
+    are carried along unread, so their lengths do not matter.
     """
     means = small(source_means(docs, weights, temperature).select(F.col("source").alias("_vg_source"), F.col("mean").alias("_vg_mean")))
     repeats = repeat_count(F.col("_vg_mean"), seed, F.col("doc_id"))
