@@ -243,7 +243,7 @@ def _deal(batches: Iterator[pa.RecordBatch], window: int, n_buckets: int, hot: n
         heads = run_starts(match[order], group[order])
         again = np.ones(len(doc), bool)
         again[order[heads]] = False
-        single = is_in(reduced(group, count_buckets(n_buckets)), hot)
+        single = is_in(reduced(group, n_buckets), hot)
         place = np.arange(len(doc)) * (single & ~again)
         runs = run_starts(doc, anchor * ~again, group * ~again, again, place)
         n = np.diff(np.append(runs, len(doc)))
@@ -347,11 +347,6 @@ def n_buckets(docs: DataFrame, size: int = BUCKET_BYTES) -> int:
     return max(16, -(-total // size))
 
 
-def count_buckets(buckets: int) -> int:
-    """Buckets for the counts of groups, which are much smaller than the windows."""
-    return max(16, buckets // 8)
-
-
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Each row of identified ``docs`` with its ``blobs``, null if it has none."""
     grouped = marks.groupBy("id", "h").agg(F.collect_list("blob").alias("blobs"))
@@ -377,7 +372,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = identified(docs)
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
-    counts = texts.mapInArrow(lambda it: dealt_counts(_cores(it, window), count_buckets(buckets)), DEALT)
+    counts = texts.mapInArrow(lambda it: dealt_counts(_cores(it, window), buckets), DEALT)
     hot = docs.sparkSession.sparkContext.broadcast(common_groups(counts))
     in_buckets = texts.mapInArrow(lambda it: _deal(it, window, buckets, hot.value), DEALT)
     marks = in_buckets.groupBy("bucket").applyInArrow(lambda table: _settle(table), MARKS)

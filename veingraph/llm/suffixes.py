@@ -33,7 +33,7 @@ from veingraph.llm.rolling import (
     slices,
     sliding_argmin,
 )
-from veingraph.llm.substrings import MARKS, common_groups, count_buckets, dealt_counts, identified, is_in, n_buckets, reduced
+from veingraph.llm.substrings import MARKS, common_groups, dealt_counts, identified, is_in, n_buckets, reduced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -311,7 +311,7 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot: np.
         doc, start, n, anchor, core, group, whole = super_strings(data, edges, length)
         if not len(doc):
             continue
-        common = is_in(reduced(core, count_buckets(buckets)), hot)
+        common = is_in(reduced(core, buckets), hot)
         rare = ~common
         parts = [(RUN, *(c[rare] for c in (doc, start, n, anchor, core, group, whole)))]
         if common.any():
@@ -494,7 +494,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = identified(docs)
     texts = rows.select("id", "h", "text")
     buckets = n_buckets(docs)
-    counts = texts.mapInArrow(lambda it: dealt_counts(_cores(it, length), count_buckets(buckets)), DEALT)
+    counts = texts.mapInArrow(lambda it: dealt_counts(_cores(it, length), buckets), DEALT)
     hot = docs.sparkSession.sparkContext.broadcast(common_groups(counts))
     in_buckets = texts.mapInArrow(lambda it: _deal(it, length, buckets, hot.value), DEALT)
     sifted = cut(in_buckets.groupBy("bucket").applyInArrow(lambda table: _sift(table), SIFTED))
