@@ -39,8 +39,8 @@ from veingraph.plans.iteration import dictionary
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 20
-#: One bucket of the shuffle stands for about so much text.
-BUCKET_BYTES = 4_000_000
+#: One bucket of the shuffle stands for about so much text: small ones fill partitions evenly.
+BUCKET_BYTES = 1_000_000
 #: A symbol with more occurrences than this as a window's core has its windows dealt out one by one ...
 HOT_ROWS = 2_000
 #: ... but at most so many symbols have (the commonest ones), so that their list stays small at any size.

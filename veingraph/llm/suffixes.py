@@ -38,6 +38,8 @@ from veingraph.llm.substrings import MARKS, common_groups, dealt_counts, identif
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 400
+#: One bucket of the shuffle stands for about so much text.
+BUCKET_BYTES = 2_000_000
 #: An anchor stands at least so many bytes from either end of its windows.
 MARGIN = 100
 #: An anchor's core is so many bytes on either side of it.
@@ -493,7 +495,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"the length is {2 * MARGIN + GRAM} at least")
     rows = identified(docs)
     texts = rows.select("id", "h", "text")
-    buckets = n_buckets(docs)
+    buckets = n_buckets(docs, BUCKET_BYTES)
     counts = texts.mapInArrow(lambda it: dealt_counts(_cores(it, length), buckets), DEALT)
     hot = docs.sparkSession.sparkContext.broadcast(common_groups(counts))
     in_buckets = texts.mapInArrow(lambda it: _deal(it, length, buckets, hot.value), DEALT)
