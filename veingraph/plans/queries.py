@@ -18,7 +18,7 @@ from veingraph.operators.graphs import GraphStore
 from veingraph.plans.iteration import shared_folder
 from veingraph.plans.templates import BlockTemplate
 from veingraph.plans.tracking import LOG_SCHEMA, tracking_high, tracking_stats
-from veingraph.sources.driver_graph import LINKS, RICH, links, rich
+from veingraph.sources.driver_graph import LINKS, RICH, links, pairs, rich
 from veingraph.sources.triples import ntriples_lines, parse_ntriples, table_to_triples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ DIFFUSION_START = "region:1"
 
 def simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links under one predicate, each pair once."""
-    return links(spark, sf_dir).select("s", "o").distinct().select("s", F.lit(CONNECTED).alias("p"), "o")
+    return pairs(spark, sf_dir).select("s", F.lit(CONNECTED).alias("p"), "o")
 
 
 def default(spark: SparkSession, sf_dir: str) -> DataFrame:
