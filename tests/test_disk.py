@@ -72,3 +72,11 @@ def test_diffusion_writes_few_bytes_an_edge(spark, folder):
     t = graph(spark)
     diffusion.graph_diffusion(t, t.first()["s"], max_iterations=2).count()
     assert left_behind(folder) < 20 * t.count()
+
+
+def test_paper_diffusion_by_slices(spark, folder, monkeypatch):
+    t = graph(spark, 100, 1000)
+    scores = lambda: {r["vertex"]: r["score"] for r in diffusion.graph_diffusion(t, t.first()["s"], max_iterations=2, variant="paper").collect()}
+    whole = scores()
+    monkeypatch.setattr(iteration, "SLICE_ROWS", 500)
+    assert scores() == pytest.approx(whole)
