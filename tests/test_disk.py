@@ -96,3 +96,14 @@ def test_directed_triangles_writes_few_bytes_an_edge(spark, folder):
     t = graph(spark)
     triangles.triangle_count_directed(t).count()
     assert left_behind(folder) < 20 * t.count()
+
+
+@pytest.mark.parametrize("ids", ["computed", "dictionary"])
+def test_directed_triangles_by_slices(spark, folder, monkeypatch, ids):
+    t = graph(spark, 120, 3000)
+    whole = triangles.triangle_count_directed_parts(t).collect()
+    monkeypatch.setattr(iteration, "SLICE_ROWS", 2000)
+    monkeypatch.setattr(triangles, "BROADCAST_ROWS", 5)  # most vertices are ordered by their ids
+    if ids == "dictionary":
+        monkeypatch.setattr(iteration, "PREFIXES", 0)
+    assert triangles.triangle_count_directed_parts(t).collect() == whole
