@@ -107,3 +107,9 @@ def test_directed_triangles_by_slices(spark, folder, monkeypatch, ids):
     if ids == "dictionary":
         monkeypatch.setattr(iteration, "PREFIXES", 0)
     assert triangles.triangle_count_directed_parts(t).collect() == whole
+
+
+def test_undirected_triangles_writes_few_bytes_an_edge(spark, folder):
+    t = graph(spark)
+    triangles.triangle_count_undirected_per_node(t).count()
+    assert left_behind(folder) < 20 * t.count()
