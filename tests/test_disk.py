@@ -121,3 +121,9 @@ def test_undirected_triangles_by_slices(spark, folder, monkeypatch):
     monkeypatch.setattr(iteration, "SLICE_ROWS", 2000)
     monkeypatch.setattr(triangles, "BROADCAST_ROWS", 5)
     assert (triangles.triangle_count_undirected(t).collect(), sorted(triangles.triangle_count_undirected_per_node(t).collect())) == whole
+
+
+def test_triangle_dist_writes_few_bytes_an_edge(spark, folder):
+    t = graph(spark)
+    triangles.triangle_dist(t).count()
+    assert left_behind(folder) < 20 * t.count()
