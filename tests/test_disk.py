@@ -127,3 +127,11 @@ def test_triangle_dist_writes_few_bytes_an_edge(spark, folder):
     t = graph(spark)
     triangles.triangle_dist(t).count()
     assert left_behind(folder) < 20 * t.count()
+
+
+def test_vertex_triangles_by_slices(spark, folder, monkeypatch):
+    t = graph(spark, 120, 3000)
+    whole = sorted(triangles.vertex_triangles(t).collect())
+    monkeypatch.setattr(iteration, "SLICE_ROWS", 2000)
+    monkeypatch.setattr(triangles, "BROADCAST_ROWS", 5)
+    assert sorted(triangles.vertex_triangles(t).collect()) == whole
