@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veingraph.functions.terms import CONNECTED
-from veingraph.operators import diffusion, traversal, triangles
+from veingraph.operators import diffusion, pagerank, traversal, triangles
 from veingraph.plans import iteration
 
 
@@ -135,3 +135,9 @@ def test_vertex_triangles_by_slices(spark, folder, monkeypatch):
     monkeypatch.setattr(iteration, "SLICE_ROWS", 2000)
     monkeypatch.setattr(triangles, "BROADCAST_ROWS", 5)
     assert sorted(triangles.vertex_triangles(t).collect()) == whole
+
+
+def test_pagerank_writes_few_bytes_an_edge(spark, folder):
+    t = graph(spark)
+    pagerank.pagerank(t, limit=3, directed=False, only_large_updates=True).ranks.count()
+    assert left_behind(folder) < 20 * t.count()
