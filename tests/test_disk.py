@@ -147,3 +147,10 @@ def test_peer_pressure_writes_few_bytes_an_edge(spark, folder):
     t = graph(spark)
     clustering.peer_pressure(t, 3).labels.count()
     assert left_behind(folder) < 20 * t.count()
+
+
+def test_peer_pressure_by_slices(spark, folder, monkeypatch):
+    t = graph(spark, 120, 1000)
+    whole = sorted(clustering.peer_pressure(t, 3, CONNECTED, CONNECTED, -1.0, -1).labels.collect())
+    monkeypatch.setattr(iteration, "SLICE_ROWS", 500)
+    assert sorted(clustering.peer_pressure(t, 3, CONNECTED, CONNECTED, -1.0, -1).labels.collect()) == whole
