@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veingraph.functions.terms import CONNECTED
 from veingraph.operators import clustering, diffusion, pagerank, traversal, triangles
 from veingraph.plans import iteration
+from veingraph.plans.queries import QUERIES
 
 
 @pytest.fixture
@@ -193,3 +194,21 @@ def test_diffusion_slices_follow_the_gifts(spark, folder, monkeypatch):
     monkeypatch.setattr(iteration.Held, "sliced", lambda self, n, one: parts.append(n) or sliced(self, n, one))
     diffusion.graph_diffusion(t, t.first()["s"], max_iterations=2, variant="paper").count()
     assert parts[0] == 1  # one vertex gives
+
+
+@pytest.mark.parametrize("query", ["triangle_count_undirected"])
+def test_links_are_written_without_a_shuffle(spark, folder, monkeypatch, query):
+    plans, keep = [], iteration.Held.keep
+    monkeypatch.setattr(iteration.Held, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    QUERIES[query](spark, "/root/testdata/sf0.001").collect()
+    assert "lineitem" in plans[0] and "Exchange" not in plans[0]
+
+
+def test_wedges_of_few_pairs_go_by_slices(spark, folder, monkeypatch):
+    t = graph(spark, 120, 3000)
+    whole = triangles.triangle_count_undirected(t).collect()
+    parts, sliced = [], iteration.Held.sliced
+    monkeypatch.setattr(iteration.Held, "sliced", lambda self, n, one: parts.append(n) or sliced(self, n, one))
+    monkeypatch.setattr(triangles, "WEDGES", 10_000)
+    assert triangles.triangle_count_undirected(t.union(t)).collect() == whole
+    assert parts[-1] > 1
