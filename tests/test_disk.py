@@ -196,7 +196,7 @@ def test_diffusion_slices_follow_the_gifts(spark, folder, monkeypatch):
     assert parts[0] == 1  # one vertex gives
 
 
-@pytest.mark.parametrize("query", ["triangle_count_undirected"])
+@pytest.mark.parametrize("query", ["triangle_count_undirected", "triangle_dist"])
 def test_links_are_written_without_a_shuffle(spark, folder, monkeypatch, query):
     plans, keep = [], iteration.Held.keep
     monkeypatch.setattr(iteration.Held, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
@@ -212,3 +212,15 @@ def test_wedges_of_few_pairs_go_by_slices(spark, folder, monkeypatch):
     monkeypatch.setattr(triangles, "WEDGES", 10_000)
     assert triangles.triangle_count_undirected(t.union(t)).collect() == whole
     assert parts[-1] > 1
+
+
+@pytest.mark.parametrize("kinds", [64, 2])
+@pytest.mark.parametrize("ids", ["computed", "dictionary"])
+def test_repeated_triples_count_once(spark, folder, monkeypatch, ids, kinds):
+    rng = random.Random(3)
+    rows = [(f"a:{rng.randrange(12)}", rng.choice(["x", "y", "z", None]), f"a:{rng.randrange(12)}") for _ in range(300)]
+    t = spark.createDataFrame([*rows, ("a:1", "x", None), (None, "x", "a:1"), *rows[:150]], "s string, p string, o string")
+    monkeypatch.setattr(triangles, "KINDS", kinds)
+    if ids == "dictionary":
+        monkeypatch.setattr(iteration, "PREFIXES", 0)
+    assert sorted(triangles.vertex_triangles(t, repeated=True).collect()) == sorted(triangles.vertex_triangles(t.distinct()).collect())

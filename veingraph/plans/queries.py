@@ -104,7 +104,7 @@ _shapes = " UNION ALL ".join(
     )
 )
 _per = f"SELECT t1, count(*) AS n FROM ({_shapes}) GROUP BY t1"
-add("triangle_dist", links, triangles.triangle_dist, f"{T} SELECT n AS count, count(*) AS distribution FROM ({_per}) GROUP BY n")
+add("triangle_dist", repeated, lambda t: triangles.triangle_dist(t, repeated=True), f"{T} SELECT n AS count, count(*) AS distribution FROM ({_per}) GROUP BY n")
 add("triangle_dist_label", links, lambda t: triangles.triangle_dist_label(t, "urn:inNation", "nation:3"),
     f"{T} SELECT n AS count, count(*) AS distribution FROM ({_per}) JOIN (SELECT s FROM t WHERE p = 'urn:inNation' AND o = 'nation:3') l ON t1 = l.s GROUP BY n")
 
